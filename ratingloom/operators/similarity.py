@@ -22,6 +22,8 @@ pair. No candidate is dropped or sampled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ from ratingloom.operators.ratings import latest_ratings, user_means
 from ratingloom.params import NeighbourParams
 from ratingloom.session import write_shared
 
+MEETINGS_PER_TASK = 2_000_000
+MAX_JOIN_TASKS = 200_000
+
 
 def _comparable_ratings(ratings: DataFrame, min_common: int, center: bool) -> DataFrame:
     """Ratings that can take part in a pair: ``(user, item, x, raters)``.
@@ -55,42 +60,90 @@ def _tails(rows: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _meetings(rows: DataFrame, raters_per_slot: int) -> DataFrame:
-    """Co-ratings ``(a, b, x, y, bodies)``, each unordered pair and item once.
+def _placed_ratings(rows: DataFrame, tails: DataFrame | None, raters_per_slot: int) -> DataFrame:
+    """Ratings with the sort order of their user, their part (tail or body) and slot.
 
-    Users are ordered by hash; slots follow that order, so the lower slot
-    always holds the first user of a pair.
+    ``(user, item, x, h, in_tail, slot, body_slots, tail_slots, body_raters,
+    tail_raters)``; items without a pair to form are left out.
     """
-    placed = rows.withColumn("h", user_hash("user")).withColumn(
-        "slots", F.ceil(F.col("raters") / F.lit(raters_per_slot)).cast("int")
+    if tails is None:
+        marked = rows.withColumn("in_tail", F.lit(False))
+    else:
+        tail_items = F.transform("tail", lambda s: s["item"])
+        in_tail = F.coalesce(F.array_contains(tail_items, F.col("item")), F.lit(False))
+        marked = rows.join(tails, "user").select("user", "item", "x", in_tail.alias("in_tail"))
+    parts = (
+        marked.groupBy("item")
+        .agg(F.count_if(~F.col("in_tail")).alias("body_raters"), F.count_if("in_tail").alias("tail_raters"))
+        .filter((F.col("body_raters") > 0) & (F.col("body_raters") + F.col("tail_raters") > 1))
+        .withColumn("body_slots", F.ceil(F.col("body_raters") / F.lit(raters_per_slot)).cast("int"))
+        .withColumn("tail_slots", F.ceil(F.col("tail_raters") / F.lit(raters_per_slot)).cast("int"))
     )
-    placed = placed.withColumn("slot", hash_slot(F.col("h"), F.col("slots")))
-    first = placed.select(
-        "item",
-        F.col("slot").alias("lo"),
-        F.explode(F.sequence("slot", F.col("slots") - 1)).alias("hi"),
-        F.col("in_tail").alias("a_tail"),
-        F.col("h").alias("ha"),
-        F.col("user").alias("a"),
-        F.col("x"),
+    slots = F.when(F.col("in_tail"), F.col("tail_slots")).otherwise(F.col("body_slots"))
+    return (
+        marked.join(parts, "item")
+        .withColumn("h", user_hash("user"))
+        .withColumn("slot", hash_slot(F.col("h"), slots))
+    )
+
+
+def _join_tasks(placed: DataFrame) -> int:
+    """Number of join tasks, from the meetings they produce.
+
+    Input bytes say little about the work of a self-join.
+    """
+    per_body = (F.col("body_raters") - 1) / 2 + F.col("tail_raters")
+    meetings = placed.filter(~F.col("in_tail")).agg(F.sum(per_body)).first()[0] or 0
+    least = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, math.ceil(meetings / MEETINGS_PER_TASK)), MAX_JOIN_TASKS)
+
+
+def _meetings(placed: DataFrame, tasks: int) -> DataFrame:
+    """Co-ratings ``(a, b, x, y, bodies)``, each unordered pair and item once.
+
+    Every two body slots of an item, and every body and tail slot, are one
+    join group. Users are ordered by hash and body slots follow that order, so
+    the lower slot holds the first user of a pair.
+    """
+    slot, body_slots, tail_slots = F.col("slot"), F.col("body_slots"), F.col("tail_slots")
+
+    def cells(with_tail: bool, lo: Column, hi: Column) -> Column:
+        return F.struct(F.lit(with_tail).alias("with_tail"), lo.alias("lo"), hi.alias("hi"))
+
+    up = F.transform(F.sequence(slot, body_slots - 1), lambda i: cells(False, slot, i))
+    down = F.transform(F.sequence(F.lit(0), slot), lambda i: cells(False, i, slot))
+    empty = F.filter(up, lambda _: F.lit(False))
+    beside_tails = F.when(
+        tail_slots > 0, F.transform(F.sequence(F.lit(0), tail_slots - 1), lambda i: cells(True, slot, i))
+    ).otherwise(empty)
+    beside_bodies = F.transform(F.sequence(F.lit(0), body_slots - 1), lambda i: cells(True, i, slot))
+
+    keys = ["item", "with_tail", "lo", "hi"]
+    # an explicit number keeps adaptive planning from merging these partitions
+    first = (
+        placed.filter(~F.col("in_tail"))
+        .select("item", F.inline(F.concat(up, beside_tails)), F.col("h").alias("ha"), F.col("user").alias("a"), "x")
+        .repartition(tasks, *keys)
     )
-    # a body row meets both kinds of first rows, a tail row only body rows
-    meets = F.when(F.col("in_tail"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     second = placed.select(
         "item",
-        F.explode(F.sequence(F.lit(0), F.col("slot"))).alias("lo"),
-        F.col("slot").alias("hi"),
-        "in_tail",
-        meets.alias("meets"),
+        F.inline(F.when(F.col("in_tail"), beside_bodies).otherwise(down)),
         F.col("h").alias("hb"),
         F.col("user").alias("b"),
         F.col("x").alias("y"),
-    ).select("item", "lo", "hi", F.explode("meets").alias("a_tail"), "in_tail", "hb", "b", "y")
-    before = (F.col("ha") < F.col("hb")) | ((F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")))
-    return (
-        first.join(second, ["item", "lo", "hi", "a_tail"])
-        .filter(before)
-        .select("a", "b", "x", "y", (~F.col("a_tail") & ~F.col("in_tail")).alias("bodies"))
+    ).repartition(tasks, *keys)
+    ordered = (F.col("ha") < F.col("hb")) | ((F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")))
+    met = first.join(second, keys).filter(F.col("with_tail") | ordered)
+
+    def oriented(one: str, other: str) -> Column:
+        return F.when(ordered, F.col(one)).otherwise(F.col(other))
+
+    return met.select(
+        oriented("a", "b").alias("a"),
+        oriented("b", "a").alias("b"),
+        oriented("x", "y").alias("x"),
+        oriented("y", "x").alias("y"),
+        (~F.col("with_tail")).alias("bodies"),
     )
 
 
@@ -111,9 +164,7 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
     joined = joined.withColumn("common", F.filter(matched, lambda s: s["y"].isNotNull())).drop("ta", "tb")
     common = F.col("common")
     xs, ys = F.transform(common, lambda s: s["x"]), F.transform(common, lambda s: s["y"])
-    return joined.select(
-        "a",
-        "b",
+    added = F.struct(
         (F.col("n_common") + F.size(common)).alias("n_common"),
         (F.col("sx") + _total(common, lambda s: s["x"])).alias("sx"),
         (F.col("sy") + _total(common, lambda s: s["y"])).alias("sy"),
@@ -125,6 +176,8 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
         F.least("min_y", F.array_min(ys)).alias("min_y"),
         F.greatest("max_y", F.array_max(ys)).alias("max_y"),
     )
+    # filters are not pushed below a generator, so the sums are evaluated once
+    return joined.select("a", "b", F.inline(F.array(added)))
 
 
 def common_rating_sums(
@@ -132,18 +185,11 @@ def common_rating_sums(
 ) -> DataFrame:
     """Sums over the shared items of every pair that shares ``min_common``."""
     rows = write_shared(_comparable_ratings(ratings, min_common, center), "comparable")
-    tails = None
-    if min_common > 1:
-        tails = write_shared(_tails(rows, min_common - 1), "tails")
-        tail_items = F.transform("tail", lambda s: s["item"])
-        rows = rows.join(tails, "user").select(
-            "user", "item", "x", "raters", F.array_contains(tail_items, F.col("item")).alias("in_tail")
-        )
-    else:
-        rows = rows.withColumn("in_tail", F.lit(False))
+    tails = write_shared(_tails(rows, min_common - 1), "tails") if min_common > 1 else None
+    placed = write_shared(_placed_ratings(rows, tails, raters_per_slot), "placed")
     x, y = F.col("x"), F.col("y")
     pairs = (
-        _meetings(rows, raters_per_slot)
+        _meetings(placed, _join_tasks(placed))
         .groupBy("a", "b")
         .agg(
             F.count(F.lit(1)).alias("n_common"),
@@ -190,9 +236,9 @@ def pearson_pairs(ratings: DataFrame, params: NeighbourParams = NeighbourParams(
     sums = common_rating_sums(ratings, params.min_common, params.raters_per_slot)
     n = F.col("n_common")
     covariance = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    spread = F.sqrt(F.col("sxx") - F.col("sx") * F.col("sx") / n) * F.sqrt(
-        F.col("syy") - F.col("sy") * F.col("sy") / n
-    )
+    x_part = F.greatest(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.lit(0.0))
+    y_part = F.greatest(F.col("syy") - F.col("sy") * F.col("sy") / n, F.lit(0.0))
+    spread = F.sqrt(x_part) * F.sqrt(y_part)
     varied = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y"))
     value = F.when(varied, F.round(F.try_divide(covariance, spread), params.decimals))
     if compat:

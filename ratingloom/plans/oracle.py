@@ -7,6 +7,7 @@ are joined by :func:`_sql`. Settings repeat those of
 
 from __future__ import annotations
 
+from ratingloom.params import NeighbourParams
 from ratingloom.plans.queries import FOLDS, NEIGHBOURS, NUM, ORDER_NUM, ORDER_POPULAR, POPULAR, SWEEP_ITEMS
 
 _T, _N = NEIGHBOURS.min_common, NEIGHBOURS.top_n
@@ -45,11 +46,11 @@ LIKES = f"""likes AS (
     WHERE m.n_ratings < {_N} OR r.rating > m.mean_rating) WHERE rank <= {_N})"""
 
 
-def _pairs(before: str, value: str) -> str:
+def _pairs(before: str, value: str, min_common: int = _T) -> str:
     return f"""pairs AS (
   SELECT a."user" AS user_a, b."user" AS user_b, count(*) AS n_common, {value} AS similarity
   FROM latest a JOIN latest b ON a.item = b.item AND {before}
-  GROUP BY a."user", b."user" HAVING count(*) >= {_T})"""
+  GROUP BY a."user", b."user" HAVING count(*) >= {min_common})"""
 
 
 LATEST_COPY = LATEST.replace("r AS (", "latest AS (", 1)
@@ -65,10 +66,16 @@ SIDES = """sides AS (
 SIDES_COMPAT = """sides AS (
   SELECT user_a AS "user", user_b AS neighbour, similarity FROM pairs WHERE similarity > 0)"""
 
-NEAREST = f"""nearest AS (
+
+
+def _nearest(top_n: int) -> str:
+    return f"""nearest AS (
   SELECT "user", neighbour, similarity, rank FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY "user" ORDER BY similarity DESC, neighbour) AS INTEGER) AS rank
-    FROM sides) WHERE rank <= {_N})"""
+    FROM sides) WHERE rank <= {top_n})"""
+
+
+NEAREST = _nearest(_N)
 
 CANDIDATES = """cand AS (
   SELECT n."user", l.item, round(sum(l.rating * n.similarity), 9) AS score
@@ -338,6 +345,14 @@ WHERE rank <= {NUM}""",
     "nearest_users_compat": _sql(
         EV, LATEST_COPY, _pairs(BY_TEXT, PEARSON), SIDES_COMPAT, NEAREST, select="SELECT * FROM nearest"
     ),
+    "nearest_users_all_events": _sql(
+        EV.replace("WHERE event_type = 'purchase'", ""),
+        LATEST_COPY,
+        _pairs(BY_NUMBER, PEARSON, NeighbourParams().min_common),
+        SIDES,
+        _nearest(NeighbourParams().top_n),
+        select="SELECT * FROM nearest",
+    ),
     "user_likes": _sql(EV, LATEST, MEANS, LIKES, select="SELECT * FROM likes"),
     "user_likes_compat": _sql(EV, ALL_EVENTS, MEANS, LIKES, select='SELECT "user", item, rating FROM likes'),
     "cf_candidates": _sql(*_BAYES_CHAIN, select="SELECT * FROM cand"),

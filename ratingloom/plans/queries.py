@@ -257,6 +257,15 @@ def nearest_users_compat(spark, sf_dir):
     return similarity.nearest_users(pairs, NEIGHBOURS.top_n, compat=True)
 
 
+@query
+def nearest_users_all_events(spark, sf_dir):
+    """Every event as a rating, default settings: most users share most items."""
+    events = _table(spark, sf_dir, "events")
+    names = ("view", "signup", "click", "error", "purchase")
+    pairs = similarity.pearson_pairs(scan_ratings(events, names, CLICKSTREAM), NeighbourParams())
+    return similarity.nearest_users(pairs, NeighbourParams().top_n)
+
+
 @query
 def user_likes(spark, sf_dir):
     return rating_ops.user_likes(_latest(spark, sf_dir), NEIGHBOURS.top_n)
