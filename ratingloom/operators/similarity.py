@@ -33,6 +33,10 @@ from ratingloom.operators.ratings import latest_ratings, user_means
 from ratingloom.params import NeighbourParams
 from ratingloom.session import write_shared
 
+#: Relative error of a sum of squares, per summand and with a wide margin; a
+#: variance below it cannot be told from none.
+ROUNDING = 1e-14
+
 MEETINGS_PER_TASK = 2_000_000
 MAX_JOIN_TASKS = 200_000
 
@@ -163,7 +167,6 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
     matched = F.transform("ta", lambda s: F.struct(s["x"].alias("x"), F.get(same_item(s), F.lit(0))["x"].alias("y")))
     joined = joined.withColumn("common", F.filter(matched, lambda s: s["y"].isNotNull())).drop("ta", "tb")
     common = F.col("common")
-    xs, ys = F.transform(common, lambda s: s["x"]), F.transform(common, lambda s: s["y"])
     added = F.struct(
         (F.col("n_common") + F.size(common)).alias("n_common"),
         (F.col("sx") + _total(common, lambda s: s["x"])).alias("sx"),
@@ -171,10 +174,6 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
         (F.col("sxx") + _total(common, lambda s: s["x"] * s["x"])).alias("sxx"),
         (F.col("syy") + _total(common, lambda s: s["y"] * s["y"])).alias("syy"),
         (F.col("sxy") + _total(common, lambda s: s["x"] * s["y"])).alias("sxy"),
-        F.least("min_x", F.array_min(xs)).alias("min_x"),
-        F.greatest("max_x", F.array_max(xs)).alias("max_x"),
-        F.least("min_y", F.array_min(ys)).alias("min_y"),
-        F.greatest("max_y", F.array_max(ys)).alias("max_y"),
     )
     # filters are not pushed below a generator, so the sums are evaluated once
     return joined.select("a", "b", F.inline(F.array(added)))
@@ -198,10 +197,6 @@ def common_rating_sums(
             F.sum(x * x).alias("sxx"),
             F.sum(y * y).alias("syy"),
             F.sum(x * y).alias("sxy"),
-            F.min(x).alias("min_x"),
-            F.max(x).alias("max_x"),
-            F.min(y).alias("min_y"),
-            F.max(y).alias("max_y"),
             F.max("bodies").alias("candidate"),
         )
         .filter("candidate")
@@ -236,11 +231,10 @@ def pearson_pairs(ratings: DataFrame, params: NeighbourParams = NeighbourParams(
     sums = common_rating_sums(ratings, params.min_common, params.raters_per_slot)
     n = F.col("n_common")
     covariance = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    x_part = F.greatest(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.lit(0.0))
-    y_part = F.greatest(F.col("syy") - F.col("sy") * F.col("sy") / n, F.lit(0.0))
-    spread = F.sqrt(x_part) * F.sqrt(y_part)
-    varied = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y"))
-    value = F.when(varied, F.round(F.try_divide(covariance, spread), params.decimals))
+    x_part = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    y_part = F.col("syy") - F.col("sy") * F.col("sy") / n
+    varied = (x_part > F.col("sxx") * n * ROUNDING) & (y_part > F.col("syy") * n * ROUNDING)
+    value = F.when(varied, F.round(covariance / F.sqrt(x_part * y_part), params.decimals))
     if compat:
         value = F.coalesce(value, F.lit(float("nan")))
     return _as_pairs(sums, value, string_order=compat)
