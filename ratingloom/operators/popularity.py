@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratingloom.functions import id_order, top_k
 from ratingloom.functions.scoring import SCORE_DECIMALS
 from ratingloom.operators.ratings import item_view_counts
-from ratingloom.session import BROADCAST_ROW_BOUND
+from ratingloom.session import BROADCAST_ROW_BOUND, write_shared
 
 
 def prune_threshold(counts: DataFrame, max_items: int) -> float | None:
@@ -38,7 +38,11 @@ def prune_threshold(counts: DataFrame, max_items: int) -> float | None:
 
 
 def popularity_mean_prune(counts: DataFrame, max_items: int) -> DataFrame:
-    """Items left by the pruning; none where all are viewed equally often."""
+    """Items left by the pruning; none where all are viewed equally often.
+
+    The counts are stored first, so that the ratings are counted once.
+    """
+    counts = write_shared(counts, "views")
     threshold = prune_threshold(counts, max_items)
     return counts if threshold is None else counts.filter(F.col("views") > F.lit(threshold))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import id_order, md5_part, top_k
 from ratingloom.functions.scoring import SCORE_DECIMALS
+from ratingloom.session import write_shared
 
 
 def prepare(ratings: DataFrame, step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -32,6 +33,28 @@ def latest_ratings(ratings: DataFrame) -> DataFrame:
     )
 
 
+class TrainingData:
+    """Rating events, and their latest per user and item.
+
+    Several training steps read the latest ratings, so they are stored once,
+    when first asked for.
+    """
+
+    def __init__(self, events: DataFrame):
+        self.events = events
+        self._latest: DataFrame | None = None
+
+    @property
+    def latest(self) -> DataFrame:
+        if self._latest is None:
+            self._latest = write_shared(latest_ratings(self.events), "latest")
+        return self._latest
+
+    def rated(self, compat: bool) -> DataFrame:
+        """What means, likes and labels count: ``compat`` counts re-ratings too."""
+        return self.events if compat else self.latest
+
+
 def user_rating_stats(ratings: DataFrame) -> DataFrame:
     """Count, mean, least and greatest rating per user."""
     return ratings.groupBy("user").agg(

@@ -41,14 +41,14 @@ MEETINGS_PER_TASK = 2_000_000
 MAX_JOIN_TASKS = 200_000
 
 
-def _comparable_ratings(ratings: DataFrame, min_common: int, center: bool) -> DataFrame:
+def _comparable_ratings(latest: DataFrame, min_common: int, center: bool) -> DataFrame:
     """Ratings that can take part in a pair: ``(user, item, x, raters)``.
 
     Users with fewer than ``min_common`` items and items with one rater are
     left out. ``x`` is the rating less its user's mean, which leaves Pearson
     unchanged and keeps the sums of squares well-conditioned.
     """
-    latest = latest_ratings(ratings).select("user", "item", "rating")
+    latest = latest.select("user", "item", "rating")
     active = user_means(latest).filter(F.col("n_ratings") >= min_common)
     x = F.col("rating") - F.col("mean_rating") if center else F.col("rating")
     rows = latest.join(active, "user").select("user", "item", x.alias("x"))
@@ -180,10 +180,10 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def common_rating_sums(
-    ratings: DataFrame, min_common: int, raters_per_slot: int, center: bool = True
+    latest: DataFrame, min_common: int, raters_per_slot: int, center: bool = True
 ) -> DataFrame:
     """Sums over the shared items of every pair that shares ``min_common``."""
-    rows = write_shared(_comparable_ratings(ratings, min_common, center), "comparable")
+    rows = write_shared(_comparable_ratings(latest, min_common, center), "comparable")
     tails = write_shared(_tails(rows, min_common - 1), "tails") if min_common > 1 else None
     placed = write_shared(_placed_ratings(rows, tails, raters_per_slot), "placed")
     x, y = F.col("x"), F.col("y")
@@ -222,13 +222,20 @@ def _as_pairs(sums: DataFrame, similarity: Column, string_order: bool = False) -
     )
 
 
-def pearson_pairs(ratings: DataFrame, params: NeighbourParams = NeighbourParams(), compat: bool = False) -> DataFrame:
+def pearson_pairs(
+    ratings: DataFrame,
+    params: NeighbourParams = NeighbourParams(),
+    compat: bool = False,
+    latest_only: bool = False,
+) -> DataFrame:
     """Pearson correlation over shared items, per pair with enough of them.
 
-    Without variance on either side the similarity is null (``compat``: NaN).
+    Re-ratings are reduced to the latest first, unless ``latest_only`` says
+    that has been done. Without variance on either side the similarity is null (``compat``: NaN).
     Pairs are ordered by id; ``compat`` orders ids as text.
     """
-    sums = common_rating_sums(ratings, params.min_common, params.raters_per_slot)
+    latest = ratings if latest_only else latest_ratings(ratings)
+    sums = common_rating_sums(latest, params.min_common, params.raters_per_slot)
     n = F.col("n_common")
     covariance = F.col("sxy") - F.col("sx") * F.col("sy") / n
     x_part = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -242,7 +249,8 @@ def pearson_pairs(ratings: DataFrame, params: NeighbourParams = NeighbourParams(
 
 def cosine_pairs(ratings: DataFrame, params: NeighbourParams = NeighbourParams()) -> DataFrame:
     """Cosine of the two users' ratings over shared items."""
-    sums = common_rating_sums(ratings, params.min_common, params.raters_per_slot, center=False)
+    latest = latest_ratings(ratings)
+    sums = common_rating_sums(latest, params.min_common, params.raters_per_slot, center=False)
     value = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
     return _as_pairs(sums, F.round(value, params.decimals))
 

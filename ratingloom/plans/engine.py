@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.operators.ratings import prepare
+from ratingloom.operators.ratings import TrainingData, prepare
 from ratingloom.operators.serving import as_results, blend
 from ratingloom.params import AlgorithmSpec, EngineParams
 from ratingloom.plans.recommenders import RECOMMENDERS, Model, Neighbourhood
@@ -52,7 +52,7 @@ class HybridEngine:
     compat: bool = False
 
     def fit(self, ratings: DataFrame) -> HybridModel:
-        prepared = prepare(ratings, self.prepare_step)
+        prepared = TrainingData(prepare(ratings, self.prepare_step))
         lists: dict[object, Neighbourhood] = {}
         parts = []
         for spec in self.params.algorithms:

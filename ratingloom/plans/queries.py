@@ -372,7 +372,8 @@ def als_id_index(spark, sf_dir):
 
 
 def _factorized(spark, sf_dir):
-    return factorization.fit_als(_latest(spark, sf_dir), ALS_SETTINGS)
+    data = rating_ops.TrainingData(_ratings(spark, sf_dir))
+    return factorization.fit_als(data.latest, ALS_SETTINGS)
 
 
 @query

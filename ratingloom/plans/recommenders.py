@@ -1,6 +1,7 @@
 """The four recommenders, each as settings -> fit -> recommend -> save/load.
 
-``fit`` takes ratings ``(user, item, rating, ts, event_id)``; ``recommend``
+``fit`` takes ratings ``(user, item, rating, ts, event_id)``, as a DataFrame or
+as :class:`TrainingData` to share work between recommenders; ``recommend``
 takes a batch of queries ``(user, num)`` and returns ``(user, item, score,
 rank)``. A recommender of your own needs these methods and an entry in
 :data:`RECOMMENDERS`.
@@ -21,7 +22,7 @@ from ratingloom.operators.classify import classify, fit_forest, fit_naive_bayes
 from ratingloom.operators.collaborative import cf_candidates, ranked_shares
 from ratingloom.operators.factorization import Factorization, als_recommend, fit_als
 from ratingloom.operators.popularity import item_views_top, popular_unseen
-from ratingloom.operators.ratings import labeled_ratings, latest_ratings, require_ratings, user_likes
+from ratingloom.operators.ratings import TrainingData, labeled_ratings, require_ratings, user_likes
 from ratingloom.operators.similarity import nearest_users, pearson_pairs
 from ratingloom.params import ALSParams, NeighbourParams, PopularityParams
 from ratingloom.session import write_shared
@@ -39,7 +40,11 @@ class Model(Protocol):
 
 
 class Recommender(Protocol):
-    def fit(self, ratings: DataFrame) -> Model: ...
+    def fit(self, ratings: DataFrame | TrainingData) -> Model: ...
+
+
+def _training_data(ratings: DataFrame | TrainingData) -> TrainingData:
+    return ratings if isinstance(ratings, TrainingData) else TrainingData(ratings)
 
 
 def _store(df: DataFrame, path: str) -> None:
@@ -63,7 +68,7 @@ class PopularityModel:
 
     def save(self, path: str) -> None:
         _store(self.top, f"{path}/top")
-        _store(self.seen, f"{path}/seen")
+        _store(self.seen.distinct(), f"{path}/seen")
         settings = [(self.max_items, self.compat)]
         _store(self.top.sparkSession.createDataFrame(settings, "max_items int, compat boolean"), f"{path}/settings")
 
@@ -83,10 +88,11 @@ class PopularityRecommender:
     params: PopularityParams = PopularityParams()
     compat: bool = False
 
-    def fit(self, ratings: DataFrame) -> PopularityModel:
-        top = item_views_top(ratings, self.params.max_items, pruned=self.compat)
-        seen = ratings.select("user", "item").distinct()
-        return PopularityModel(top, seen, self.params.max_items, self.compat)
+    def fit(self, ratings: DataFrame | TrainingData) -> PopularityModel:
+        events = _training_data(ratings).events
+        top = item_views_top(events, self.params.max_items, pruned=self.compat)
+        # repeats are left in: only rows of listed items get past the first join
+        return PopularityModel(top, events.select("user", "item"), self.params.max_items, self.compat)
 
 
 # -- similar users plus a classifier ---------------------------------------
@@ -101,13 +107,15 @@ class Neighbourhood:
     seen: DataFrame
 
     @classmethod
-    def build(cls, ratings: DataFrame, params: NeighbourParams, compat: bool = False) -> Neighbourhood:
-        pairs = pearson_pairs(ratings, params, compat)
-        rated = ratings if compat else latest_ratings(ratings)
+    def build(
+        cls, ratings: DataFrame | TrainingData, params: NeighbourParams, compat: bool = False
+    ) -> Neighbourhood:
+        data = _training_data(ratings)
+        pairs = pearson_pairs(data.latest, params, compat, latest_only=True)
         return cls(
             nearest_users(pairs, params.top_n, compat),
-            user_likes(rated, params.top_n),
-            ratings.select("user", "item").distinct(),
+            user_likes(data.rated(compat), params.top_n),
+            data.latest.select("user", "item"),
         )
 
     def stored(self) -> Neighbourhood:
@@ -173,11 +181,14 @@ class _ClassifierHybrid:
     def _train(self, labeled: DataFrame) -> Any:
         raise NotImplementedError
 
-    def fit(self, ratings: DataFrame, neighbourhood: Neighbourhood | None = None) -> ClassifierHybridModel:
-        require_ratings(ratings)
-        rated = ratings if self.compat else latest_ratings(ratings)
-        lists = neighbourhood or Neighbourhood.build(ratings, self.params, self.compat)
-        return ClassifierHybridModel(lists, self._train(labeled_ratings(rated)), self.weight, self.compat)
+    def fit(
+        self, ratings: DataFrame | TrainingData, neighbourhood: Neighbourhood | None = None
+    ) -> ClassifierHybridModel:
+        data = _training_data(ratings)
+        require_ratings(data.events)
+        lists = neighbourhood or Neighbourhood.build(data, self.params, self.compat)
+        classifier = self._train(labeled_ratings(data.rated(self.compat)))
+        return ClassifierHybridModel(lists, classifier, self.weight, self.compat)
 
 
 @dataclass(frozen=True)
@@ -235,8 +246,8 @@ class ALSRecommender:
     normalize: bool = True
     compat: bool = False
 
-    def fit(self, ratings: DataFrame) -> ALSRecommenderModel:
-        rated = ratings if self.compat else latest_ratings(ratings)
+    def fit(self, ratings: DataFrame | TrainingData) -> ALSRecommenderModel:
+        rated = _training_data(ratings).rated(self.compat)
         return ALSRecommenderModel(fit_als(rated, self.params), self.normalize)
 
 

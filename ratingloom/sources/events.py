@@ -93,8 +93,9 @@ def scan_ratings(
     """Ratings of the named events.
 
     The event filter stays on the raw column, so it reaches the Parquet scan.
-    A row without rating, user or target fails the job in strict mode;
-    otherwise it is left out and :func:`rejected_events` reports it.
+    A row without rating, user or target fails the job in strict mode, also
+    where only other columns are used; otherwise it is left out and
+    :func:`rejected_events` reports it.
     """
     wanted = _typed(events, layout).filter(F.expr(layout.event).isin(*event_names))
     rows = _fields(wanted, layout)
@@ -103,8 +104,7 @@ def scan_ratings(
         problem = F.concat(
             F.lit("cannot convert event "), F.col("event_id").cast("string"), F.lit(" to a rating: "), fault
         )
-        checked = F.when(fault.isNotNull(), F.raise_error(problem).cast("double")).otherwise(F.col("rating"))
-        rows = rows.withColumn("rating", checked)
+        rows = rows.filter(F.when(fault.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True))
     else:
         rows = rows.filter(fault.isNull())
     return rows.select("user", "item", "rating", "ts", "event_id")

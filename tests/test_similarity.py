@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratingloom.operators import similarity
+from ratingloom.operators.ratings import latest_ratings
 from ratingloom.params import NeighbourParams
 
 
@@ -85,7 +86,7 @@ def test_raters_sharing_only_hot_items_never_meet(spark, make_ratings):
     """300 users share two hot items; each also has one item of its own."""
     rows = [(u, i, (u + i) % 5) for u in range(300) for i in (0, 1, 2 + u)]
     ratings = make_ratings(rows)
-    comparable = similarity._comparable_ratings(ratings, 3, True)
+    comparable = similarity._comparable_ratings(latest_ratings(ratings), 3, True)
     placed = similarity._placed_ratings(comparable, similarity._tails(comparable, 2), 64)
     assert similarity._meetings(placed, 4).isEmpty()
     assert similarity.pearson_pairs(ratings, NeighbourParams(min_common=3)).isEmpty()
@@ -94,7 +95,7 @@ def test_raters_sharing_only_hot_items_never_meet(spark, make_ratings):
 def test_join_groups_are_bounded(make_ratings):
     """A hot item is spread over groups of at most two slots of raters."""
     rows = [(u, i, 1 + (u * i) % 5) for u in range(400) for i in (0, 1, 2)]
-    comparable = similarity._comparable_ratings(make_ratings(rows), 1, True)
+    comparable = similarity._comparable_ratings(latest_ratings(make_ratings(rows)), 1, True)
     placed = similarity._placed_ratings(comparable, None, 50)
     largest = placed.groupBy("item", "in_tail", "slot").count().agg(F.max("count")).first()[0]
     assert placed.agg(F.max("body_slots")).first()[0] == 8

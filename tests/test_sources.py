@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ratingloom.operators.ratings import item_view_counts
 from ratingloom.params import ALSParams, NeighbourParams, PopularityParams, engine_params_from_json
 from ratingloom.sources import (
     dataset_summary,
@@ -52,6 +53,12 @@ def test_bad_event_fails_a_strict_scan_and_is_reported_otherwise(events, reason,
     assert (row.reason, row.n_rows, row.first_event_id) == (reason, 1, 1)
 
 
+def test_strict_scan_fails_even_if_the_rating_is_not_used(events):
+    frame = events(event(0), event(1, properties="{}"))
+    with pytest.raises(Exception, match="cannot convert event 1"):
+        item_view_counts(scan_ratings(frame)).collect()
+
+
 def test_unexpected_event_is_reported(events):
     (row,) = rejected_events(events(event(0), event(5, "buy"))).collect()
     assert (row.reason, row.event, row.n_rows) == ("unexpected_event", "buy", 1)
