@@ -12,9 +12,10 @@ from ratingloom.functions.scoring import SCORE_DECIMALS
 def cf_candidates(neighbours: DataFrame, likes: DataFrame, seen: DataFrame) -> DataFrame:
     """Items liked by a user's neighbours and not yet seen by the user.
 
-    The score sums neighbour rating times similarity. It is summed before the
-    seen items go out: the sums arrive partitioned by (user, item), as the
-    anti-join needs them.
+    ``seen`` holds each user and item once. The score sums neighbour rating
+    times similarity. It is summed before the seen items go out: the sums are
+    far fewer and arrive partitioned as the join needs them. (An anti-join
+    would be moved below the aggregate and sort every summand.)
     """
     liked = likes.select(F.col("user").alias("neighbour"), "item", "rating")
     scored = (
@@ -23,7 +24,8 @@ def cf_candidates(neighbours: DataFrame, likes: DataFrame, seen: DataFrame) -> D
         .groupBy("user", "item")
         .agg(F.round(F.sum(F.col("rating") * F.col("similarity")), SCORE_DECIMALS).alias("score"))
     )
-    return scored.join(seen.select("user", "item"), ["user", "item"], "left_anti")
+    known = seen.select("user", "item", F.lit(True).alias("known"))
+    return scored.join(known, ["user", "item"], "left").filter(F.col("known").isNull()).drop("known")
 
 
 def ranked_shares(candidates: DataFrame, queries: DataFrame, accepted: str, weight: float, compat: bool = False) -> DataFrame:
@@ -34,7 +36,7 @@ def ranked_shares(candidates: DataFrame, queries: DataFrame, accepted: str, weig
     accepted one the scores are infinite.
     """
     wanted = queries.groupBy("user").agg(F.max("num").alias("num"))
-    longest = wanted.agg(F.max("num")).first()[0] or 0
+    longest = queries.agg(F.max("num")).first()[0] or 0
     asked = candidates.join(wanted, "user")
     order = [F.col("score").desc(), *id_order(candidates, "item")]
     best = top_k(asked.filter(accepted), ["user"], order, longest).filter(F.col("rank") <= F.col("num"))

@@ -85,12 +85,13 @@ def als_recommend(fitted: Factorization, queries: DataFrame, normalize: bool = T
     """Top ``num`` items per known queried user; seen items are not left out.
 
     The factor product is blocked and keeps only the best per user. Scores are
-    shares of the returned list, or raw predictions; a share is null where the
-    predictions sum to zero.
+    shares of the returned list, or raw predictions. Predictions are unbounded:
+    a share is null where they sum to zero and changes sign where they sum to
+    less; the rank follows the predictions.
     """
     wanted = queries.groupBy("user").agg(F.max("num").alias("num"))
     known = wanted.join(fitted.users.select(F.col("id").alias("user"), "idx"), "user")
-    longest = known.agg(F.max("num")).first()[0] or 1
+    longest = queries.agg(F.max("num")).first()[0] or 1
     user_idx = fitted.model.getUserCol()
     lists = fitted.model.recommendForUserSubset(known.select(F.col("idx").alias(user_idx)), longest)
     scored = (

@@ -63,21 +63,23 @@ def popular_unseen(
     seen: DataFrame | None,
     max_items: int,
     by: Sequence[str] = (),
+    groups: int = 1,
     weight: float = 1.0,
     compat: bool = False,
 ) -> DataFrame:
     """First ``num`` items of the top list each queried user has not seen.
 
     ``queries`` has ``(user, num)``, ``seen`` ``(user, item)`` and ``top`` the
-    ranked list. The seen items become a set of at most ``max_items`` ranks per
-    user; the free ranks follow from it, so queries are never paired with the
-    whole list. Users without history get the head of the list.
+    ranked list, one for each of the ``groups`` values of ``by``. The seen
+    items become a set of at most ``max_items`` ranks per user; the free ranks
+    follow from it, so queries are never paired with the whole list. Users
+    without history get the head of the list.
 
     ``compat`` recommends seen items again and scores with integer division.
     """
     keys = ["user", *by]
-    small = F.broadcast(top) if max_items <= BROADCAST_ROW_BOUND else top
-    wanted = queries.select(*keys, "num").distinct()
+    small = F.broadcast(top) if max_items * groups <= BROADCAST_ROW_BOUND else top
+    wanted = queries.groupBy(*keys).agg(F.max("num").alias("num"))
     all_ranks = F.sequence(F.lit(1), F.lit(max_items))
     if compat:
         free = wanted.withColumn("free", all_ranks)

@@ -21,7 +21,7 @@ def blend(recommendations: Sequence[DataFrame], queries: DataFrame) -> DataFrame
         .agg(F.round(F.sum("score"), SCORE_DECIMALS).alias("score"))
     )
     wanted = queries.groupBy("user").agg(F.max("num").alias("num"))
-    longest = wanted.agg(F.max("num")).first()[0] or 0
+    longest = queries.agg(F.max("num")).first()[0] or 0
     order = [F.col("score").desc(), *id_order(merged, "item")]
     best = top_k(merged.join(wanted, "user"), ["user"], order, longest)
     return best.filter(F.col("rank") <= F.col("num")).select("user", "item", "score", "rank")

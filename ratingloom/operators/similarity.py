@@ -137,7 +137,8 @@ def _meetings(placed: DataFrame, tasks: int) -> DataFrame:
         F.col("x").alias("y"),
     ).repartition(tasks, *keys)
     ordered = (F.col("ha") < F.col("hb")) | ((F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b")))
-    met = first.join(second, keys).filter(F.col("with_tail") | ordered)
+    # never broadcast: the size estimate knows nothing of the copies per slot
+    met = first.join(second.hint("merge"), keys).filter(F.col("with_tail") | ordered)
 
     def oriented(one: str, other: str) -> Column:
         return F.when(ordered, F.col(one)).otherwise(F.col(other))

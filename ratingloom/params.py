@@ -51,7 +51,7 @@ class AlgorithmSpec:
 class EngineParams:
     """Data source settings plus the ordered list of recommenders."""
 
-    app_name: str = "MyApp1"
+    app_name: str = "default"
     eval_params: EvalParams | None = None
     algorithms: tuple[AlgorithmSpec, ...] = field(default_factory=tuple)
 

@@ -131,8 +131,8 @@ def csv_rating_import(spark, sf_dir):
         "rating",
         F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("timestamp"),
     ).write.option("header", True).csv(path)
-    import_ratings_csv(spark, path, store, "MyApp1")
-    rows = scan_ratings(read_event_store(spark, store, "MyApp1"))
+    import_ratings_csv(spark, path, store, "shop")
+    rows = scan_ratings(read_event_store(spark, store, "shop"))
     return rows.select("user", "item", "rating", F.unix_seconds("ts").alias("seconds"))
 
 
@@ -499,6 +499,6 @@ def param_sweep_engines(spark, sf_dir):
     return param_sweep(_ratings(spark, sf_dir), settings, EvalParams(k_fold=2, query_num=NUM))
 
 
-# keys of the survey's inventory where the function name differs
+# two queries share their names with imported functions
 QUERIES["dataset_summary"] = QUERIES.pop("dataset_summary_rows")
 QUERIES["param_sweep"] = QUERIES.pop("param_sweep_popularity")

@@ -73,9 +73,9 @@ def write(tmp_path, text):
 def test_csv_import(spark, tmp_path):
     path = write(tmp_path, "userId,movieId,rating,timestamp\n1,10,4.0,964982703\n1,12,3.5,964982931\n2,10,5,964982000\n")
     store = str(tmp_path / "store")
-    import_ratings_csv(spark, path, store, "MyApp1")
+    import_ratings_csv(spark, path, store, "shop")
     import_ratings_csv(spark, path, store, "OtherApp")
-    ratings = scan_ratings(read_event_store(spark, store, "MyApp1"))
+    ratings = scan_ratings(read_event_store(spark, store, "shop"))
     assert sorted((r.user, r.item, r.rating) for r in ratings.collect()) == [
         ("1", "10", 4.0), ("1", "12", 3.5), ("2", "10", 5.0),
     ]
@@ -103,7 +103,7 @@ def test_summary(mini):
 def test_engine_json():
     text = json.dumps(
         {
-            "datasource": {"params": {"appName": "MyApp1", "evalParams": {"kFold": 10, "queryNum": 10}}},
+            "datasource": {"params": {"appName": "shop", "evalParams": {"kFold": 10, "queryNum": 10}}},
             "algorithms": [
                 {"name": "nb", "params": {"pearsonThreasholds": 5, "topNLikes": 150}},
                 {"name": "als", "params": {"rank": 10, "numIterations": 20, "lambda": 0.01, "seed": 3}},
@@ -112,7 +112,7 @@ def test_engine_json():
         }
     )
     params = engine_params_from_json(text)
-    assert params.app_name == "MyApp1" and params.eval_params.k_fold == 10
+    assert params.app_name == "shop" and params.eval_params.k_fold == 10
     assert [a.name for a in params.algorithms] == ["nb", "als", "mv"]
     assert [a.params for a in params.algorithms] == [NeighbourParams(5, 150), ALSParams(), PopularityParams(300)]
     with pytest.raises(ValueError, match="unknown algorithm 'pus'"):
