@@ -15,9 +15,9 @@ from ratingloom.session import write_shared
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language (without a letter) and those whose language stays ambiguous."""
-    found = language_id.language_of_documents(docs)
-    known = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select("doc_id")
-    return docs.join(known, "doc_id", "left_semi")
+    found = language_id.language_of_documents(docs, columns=tuple(docs.columns))
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")
+    return found.where(known).select(*docs.columns)
 
 
 STAGES = [

@@ -200,26 +200,25 @@ def fit(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Langu
     return LanguageModel(languages, code, weights.astype(np.float32), apart / apart.mean(), params)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, lang_pred, score, ambiguous).
+def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The given ``columns`` of ``docs`` (which has ``text``) with lang_pred, score and ambiguous.
 
     A null text, or one without a letter, is ``und`` with score 0, flagged
     ambiguous. Whole texts count. Equal scores go to the language that sorts
     first; a repeated row is answered each time; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*columns, "lang_pred", "score", "ambiguous"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, flags = shared.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(flags)],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
-            )
+            langs, scores, flags = shared.value.predict(batch.column(0).to_pylist())
+            found = [pa.array(langs, pa.string()), pa.array(scores), pa.array(flags)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double, ambiguous boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
+    schema = ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"])
+    return docs.select(F.col("text").alias("_text"), *columns).mapInArrow(run, schema)
 
 
 def in_training(docs: DataFrame) -> DataFrame:
@@ -227,9 +226,8 @@ def in_training(docs: DataFrame) -> DataFrame:
     return docs.where(fold(F.col("doc_id"), 4) != 2)
 
 
-def language_of_documents(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """Fit on the training fold of ``docs`` and predict every row; adds ``held_out``."""
-    found = identify(docs, fit(in_training(docs), params))
-    return found.select(
-        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous"
-    )
+def language_of_documents(
+    docs: DataFrame, params: LanguageParams = LanguageParams(), columns: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Fit on the training fold of ``docs`` and predict every row, keeping ``columns``."""
+    return identify(docs, fit(in_training(docs), params), columns)

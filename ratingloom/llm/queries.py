@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id
-from ratingloom.llm.common import table
+from ratingloom.llm import language_id, simhash
+from ratingloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,4 +21,10 @@ def query(function):
 
 @query
 def op8_language_id(spark, sf_dir):
-    return language_id.language_of_documents(table(spark, sf_dir, "documents"))
+    found = language_id.language_of_documents(table(spark, sf_dir, "documents"))
+    return found.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
