@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id, simhash
+from ratingloom.llm import language_id, quality, simhash
 from ratingloom.llm.common import fold, table
+from ratingloom.session import write_shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +20,15 @@ def query(function):
     return function
 
 
+@query
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = write_shared(docs.select("doc_id", quality.statistics(F.col("text")).alias("s")), "quality")
+    kept, _ = quality.judge(rated, table(spark, sf_dir, "labels"))
+    columns = [F.col(f"s.{name}") for name in quality.STATISTICS]
+    return rated.select("doc_id", *columns, quality.base_failed(F.col("s")).alias("base_failed"), kept.alias("kept"))
+
+
 @query
 def op8_language_id(spark, sf_dir):
     found = language_id.language_of_documents(table(spark, sf_dir, "documents"))
