@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id, quality, simhash
+from ratingloom.llm import language_id, mixing, quality, simhash
 from ratingloom.llm.common import fold, table
 from ratingloom.session import write_shared
 
@@ -29,6 +29,48 @@ def op5_quality_rules(spark, sf_dir):
     return rated.select("doc_id", *columns, quality.base_failed(F.col("s")).alias("base_failed"), kept.alias("kept"))
 
 
+@query
+def op6_mixing(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+# the rates of a source are all alike at the solution, its share of the target
+ORACLE["op6_mixing"] = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS late
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM d GROUP BY source
+), capped AS (
+    SELECT sum(2.0 * source_size) OVER w AS used, sum(weight) OVER w AS gone
+    FROM s WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST)
+    UNION ALL SELECT 0.0, 0
+), level AS (
+    SELECT max((1.5 * (SELECT sum(source_size) FROM s) - used) / ((SELECT sum(weight) FROM s) - gone)) AS level
+    FROM capped WHERE gone < (SELECT sum(weight) FROM s)
+), t AS (
+    SELECT source, source_size, CAST(least(2.0 * source_size, weight * level) AS DOUBLE) AS target FROM s, level
+), r AS (
+    SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+           CASE WHEN abs(rate - round(rate)) < 1e-6 THEN round(rate) ELSE rate END AS near,
+           CAST(floor(near) AS BIGINT) AS whole
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+    SELECT *, CAST(round(target) AS BIGINT) - whole * source_size AS need,
+           sum(size) OVER (PARTITION BY source ORDER BY late, doc_id, size
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS so_far
+    FROM r
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(whole * size + CASE WHEN near > whole THEN greatest(0, least(size, need - so_far)) ELSE 0 END AS BIGINT)
+           AS taken
+FROM o
+"""
+
+
 @query
 def op8_language_id(spark, sf_dir):
     found = language_id.language_of_documents(table(spark, sf_dir, "documents"))
