@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id
-from ratingloom.session import write_shared
+from ratingloom.llm import language_id, mixing, quality, segmentation, simhash
+from ratingloom.llm.common import SPACE, table
+from ratingloom.session import use_adaptive_plans, write_shared
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +21,53 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.where(known).select(*docs.columns)
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rules or meet a rule learned from ``labels``."""
+    rated, _ = quality.rate(docs, table(spark, sf_dir, "labels"))
+    return rated.where("kept").select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of every group of linked fingerprints."""
+    use_adaptive_plans(spark)
+    classes = simhash.near_duplicates(docs)
+    others = classes.where("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that every source meets its target.
+
+    A document comes once for each time its words are taken, the last time
+    perhaps with its first words only (joined by spaces). Rows that share a
+    doc_id take the same.
+    """
+    use_adaptive_plans(spark)
+    mixed = mixing.mix_documents(docs)
+    taken = mixed.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.floor(F.sum("taken") / F.count(F.lit(1))).cast("int").alias("_taken"),
+        F.max("size").cast("int").alias("_size"),
+    )
+    joined = docs.join(taken.where("_taken > 0"), docs["doc_id"].eqNullSafe(taken["_id"]))
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    part = F.col("_taken") - F.col("_size") * (F.col("_copy") - 1)
+    text = F.when(part < F.col("_size"), F.array_join(F.slice(words, F.lit(1), part), " ")).otherwise(F.col("text"))
+    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    repeated = copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return repeated.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece segmentations of every document."""
+    return segmentation.sample_segmentations(docs)
+
+
 STAGES = [
     ("language_id", keep_known_languages),
+    ("quality_rules", keep_good_quality),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
 ]
 
 #: Learned decisions and sampled segmentations cannot be expressed in SQL.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id, mixing, quality, simhash
+from ratingloom.llm import language_id, mixing, quality, segmentation, simhash
 from ratingloom.llm.common import fold, table
 from ratingloom.session import write_shared
 
@@ -20,6 +20,11 @@ def query(function):
     return function
 
 
+@query
+def op1_sentencepiece(spark, sf_dir):
+    return segmentation.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
