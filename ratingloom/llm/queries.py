@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id, mixing, quality, search, segmentation, simhash
+from ratingloom.llm import language_id, mixing, quality, search, segmentation, simhash, warc
 from ratingloom.llm.common import fold, table
-from ratingloom.session import write_shared
+from ratingloom.session import fresh_path, write_shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,30 @@ def op1_sentencepiece(spark, sf_dir):
     return segmentation.sample_segmentations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    path = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.read_archive(spark, path)).drop("intact")
+
+
+ORACLE["op3_warc"] = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), r AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000
+                   THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS response
+    FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM r
+"""
+
+
 @query
 def op4_top_k_search(spark, sf_dir):
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -103,18 +103,19 @@ def block_top(
     k, slack = params.k, 1e-9
     x, y = q.astype(np.float64), c.astype(np.float64)
     own = q_ids[:, None] == c_ids[None, :]
+    # more than rounding can take from a bound or a threshold
+    margin = slack * (1 + np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max(initial=0))
     alive = ~own
     threshold = np.full(len(q), -np.inf)
     for level, borders in enumerate(_segments(q.shape[1], params.levels)):
         bound = summaries(x, borders) @ summaries(y, borders).T
-        bound += slack * (1 + np.abs(bound))
+        bound += margin[:, None]
         if level == 0 and len(c) > k:
             # exact scores of the k candidates that look best are a first threshold
             first = np.argpartition(np.where(own, -np.inf, bound), len(c) - k, axis=1)[:, len(c) - k :]
             scores = np.einsum("qd,qkd->qk", x, y[first])
             scores[np.take_along_axis(own, first, 1)] = -np.inf
-            threshold = scores.min(1) * (1 - slack * np.sign(scores.min(1))) - slack
-            threshold[~np.isfinite(threshold)] = -np.inf
+            threshold = scores.min(1) - margin
         alive &= bound >= threshold[:, None]
     columns = np.flatnonzero(alive.any(0))
     scores = np.where(alive[:, columns], _exact(q, c[columns]), -np.iinfo(np.int64).max)
