@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import language_id, mixing, quality, search, segmentation, simhash, warc
+from ratingloom.llm import html_text, language_id, mixing, packing, quality, search, segmentation, simhash, warc
 from ratingloom.llm.common import fold, table
 from ratingloom.session import fresh_path, write_shared
 
@@ -123,6 +123,11 @@ FROM o
 """
 
 
+@query
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_language_id(spark, sf_dir):
     found = language_id.language_of_documents(table(spark, sf_dir, "documents"))
@@ -132,3 +137,8 @@ def op8_language_id(spark, sf_dir):
 @query
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
