@@ -69,13 +69,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Store ``df`` as a table in the shared folder and read it back.
+def write_shared(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Store ``df`` as a table in the shared folder (a folder per value of ``by``) and read it back.
 
     Cuts the lineage without executor-local state: a lost executor costs a
     re-read, not a re-computation.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
