@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm import html_text, language_id, mixing, packing, quality, search, segmentation, simhash, warc
+from ratingloom.llm import (
+    html_text,
+    language_id,
+    language_model,
+    mixing,
+    packing,
+    quality,
+    search,
+    segmentation,
+    simhash,
+    warc,
+)
 from ratingloom.llm.common import fold, table
 from ratingloom.session import fresh_path, write_shared
 
@@ -25,6 +36,13 @@ def op1_sentencepiece(spark, sf_dir):
     return segmentation.sample_segmentations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = (fold(F.col("doc_id"), 5) == 1).alias("held_out")
+    return language_model.score(docs.select("doc_id", "text", held_out))
+
+
 @query
 def op3_warc(spark, sf_dir):
     path = fresh_path(spark, "warc")
