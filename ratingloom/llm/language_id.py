@@ -75,9 +75,9 @@ def ngrams(texts: list[str], params: LanguageParams) -> tuple[np.ndarray, np.nda
     Letters are lower-cased, everything else is a space; an n-gram counts if its
     first character or the one after it is a letter, and never spans two texts.
     """
-    gap = "  " * max(params.orders)
-    joined = gap.join(texts).lower() + gap
-    lengths = [len(t.lower()) + len(gap) for t in texts]
+    gap = " " * (1 + max(params.orders))
+    framed = [f" {t.lower()}{gap}" for t in texts]
+    joined, lengths = "".join(framed), list(map(len, framed))
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     codes = np.where(letter, codes, 32).astype(np.uint32)
@@ -161,7 +161,7 @@ def fit(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Langu
         for lang, hits in totals.items():
             used = np.flatnonzero(hits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(hits[used])],
+                [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(hits[used], pa.int64())],
                 ["lang", "feature", "n"],
             )
 
