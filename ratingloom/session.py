@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: Broadcast hints are given only to tables with at most this many narrow rows.
 BROADCAST_ROW_BOUND = 20_000
 
+#: Settings of every session that runs these operators.
 _ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a hot key is worth one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # batches handed to Python stay small however long the texts are
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
@@ -39,7 +42,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def use_adaptive_plans(spark: SparkSession) -> SparkSession:
-    """Turn on run-time skew splitting in a session made elsewhere."""
+    """Turn on run-time skew splitting and small Python batches in a session made elsewhere."""
     for key, value in _ADAPTIVE.items():
         spark.conf.set(key, value)
     return spark
