@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import id_order, jvm_divide, share, top_k
 from ratingloom.functions.scoring import SCORE_DECIMALS
+from ratingloom.operators.requests import Requests, requests_of
 
 
 def cf_candidates(neighbours: DataFrame, likes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -28,21 +29,25 @@ def cf_candidates(neighbours: DataFrame, likes: DataFrame, seen: DataFrame) -> D
     return scored.join(known, ["user", "item"], "left").filter(F.col("known").isNull()).drop("known")
 
 
-def ranked_shares(candidates: DataFrame, queries: DataFrame, accepted: str, weight: float, compat: bool = False) -> DataFrame:
+def ranked_shares(
+    candidates: DataFrame, queries: DataFrame | Requests, accepted: str, weight: float, compat: bool = False
+) -> DataFrame:
     """Best ``num`` accepted candidates per query, scored by their share.
 
     ``accepted`` names a boolean column. ``compat`` returns every candidate,
     accepted or not, over the total of the accepted top list; without any
     accepted one the scores are infinite.
     """
-    wanted = queries.groupBy("user").agg(F.max("num").alias("num"))
-    longest = queries.agg(F.max("num")).first()[0] or 0
-    asked = candidates.join(wanted, "user")
+    requests = requests_of(queries)
+    users = candidates.join(requests.rows.select("user").distinct(), "user", "left_semi")
     order = [F.col("score").desc(), *id_order(candidates, "item")]
-    best = top_k(asked.filter(accepted), ["user"], order, longest).filter(F.col("rank") <= F.col("num"))
+    # ranked once per user; every query of the user takes the head of that list
+    ranked = top_k(users.filter(accepted), ["user"], order, requests.most)
+    best = ranked.join(requests.rows, "user").filter(F.col("rank") <= F.col("num"))
     if not compat:
-        part = F.round(share(F.col("score"), ["user"], weight), SCORE_DECIMALS)
-        return best.select("user", "item", part.alias("score"), "rank")
-    totals = best.groupBy("user").agg(F.sum("score").alias("total"))
+        part = F.round(share(F.col("score"), ["user", "num"], weight), SCORE_DECIMALS)
+        return best.select("user", "num", "item", part.alias("score"), "rank")
+    totals = best.groupBy("user", "num").agg(F.sum("score").alias("total"))
     part = jvm_divide(F.col("score"), F.coalesce("total", F.lit(0.0))) * F.lit(float(weight))
-    return asked.join(totals, "user", "left").select("user", "item", F.round(part, SCORE_DECIMALS).alias("score"))
+    every = users.join(requests.rows, "user").join(totals, ["user", "num"], "left")
+    return every.select("user", "num", "item", F.round(part, SCORE_DECIMALS).alias("score"))

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.recommendation import ALSModel as SparkALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom.functions import id_order, share, top_k
 from ratingloom.functions.scoring import SCORE_DECIMALS
 from ratingloom.operators.ratings import id_index, require_ratings
+from ratingloom.operators.requests import Requests, requests_of
 from ratingloom.params import ALSParams
 from ratingloom.session import shared_folder, write_shared
 
@@ -35,6 +36,12 @@ def indexed_ratings(ratings: DataFrame, users: DataFrame, items: DataFrame) -> D
     )
 
 
+def automatic_blocks(ratings: DataFrame, rows_per_block: int = 2_000_000) -> int:
+    """Blocks of factors: one for each task slot, and more once the ratings of a block grow large."""
+    slots = ratings.sparkSession.sparkContext.defaultParallelism
+    return max(slots, -(-ratings.count() // rows_per_block))
+
+
 def fit_als(ratings: DataFrame, params: ALSParams = ALSParams()) -> Factorization:
     """Explicit ALS; factors are checkpointed every tenth iteration."""
     if params.num_iterations > 30:
@@ -46,6 +53,8 @@ def fit_als(ratings: DataFrame, params: ALSParams = ALSParams()) -> Factorizatio
     shared_folder(ratings.sparkSession)  # ALS checkpoints only if a folder is set
     users = write_shared(id_index(ratings, "user"), "users")
     items = write_shared(id_index(ratings, "item"), "items")
+    rows = indexed_ratings(ratings, users, items)
+    blocks = automatic_blocks(ratings)
     als = ALS(
         rank=params.rank,
         maxIter=params.num_iterations,
@@ -58,8 +67,10 @@ def fit_als(ratings: DataFrame, params: ALSParams = ALSParams()) -> Factorizatio
         itemCol="item_idx",
         ratingCol="rating",
         coldStartStrategy="drop",
+        numUserBlocks=params.user_blocks or blocks,
+        numItemBlocks=params.item_blocks or blocks,
     )
-    return Factorization(als.fit(indexed_ratings(ratings, users, items)), users, items)
+    return Factorization(als.fit(rows), users, items)
 
 
 def factors(fitted: Factorization) -> DataFrame:
@@ -81,17 +92,19 @@ def score_pairs(fitted: Factorization, pairs: DataFrame) -> DataFrame:
     return fitted.model.transform(indexed).select("user", "item", F.col("prediction").alias("score"))
 
 
-def als_recommend(fitted: Factorization, queries: DataFrame, normalize: bool = True) -> DataFrame:
+def als_recommend(fitted: Factorization, queries: DataFrame | Requests, normalize: bool = True) -> DataFrame:
     """Top ``num`` items per known queried user; seen items are not left out.
 
     The factor product is blocked and keeps only the best per user. Scores are
-    shares of the returned list, or raw predictions. Predictions are unbounded:
-    a share is null where they sum to zero and changes sign where they sum to
-    less; the rank follows the predictions.
+    shares of the returned list, or raw predictions. Predictions are unbounded,
+    and shares of a total that is not positive would turn the order round: such
+    lists have null shares, which add nothing to a blend, and a warning in
+    ``shareless_queries``. The rank follows the predictions.
     """
-    wanted = queries.groupBy("user").agg(F.max("num").alias("num"))
+    requests = requests_of(queries)
+    wanted = requests.rows.select("user").distinct()
     known = wanted.join(fitted.users.select(F.col("id").alias("user"), "idx"), "user")
-    longest = queries.agg(F.max("num")).first()[0] or 1
+    longest = max(requests.most, 1)
     user_idx = fitted.model.getUserCol()
     lists = fitted.model.recommendForUserSubset(known.select(F.col("idx").alias(user_idx)), longest)
     scored = (
@@ -101,18 +114,24 @@ def als_recommend(fitted: Factorization, queries: DataFrame, normalize: bool = T
         .join(fitted.items.select(F.col("id").alias("item"), F.col("idx").alias("item_idx")), "item_idx")
     )
     order = [F.col("score").desc(), *id_order(scored, "item")]
-    best = top_k(scored, ["user"], order, longest).filter(F.col("rank") <= F.col("num"))
-    value = F.round(share(F.col("score"), ["user"]), SCORE_DECIMALS) if normalize else F.col("score")
-    return best.select("user", "item", value.alias("score"), "rank")
+    ranked = top_k(scored, ["user"], order, longest)
+    best = ranked.join(requests.rows, "user").filter(F.col("rank") <= F.col("num"))
+    total = F.sum("score").over(Window.partitionBy("user", "num"))
+    parts = F.when(total > 0, F.round(share(F.col("score"), ["user", "num"]), SCORE_DECIMALS))
+    return best.select("user", "num", "item", (parts if normalize else F.col("score")).alias("score"), "rank")
+
+
+def shareless_queries(recommended: DataFrame) -> DataFrame:
+    """Queries whose predictions add up to zero or less, so that they have no shares."""
+    return recommended.filter(F.col("score").isNull()).select("user", "num").distinct()
 
 
 def als_batch_predict(fitted: Factorization, queries: DataFrame, normalize: bool = False) -> DataFrame:
     """One row per query with its ordered item list, empty for unknown users."""
     rows = als_recommend(fitted, queries.select("user", "num"), normalize)
-    lists = rows.groupBy("user").agg(
+    lists = rows.groupBy("user", "num").agg(
         F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("ranked")
     )
-    joined = queries.join(lists, "user", "left")
-    asked = F.slice("ranked", F.lit(1), F.col("num"))
-    scores = F.transform(asked, lambda s: F.struct(s["item"].alias("item"), s["score"].alias("score")))
+    joined = queries.join(lists, ["user", "num"], "left")
+    scores = F.transform("ranked", lambda s: F.struct(s["item"].alias("item"), s["score"].alias("score")))
     return joined.select(*queries.columns, F.coalesce(scores, F.array()).alias("item_scores"))

@@ -67,7 +67,7 @@ def popular_unseen(
     weight: float = 1.0,
     compat: bool = False,
 ) -> DataFrame:
-    """First ``num`` items of the top list each queried user has not seen.
+    """First ``num`` items of the top list each queried user has not seen, per ``(user, num)``.
 
     ``queries`` has ``(user, num)``, ``seen`` ``(user, item)`` and ``top`` the
     ranked list, one for each of the ``groups`` values of ``by``. The seen
@@ -79,7 +79,8 @@ def popular_unseen(
     """
     keys = ["user", *by]
     small = F.broadcast(top) if max_items * groups <= BROADCAST_ROW_BOUND else top
-    wanted = queries.groupBy(*keys).agg(F.max("num").alias("num"))
+    asked = queries.select(*keys, "num").distinct()
+    wanted = asked.select(*keys).distinct()
     all_ranks = F.sequence(F.lit(1), F.lit(max_items))
     if compat:
         free = wanted.withColumn("free", all_ranks)
@@ -94,17 +95,18 @@ def popular_unseen(
         free = wanted.join(taken, keys, "left").withColumn(
             "free", F.array_except(all_ranks, F.coalesce("taken", none))
         )
-    picks = free.select(
-        *keys, F.posexplode(F.slice("free", F.lit(1), F.col("num"))).alias("place", "top_rank")
+    picks = free.join(asked, keys).select(
+        *keys, "num", F.posexplode(F.slice("free", F.lit(1), F.col("num"))).alias("place", "top_rank")
     )
     listed = small.select(*by, "item", "views", F.col("rank").alias("top_rank"))
-    total = F.sum("views").over(Window.partitionBy(*keys))
+    total = F.sum("views").over(Window.partitionBy(*keys, "num"))
     part = F.expr("views div total").cast("double") if compat else F.try_divide("views", "total")
     return (
         picks.join(listed, [*by, "top_rank"])
         .withColumn("total", total)
         .select(
             *keys,
+            "num",
             "item",
             F.round(part * F.lit(weight), SCORE_DECIMALS).alias("score"),
             (F.col("place") + 1).alias("rank"),

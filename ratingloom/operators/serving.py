@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import id_order, top_k
 from ratingloom.functions.scoring import SCORE_DECIMALS
+from ratingloom.operators.requests import Requests, most_asked
 
 
-def blend(recommendations: Sequence[DataFrame], queries: DataFrame) -> DataFrame:
-    """Sum the scores per user and item and keep the best ``num`` per query."""
-    parts = [r.select("user", "item", "score") for r in recommendations]
+def blend(recommendations: Sequence[DataFrame], queries: DataFrame | Requests) -> DataFrame:
+    """Sum the scores per query and item and keep the best ``num`` of each query.
+
+    A query is a ``(user, num)``; one user may ask several times.
+    """
+    parts = [r.select("user", "num", "item", "score") for r in recommendations]
     merged = (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("user", "item")
+        .groupBy("user", "num", "item")
         .agg(F.round(F.sum("score"), SCORE_DECIMALS).alias("score"))
     )
-    wanted = queries.groupBy("user").agg(F.max("num").alias("num"))
-    longest = queries.agg(F.max("num")).first()[0] or 0
     order = [F.col("score").desc(), *id_order(merged, "item")]
-    best = top_k(merged.join(wanted, "user"), ["user"], order, longest)
-    return best.filter(F.col("rank") <= F.col("num")).select("user", "item", "score", "rank")
+    best = top_k(merged, ["user", "num"], order, most_asked(queries))
+    return best.filter(F.col("rank") <= F.col("num")).select("user", "num", "item", "score", "rank")
 
 
 def as_results(recommendations: DataFrame, queries: DataFrame) -> DataFrame:
@@ -32,10 +34,10 @@ def as_results(recommendations: DataFrame, queries: DataFrame) -> DataFrame:
 
     Lists hold at most ``num`` items; queries without any get an empty one.
     """
-    lists = recommendations.groupBy("user").agg(
+    lists = recommendations.groupBy("user", "num").agg(
         F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("ranked")
     )
     scores = F.transform("ranked", lambda s: F.struct(s["item"].alias("item"), s["score"].alias("score")))
-    return queries.join(lists, "user", "left").select(
+    return queries.join(lists, ["user", "num"], "left").select(
         *queries.columns, F.coalesce(scores, F.array()).alias("item_scores")
     )

@@ -28,6 +28,9 @@ class ALSParams:
     num_iterations: int = 20
     reg: float = 0.01
     seed: int = 3
+    #: Blocks of factors on either side; None follows the cluster and the number of ratings.
+    user_blocks: int | None = None
+    item_blocks: int | None = None
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,11 @@ def _neighbour(raw: dict) -> NeighbourParams:
 def _als(raw: dict) -> ALSParams:
     default = ALSParams()
     return ALSParams(
-        int(raw["rank"]), int(raw["numIterations"]), float(raw["lambda"]), int(raw.get("seed", default.seed))
+        int(raw["rank"]),
+        int(raw["numIterations"]),
+        float(raw["lambda"]),
+        int(raw.get("seed", default.seed)),
+        *(int(raw[k]) if int(raw.get(k, -1)) > 0 else None for k in ("numUserBlocks", "numItemBlocks")),
     )
 
 

@@ -9,9 +9,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ratingloom.operators.ratings import TrainingData, prepare
+from ratingloom.operators.requests import Requests
 from ratingloom.operators.serving import as_results, blend
 from ratingloom.params import AlgorithmSpec, EngineParams
 from ratingloom.plans.recommenders import RECOMMENDERS, Model, Neighbourhood
+from ratingloom.session import use_adaptive_plans
 
 
 @dataclass(frozen=True)
@@ -21,8 +23,9 @@ class HybridModel:
     parts: tuple[tuple[str, Model], ...]
 
     def recommend(self, queries: DataFrame) -> DataFrame:
-        """Blended ``(user, item, score, rank)``."""
-        return blend([model.recommend(queries) for _, model in self.parts], queries)
+        """Blended ``(user, num, item, score, rank)``; the queries are read once for all recommenders."""
+        requests = Requests(queries)
+        return blend([model.recommend(requests) for _, model in self.parts], requests)
 
     def serve(self, queries: DataFrame) -> DataFrame:
         """One row per query with its ordered item list."""
@@ -52,6 +55,7 @@ class HybridEngine:
     compat: bool = False
 
     def fit(self, ratings: DataFrame) -> HybridModel:
+        use_adaptive_plans(ratings.sparkSession)
         prepared = TrainingData(prepare(ratings, self.prepare_step))
         lists: dict[object, Neighbourhood] = {}
         parts = []
@@ -61,20 +65,12 @@ class HybridEngine:
                 # hybrids with equal settings share one neighbour search
                 if spec.params not in lists:
                     lists[spec.params] = Neighbourhood.build(prepared, spec.params, self.compat)
-                    if self._sharers(spec) > 1:
-                        lists[spec.params] = lists[spec.params].stored()
                 model = recommender.fit(prepared, lists[spec.params])
             else:
                 model = recommender.fit(prepared)
             parts.append((spec.name, model))
         return HybridModel(tuple(parts))
 
-    def _sharers(self, spec: AlgorithmSpec) -> int:
-        return sum(
-            other.params == spec.params and RECOMMENDERS[other.name].uses_neighbourhood
-            for other in self.params.algorithms
-        )
-
 
 def make_recommender(spec: AlgorithmSpec, compat: bool = False):
     if spec.name not in RECOMMENDERS:

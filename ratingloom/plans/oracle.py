@@ -8,7 +8,7 @@ are joined by :func:`_sql`. Settings repeat those of
 from __future__ import annotations
 
 from ratingloom.params import NeighbourParams
-from ratingloom.plans.queries import FOLDS, NEIGHBOURS, NUM, ORDER_NUM, ORDER_POPULAR, POPULAR, SWEEP_ITEMS
+from ratingloom.plans.queries import FOLDS, MIXED_NUMS, NEIGHBOURS, NUM, ORDER_NUM, ORDER_POPULAR, POPULAR, SWEEP_ITEMS
 
 _T, _N = NEIGHBOURS.min_common, NEIGHBOURS.top_n
 _K = FOLDS.k_fold
@@ -101,16 +101,23 @@ judged AS (
               THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
   FROM {source} x, c0, c1)"""
 
-ASKED = f'asked AS (SELECT DISTINCT user_id AS "user", {NUM} AS num FROM events)'
+def _asked(num: int) -> str:
+    return f'asked AS (SELECT DISTINCT user_id AS "user", {num} AS num FROM events)'
 
-BAYES_LIST = f"""best AS (
+
+def _bayes_list(num: int) -> str:
+    return f"""best AS (
   SELECT "user", item, score, rank FROM (
     SELECT "user", item, score,
            CAST(row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS INTEGER) AS rank
-    FROM judged WHERE prediction = 1 AND "user" IN (SELECT "user" FROM asked)) WHERE rank <= {NUM}),
+    FROM judged WHERE prediction = 1 AND "user" IN (SELECT "user" FROM asked)) WHERE rank <= {num}),
 nb AS (
   SELECT "user", item, round(score / sum(score) OVER (PARTITION BY "user") * 2.0, 9) AS score, rank FROM best)"""
 
+
+ASKED = _asked(NUM)
+BAYES_LIST = _bayes_list(NUM)
+
 #: Every candidate over the total of the accepted list.
 BAYES_LIST_COMPAT = f"""best AS (
   SELECT "user", item, score, rank FROM (
@@ -169,14 +176,18 @@ POPULAR_LIST_COMPAT = """mv AS (
          CAST(t.views // sum(t.views) OVER (PARTITION BY a."user") AS DOUBLE) AS score, t.rank
   FROM asked a, top t WHERE t.rank <= a.num)"""
 
-BLENDED = f"""blended AS (
+def _blended(num: int) -> str:
+    return f"""blended AS (
   SELECT "user", item, round(sum(score), 9) AS score FROM (
     SELECT "user", item, score FROM nb UNION ALL SELECT "user", item, score FROM mv)
   GROUP BY "user", item),
 served AS (
   SELECT "user", item, score, rank FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS INTEGER) AS rank
-    FROM blended) WHERE rank <= {NUM})"""
+    FROM blended) WHERE rank <= {num})"""
+
+
+BLENDED = _blended(NUM)
 
 
 def _fold_hits(max_items: int, suffix: str = "") -> str:
@@ -227,10 +238,17 @@ _COMPAT_CHAIN = (
     CANDIDATES,
 )
 _JUDGED = (BAYES, LIKED.format(source="cand"), ASKED)
-_HYBRID = _sql(
-    *_BAYES_CHAIN, *_JUDGED, BAYES_LIST, VIEWS, _top("views", POPULAR.max_items), POPULAR_LIST, BLENDED,
-    select='SELECT "user", item, score, rank FROM served',
-)
+
+
+def _hybrid(num: int, columns: str = '"user", item, score, rank') -> str:
+    judged = (BAYES, LIKED.format(source="cand"), _asked(num))
+    popular = (VIEWS, _top("views", POPULAR.max_items), POPULAR_LIST)
+    return _sql(
+        *_BAYES_CHAIN, *judged, _bayes_list(num), *popular, _blended(num), select=f"SELECT {columns} FROM served"
+    )
+
+
+_HYBRID = _hybrid(NUM)
 
 _STATS = """SELECT "user", count(*) AS n_ratings, round(avg(rating), 9) AS mean_rating,
        min(rating) AS min_rating, max(rating) AS max_rating FROM ev GROUP BY "user\""""
@@ -276,6 +294,13 @@ UNION ALL SELECT 'sample', value FROM (
         select="""SELECT CAST("user" AS VARCHAR) AS "user", CAST(item AS VARCHAR) AS item, rating,
        CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM ev""",
     ),
+    "csv_import_rejects": _sql(
+        EV,
+        select="""SELECT concat_ws(',', "user", item, CASE WHEN event_id % 7 = 0 THEN 'good' ELSE event_id::VARCHAR END,
+                 CASE WHEN event_id % 11 = 0 THEN 'late' ELSE event_id::VARCHAR END) AS line,
+       CASE WHEN event_id % 7 = 0 THEN 'rating' ELSE 'timestamp' END || ' is not a number' AS reason
+FROM ev WHERE event_id % 7 = 0 OR event_id % 11 = 0""",
+    ),
     "rating_dedup_latest": _sql(EV, LATEST, select="SELECT * FROM r"),
     "user_rating_stats": _sql(EV, select=_STATS),
     "user_history": _sql(
@@ -379,6 +404,10 @@ WHERE rank <= {NUM}""",
         EV, select=_INDEX_FACTS.format(side="user") + "\nUNION ALL " + _INDEX_FACTS.format(side="item")
     ),
     "hybrid_serve": _HYBRID,
+    # each batch asked alone
+    "hybrid_serve_mixed_num": " UNION ALL ".join(
+        f"SELECT * FROM ({_hybrid(n, f'{chr(34)}user{chr(34)}, {n} AS num, item, score, rank')})" for n in MIXED_NUMS
+    ),
     "hybrid_serve_compat": _sql(
         *_COMPAT_CHAIN,
         *_JUDGED,

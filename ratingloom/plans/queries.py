@@ -31,7 +31,7 @@ from ratingloom.plans.recommenders import (
     PopularityRecommender,
 )
 from ratingloom.session import fresh_path
-from ratingloom.sources.csv_import import import_ratings_csv
+from ratingloom.sources.csv_import import import_ratings_csv, rejected_csv_lines
 from ratingloom.sources.events import (
     CLICKSTREAM,
     dataset_summary,
@@ -43,8 +43,9 @@ from ratingloom.sources.events import (
 PURCHASE = ("purchase",)
 NEIGHBOURS = NeighbourParams(min_common=3, top_n=20)
 POPULAR = PopularityParams(max_items=20)
-ALS_SETTINGS = ALSParams(rank=10, num_iterations=20, reg=0.01, seed=3)
+ALS_SETTINGS = ALSParams()
 NUM = 5
+MIXED_NUMS = (2, 5)
 FOLDS = EvalParams(k_fold=5, query_num=NUM)
 SWEEP_ITEMS = (2, 10, 50)
 BLEND = (AlgorithmSpec("nb", NEIGHBOURS), AlgorithmSpec("mv", POPULAR))
@@ -136,6 +137,19 @@ def csv_rating_import(spark, sf_dir):
     return rows.select("user", "item", "rating", F.unix_seconds("ts").alias("seconds"))
 
 
+@query
+def csv_import_rejects(spark, sf_dir):
+    """Lines a tolerant import leaves out: some ratings and times of the file are words."""
+    path = fresh_path(spark, "csv")
+    _ratings(spark, sf_dir).select(
+        F.col("user").alias("userId"),
+        F.col("item").alias("movieId"),
+        F.when(F.col("event_id") % 7 == 0, "good").otherwise(F.col("event_id").cast("string")).alias("rating"),
+        F.when(F.col("event_id") % 11 == 0, "late").otherwise(F.col("event_id").cast("string")).alias("timestamp"),
+    ).write.option("header", True).csv(path)
+    return rejected_csv_lines(spark, path)
+
+
 # -- ratings ---------------------------------------------------------------
 
 
@@ -201,13 +215,13 @@ def most_viewed_topk(spark, sf_dir):
 
 @query
 def popular_unseen_per_user(spark, sf_dir):
-    return PopularityRecommender(POPULAR).fit(_ratings(spark, sf_dir)).recommend(_asked(spark, sf_dir))
+    return PopularityRecommender(POPULAR).fit(_ratings(spark, sf_dir)).recommend(_asked(spark, sf_dir)).drop("num")
 
 
 @query
 def popular_per_user_compat(spark, sf_dir):
     model = PopularityRecommender(POPULAR, compat=True).fit(_ratings(spark, sf_dir))
-    return model.recommend(_asked(spark, sf_dir))
+    return model.recommend(_asked(spark, sf_dir)).drop("num")
 
 
 @query
@@ -230,7 +244,7 @@ def order_popular_unseen(spark, sf_dir):
     ratings = _order_ratings(spark, sf_dir)
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"))
     asked = customers.withColumn("num", F.lit(ORDER_NUM))
-    return PopularityRecommender(ORDER_POPULAR).fit(ratings).recommend(asked)
+    return PopularityRecommender(ORDER_POPULAR).fit(ratings).recommend(asked).drop("num")
 
 
 # -- similar users ---------------------------------------------------------
@@ -339,18 +353,18 @@ def chi_square_features(spark, sf_dir):
 
 @query
 def cf_nb_recommend(spark, sf_dir):
-    return NaiveBayesHybrid(NEIGHBOURS).fit(_ratings(spark, sf_dir)).recommend(_asked(spark, sf_dir))
+    return NaiveBayesHybrid(NEIGHBOURS).fit(_ratings(spark, sf_dir)).recommend(_asked(spark, sf_dir)).drop("num")
 
 
 @query
 def cf_nb_recommend_compat(spark, sf_dir):
     model = NaiveBayesHybrid(NEIGHBOURS, compat=True).fit(_ratings(spark, sf_dir))
-    return _labelled_numbers(model.recommend(_asked(spark, sf_dir)), "score")
+    return _labelled_numbers(model.recommend(_asked(spark, sf_dir)).drop("num"), "score")
 
 
 @query
 def cf_rf_recommend(spark, sf_dir):
-    return ForestHybrid(NEIGHBOURS).fit(_ratings(spark, sf_dir)).recommend(_asked(spark, sf_dir))
+    return ForestHybrid(NEIGHBOURS).fit(_ratings(spark, sf_dir)).recommend(_asked(spark, sf_dir)).drop("num")
 
 
 def _index_facts(ids: DataFrame, side: str) -> DataFrame:
@@ -388,7 +402,7 @@ def als_score_pairs(spark, sf_dir):
 
 @query
 def als_recommend(spark, sf_dir):
-    return factorization.als_recommend(_factorized(spark, sf_dir), _asked(spark, sf_dir))
+    return factorization.als_recommend(_factorized(spark, sf_dir), _asked(spark, sf_dir)).drop("num")
 
 
 @query
@@ -403,12 +417,20 @@ def _blend_model(spark, sf_dir, compat=False):
 
 @query
 def hybrid_serve(spark, sf_dir):
-    return _blend_model(spark, sf_dir).recommend(_asked(spark, sf_dir))
+    return _blend_model(spark, sf_dir).recommend(_asked(spark, sf_dir)).drop("num")
+
+
+@query
+def hybrid_serve_mixed_num(spark, sf_dir):
+    """Every user asks twice in one batch; each query gets the list it would get alone."""
+    asked = _asked(spark, sf_dir)
+    both = asked.withColumn("num", F.explode(F.array(*(F.lit(n) for n in MIXED_NUMS))))
+    return _blend_model(spark, sf_dir).recommend(both)
 
 
 @query
 def hybrid_serve_compat(spark, sf_dir):
-    blended = _blend_model(spark, sf_dir, compat=True).recommend(_asked(spark, sf_dir))
+    blended = _blend_model(spark, sf_dir, compat=True).recommend(_asked(spark, sf_dir)).drop("num")
     return _labelled_numbers(blended, "score")
 
 
@@ -417,7 +439,7 @@ def model_roundtrip(spark, sf_dir):
     """The blend again, from models saved and loaded."""
     path = fresh_path(spark, "model")
     _blend_model(spark, sf_dir).save(spark, path)
-    return HybridModel.load(spark, path).recommend(_asked(spark, sf_dir))
+    return HybridModel.load(spark, path).recommend(_asked(spark, sf_dir)).drop("num")
 
 
 @query

@@ -2,8 +2,9 @@
 
 ``fit`` takes ratings ``(user, item, rating, ts, event_id)``, as a DataFrame or
 as :class:`TrainingData` to share work between recommenders; ``recommend``
-takes a batch of queries ``(user, num)`` and returns ``(user, item, score,
-rank)``. A recommender of your own needs these methods and an entry in
+takes a batch of queries ``(user, num)`` and returns ``(user, num, item, score,
+rank)``, one list for each distinct query. Lists are computed and stored by
+``fit``; ``recommend`` reads them. A recommender of your own needs these methods and an entry in
 :data:`RECOMMENDERS`.
 """
 
@@ -23,6 +24,7 @@ from ratingloom.operators.collaborative import cf_candidates, ranked_shares
 from ratingloom.operators.factorization import Factorization, als_recommend, fit_als
 from ratingloom.operators.popularity import item_views_top, popular_unseen
 from ratingloom.operators.ratings import TrainingData, labeled_ratings, require_ratings, user_likes
+from ratingloom.operators.requests import Requests, asked_rows, requests_of
 from ratingloom.operators.similarity import nearest_users, pearson_pairs
 from ratingloom.params import ALSParams, NeighbourParams, PopularityParams
 from ratingloom.session import write_shared
@@ -34,7 +36,7 @@ POPULARITY_WEIGHT = 1.0
 
 
 class Model(Protocol):
-    def recommend(self, queries: DataFrame) -> DataFrame: ...
+    def recommend(self, queries: DataFrame | Requests) -> DataFrame: ...
 
     def save(self, path: str) -> None: ...
 
@@ -61,14 +63,14 @@ class PopularityModel:
     max_items: int
     compat: bool = False
 
-    def recommend(self, queries: DataFrame) -> DataFrame:
+    def recommend(self, queries: DataFrame | Requests) -> DataFrame:
         return popular_unseen(
-            queries, self.top, self.seen, self.max_items, weight=POPULARITY_WEIGHT, compat=self.compat
+            asked_rows(queries), self.top, self.seen, self.max_items, weight=POPULARITY_WEIGHT, compat=self.compat
         )
 
     def save(self, path: str) -> None:
         _store(self.top, f"{path}/top")
-        _store(self.seen.distinct(), f"{path}/seen")
+        _store(self.seen, f"{path}/seen")
         settings = [(self.max_items, self.compat)]
         _store(self.top.sparkSession.createDataFrame(settings, "max_items int, compat boolean"), f"{path}/settings")
 
@@ -89,10 +91,10 @@ class PopularityRecommender:
     compat: bool = False
 
     def fit(self, ratings: DataFrame | TrainingData) -> PopularityModel:
-        events = _training_data(ratings).events
-        top = item_views_top(events, self.params.max_items, pruned=self.compat)
-        # repeats are left in: only rows of listed items get past the first join
-        return PopularityModel(top, events.select("user", "item"), self.params.max_items, self.compat)
+        data = _training_data(ratings)
+        top = item_views_top(data.events, self.params.max_items, pruned=self.compat)
+        seen = data.latest.select("user", "item")
+        return PopularityModel(write_shared(top, "top"), seen, self.params.max_items, self.compat)
 
 
 # -- similar users plus a classifier ---------------------------------------
@@ -100,7 +102,7 @@ class PopularityRecommender:
 
 @dataclass(frozen=True)
 class Neighbourhood:
-    """Shared by the classifier hybrids: neighbour, liked and seen lists."""
+    """Shared by the classifier hybrids: neighbour, liked and seen lists, all computed and stored."""
 
     neighbours: DataFrame
     likes: DataFrame
@@ -113,18 +115,15 @@ class Neighbourhood:
         data = _training_data(ratings)
         pairs = pearson_pairs(data.latest, params, compat, latest_only=True)
         return cls(
-            nearest_users(pairs, params.top_n, compat),
-            user_likes(data.rated(compat), params.top_n),
+            write_shared(nearest_users(pairs, params.top_n, compat), "neighbours"),
+            write_shared(user_likes(data.rated(compat), params.top_n), "likes"),
             data.latest.select("user", "item"),
         )
 
-    def stored(self) -> Neighbourhood:
-        """The same with the neighbour lists computed once and kept."""
-        return Neighbourhood(write_shared(self.neighbours, "neighbours"), self.likes, self.seen)
-
-    def candidates(self, queries: DataFrame) -> DataFrame:
+    def candidates(self, queries: DataFrame | Requests) -> DataFrame:
         """Candidates of the queried users only."""
-        asked = self.neighbours.join(queries.select("user").distinct(), "user", "left_semi")
+        users = asked_rows(queries).select("user").distinct()
+        asked = self.neighbours.join(users, "user", "left_semi")
         return cf_candidates(asked, self.likes, self.seen)
 
     def save(self, path: str) -> None:
@@ -144,7 +143,8 @@ class ClassifierHybridModel:
     weight: float
     compat: bool = False
 
-    def recommend(self, queries: DataFrame) -> DataFrame:
+    def recommend(self, queries: DataFrame | Requests) -> DataFrame:
+        queries = requests_of(queries)
         judged = classify(self.classifier, self.neighbourhood.candidates(queries))
         judged = judged.withColumn("liked", F.col("prediction") == 1.0).drop("prediction")
         return ranked_shares(judged, queries, "liked", self.weight, self.compat)
@@ -220,7 +220,7 @@ class ALSRecommenderModel:
     fitted: Factorization
     normalize: bool = True
 
-    def recommend(self, queries: DataFrame) -> DataFrame:
+    def recommend(self, queries: DataFrame | Requests) -> DataFrame:
         return als_recommend(self.fitted, queries, self.normalize)
 
     def save(self, path: str) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratingloom.session import write_shared
+
 #: Columns by position; the header line is skipped.
 RATING_FILE = T.StructType(
     [
@@ -15,12 +17,19 @@ RATING_FILE = T.StructType(
         T.StructField("timestamp", T.LongType()),
     ]
 )
+#: Holds the text of a line that does not fit the columns.
+BAD_LINE = "_bad_line"
 
 
-def ratings_csv_to_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """One ``rate`` event per line; a bad line stops a strict import."""
-    reader = spark.read.schema(RATING_FILE).option("header", True).option("enforceSchema", True)
-    rows = reader.option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a rating file, parsed once with all columns; bad ones keep their text in ``_bad_line``."""
+    schema = T.StructType([*RATING_FILE.fields, T.StructField(BAD_LINE, T.StringType())])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    return write_shared(reader.csv(path), "csv_lines")
+
+
+def _as_events(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.xxhash64("userId", "movieId", "timestamp", "rating").alias("event_id"),
         F.lit("rate").alias("event"),
@@ -32,9 +41,49 @@ def ratings_csv_to_events(spark: SparkSession, path: str, strict: bool = True) -
     )
 
 
+def ratings_csv_to_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """One ``rate`` event per line.
+
+    A bad line stops a strict import; else it is left out, and
+    :func:`rejected_csv_lines` has it.
+    """
+    if strict:
+        reader = spark.read.schema(RATING_FILE).option("header", True).option("enforceSchema", True)
+        return _as_events(reader.option("mode", "FAILFAST").csv(path))
+    return _as_events(_read_lines(spark, path).where(F.col(BAD_LINE).isNull()))
+
+
+def rejected_csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line, reason)`` of every line that a tolerant import leaves out."""
+    bad = _read_lines(spark, path).where(F.col(BAD_LINE).isNotNull())
+    reason = (
+        F.when(F.size(F.split(BAD_LINE, ",")) < len(RATING_FILE.fields), "too few columns")
+        .when(F.col("rating").isNull(), "rating is not a number")
+        .when(F.col("timestamp").isNull(), "timestamp is not a number")
+        .otherwise("too many columns")
+    )
+    return bad.select(F.col(BAD_LINE).alias("line"), reason.alias("reason"))
+
+
 def import_ratings_csv(
     spark: SparkSession, path: str, store: str, app_name: str, strict: bool = True
-) -> None:
-    """Append a rating file to the event store of one application."""
-    events = ratings_csv_to_events(spark, path, strict)
-    events.withColumn("app", F.lit(app_name)).write.mode("append").partitionBy("app").parquet(store)
+) -> DataFrame:
+    """Append a rating file to the event store of one application.
+
+    Events the store already has are not added again, so an import may be
+    repeated. Returns one row ``(imported, known, rejected)`` of line counts.
+    """
+    events = ratings_csv_to_events(spark, path, strict).withColumn("app", F.lit(app_name))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = events
+    if files.exists(folder):
+        held = spark.read.parquet(store).where(F.col("app") == app_name).select("event_id").distinct()
+        fresh = events.join(held, "event_id", "left_anti").select(*events.columns)
+    # stored first: the store cannot be read and appended to in one plan
+    added = write_shared(fresh, "import")
+    added.write.mode("append").partitionBy("app").parquet(store)
+    lines, imported = events.count(), added.count()
+    rejected = 0 if strict else rejected_csv_lines(spark, path).count()
+    counts = [(imported, lines - imported, rejected)]
+    return spark.createDataFrame(counts, "imported long, known long, rejected long")

@@ -124,8 +124,9 @@ def test_text_ids_without_numbers(make_ratings):
 
 
 def test_blend_sums_and_ranks(spark, queries):
-    one = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5)], "user bigint, item bigint, score double")
-    two = spark.createDataFrame([(0, 2, 0.3), (0, 3, 0.7), (0, 4, 0.1)], "user bigint, item bigint, score double")
+    columns = "user bigint, num int, item bigint, score double"
+    one = spark.createDataFrame([(0, 3, 1, 0.5), (0, 3, 2, 0.5)], columns)
+    two = spark.createDataFrame([(0, 3, 2, 0.3), (0, 3, 3, 0.7), (0, 3, 4, 0.1)], columns)
     assert lists(blend([one, two], queries)) == {0: [(1, 2, 0.8), (2, 3, 0.7), (3, 1, 0.5)]}
 
 
@@ -170,3 +171,47 @@ def test_long_history_is_split_and_whole(make_ratings):
     assert len([r for r in rows if r.user == 1]) == 10
     assert max(len(r["items"]) for r in rows) < 100
     assert [r["items"] for r in rows if r.user == 2] == [[5]]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_each_query_is_answered_as_if_alone(spark, ratings, compat):
+    """A user who asks for two and for five items gets both lists, from every recommender and the blend."""
+    model = HybridEngine(EngineParams(algorithms=ALL), compat=compat).fit(ratings)
+    users = [0, 3, 24, 999]
+
+    def answers(recommender, nums):
+        asked = spark.createDataFrame([(u, n) for u in users for n in nums], "user bigint, num int")
+        rows = recommender.recommend(asked).drop("rank").collect()
+        return sorted((r.user, r.num, r.item, str(r.score)) for r in rows)
+
+    for recommender in [m for _, m in model.parts] + [model]:
+        assert answers(recommender, [2, 5]) == sorted(answers(recommender, [2]) + answers(recommender, [5]))
+    asked = spark.createDataFrame([(u, n) for u in users for n in (2, 5)], "user bigint, num int")
+    served = model.serve(asked).collect()
+    assert len(served) == 8 and all(len(r.item_scores) <= r.num for r in served)
+
+
+def test_recommend_reads_stored_lists_only(ratings, queries):
+    model = HybridEngine(EngineParams(algorithms=ALL)).fit(ratings)
+    for name, part in model.parts:
+        plan = part.recommend(queries)._jdf.queryExecution().optimizedPlan().toString()
+        # the ratings of the fixture are cached; nothing of them may be read again
+        assert "InMemoryRelation" not in plan, name
+
+
+def test_blocks_follow_the_cluster(spark, ratings):
+    slots = spark.sparkContext.defaultParallelism
+    assert factorization.automatic_blocks(ratings) == slots
+    assert factorization.automatic_blocks(ratings, rows_per_block=5) == max(slots, 40)
+    fitted = factorization.fit_als(latest_ratings(ratings), ALSParams(rank=2, num_iterations=1, user_blocks=3, item_blocks=2))
+    assert fitted.model.userFactors.rdd.getNumPartitions() == 3
+    assert fitted.model.itemFactors.rdd.getNumPartitions() == 2
+
+
+def test_lists_without_positive_total_have_no_shares(spark, make_ratings):
+    low = make_ratings([(u, i, -1 - (u * i) % 3) for u in range(6) for i in range(6)])
+    fitted = factorization.fit_als(latest_ratings(low), ALSParams(rank=2, num_iterations=3))
+    asked = spark.createDataFrame([(1, 3)], "user bigint, num int")
+    found = factorization.als_recommend(fitted, asked)
+    assert [r.score for r in found.collect()] == [None] * 3
+    assert [tuple(r) for r in factorization.shareless_queries(found).collect()] == [(1, 3)]

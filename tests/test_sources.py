@@ -12,6 +12,7 @@ from ratingloom.sources import (
     rejected_events,
     scan_ratings,
 )
+from ratingloom.sources.csv_import import rejected_csv_lines
 
 EVENT_SCHEMA = (
     "event_id bigint, event string, entityType string, entityId string, "
@@ -90,6 +91,18 @@ def test_csv_import_stops_at_a_bad_line(spark, tmp_path):
     import_ratings_csv(spark, path, str(tmp_path / "tolerant"), "a", strict=False)
     found = scan_ratings(read_event_store(spark, str(tmp_path / "tolerant"), "a"))
     assert sorted(r.item for r in found.collect()) == ["10", "13"]
+    bad = rejected_csv_lines(spark, path).collect()
+    assert [tuple(r) for r in bad] == [("1,12,good,2", "rating is not a number")]
+
+
+def test_csv_import_counts_and_may_be_repeated(spark, tmp_path):
+    path = write(tmp_path, "userId,movieId,rating,timestamp\n1,10,4.0,1\n1,12,3,x\n1,13,2.0,3\n1\n1,2,3,4,5\n")
+    store = str(tmp_path / "store")
+    counts = [tuple(import_ratings_csv(spark, path, store, "a", strict=False).first()) for _ in range(2)]
+    assert counts == [(2, 0, 3), (0, 2, 3)]
+    assert scan_ratings(read_event_store(spark, store, "a")).count() == 2
+    reasons = {r.line: r.reason for r in rejected_csv_lines(spark, path).collect()}
+    assert reasons == {"1,12,3,x": "timestamp is not a number", "1": "too few columns", "1,2,3,4,5": "too many columns"}
 
 
 def test_summary(mini):
