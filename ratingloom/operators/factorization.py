@@ -92,6 +92,37 @@ def score_pairs(fitted: Factorization, pairs: DataFrame) -> DataFrame:
     return fitted.model.transform(indexed).select("user", "item", F.col("prediction").alias("score"))
 
 
+def normal_equation_rest(fitted: Factorization, ratings: DataFrame, params: ALSParams) -> DataFrame:
+    """How far each user's factors are from solving their regularised least squares: ``(user, n_ratings, rest)``.
+
+    ``rest`` is the largest component of the gradient against the largest of
+    the right-hand side. Users are solved last, so theirs are near zero.
+    """
+    model = fitted.model
+    rows = indexed_ratings(ratings, fitted.users, fitted.items)
+    rows = rows.join(model.userFactors.select(F.col("id").alias("user_idx"), F.col("features").alias("x")), "user_idx")
+    rows = rows.join(model.itemFactors.select(F.col("id").alias("item_idx"), F.col("features").alias("y")), "item_idx")
+    product = F.aggregate(
+        F.zip_with("x", "y", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, v: total + v
+    )
+    each = rows.withColumn("error", product - F.col("rating")).select(
+        "user_idx", "rating", "error", "x", F.posexplode("y").alias("k", "y")
+    )
+    sums = each.groupBy("user_idx", "k").agg(
+        F.count(F.lit(1)).alias("n_ratings"),
+        F.sum(F.col("error") * F.col("y")).alias("slope"),
+        F.sum(F.col("rating") * F.col("y")).alias("right"),
+        F.first(F.get("x", F.col("k"))).alias("own"),
+    )
+    gradient = F.abs(F.col("slope") + F.lit(params.reg) * F.col("n_ratings") * F.col("own"))
+    rest = sums.groupBy("user_idx").agg(
+        F.max("n_ratings").alias("n_ratings"),
+        (F.max(gradient) / F.greatest(F.max(F.abs("right")), F.lit(1e-9))).alias("rest"),
+    )
+    users = fitted.users.select(F.col("id").alias("user"), F.col("idx").alias("user_idx"))
+    return rest.join(users, "user_idx").select("user", "n_ratings", "rest")
+
+
 def als_recommend(fitted: Factorization, queries: DataFrame | Requests, normalize: bool = True) -> DataFrame:
     """Top ``num`` items per known queried user; seen items are not left out.
 

@@ -420,6 +420,24 @@ WHERE rank <= {NUM}""",
         select=_labelled("served", "score"),
     ),
     "model_roundtrip": _HYBRID,
+    "als_fit_check": _sql(
+        EV,
+        select="""SELECT side, count(DISTINCT id) AS n, count(DISTINCT id) AS n_ids, 10 AS least, 10 AS most
+FROM (SELECT 'user' AS side, "user" AS id FROM ev UNION ALL SELECT 'item', item FROM ev) GROUP BY side""",
+    ),
+    "als_solved_check": _sql(
+        EV, select='SELECT "user", count(DISTINCT item) AS n_ratings, true AS solved FROM ev GROUP BY "user"'
+    ),
+    "als_lists_check": _sql(
+        EV,
+        select=f"""SELECT "user", least({NUM}, (SELECT count(DISTINCT item) FROM ev)) AS n, true AS ranks_ok,
+       true AS order_ok, true AS products_ok, true AS shares_ok FROM ev GROUP BY "user\"""",
+    ),
+    "rf_lists_check": 'SELECT DISTINCT user_id AS "user", CAST(0 AS BIGINT) AS outside, true AS total_ok FROM events',
+    "rf_classify_check": _sql(
+        EV, LATEST, MEANS, LABELED, select="SELECT label, count(*) AS n, true AS valid FROM labeled GROUP BY label"
+    ),
+    "stored_models_check": "SELECT unnest(['nb', 'als', 'prt', 'mv']) AS name, CAST(0 AS BIGINT) AS differ",
     "kfold_split": _sql(EV, select=_SPLIT.format(k=_K)),
     "order_kfold_split": _sql(ORDER_EV, select=_SPLIT.format(k=10)),
     "eval_ground_truth": _sql(

@@ -455,6 +455,102 @@ def hybrid_serve_all(spark, sf_dir):
     return model.serve(_asked(spark, sf_dir))
 
 
+# -- checks of fitted models, whose values have no SQL ---------------------
+
+
+@query
+def als_fit_check(spark, sf_dir):
+    """Factors of every user and item, of full rank."""
+    sizes = factorization.factors(_factorized(spark, sf_dir)).withColumn("size", F.size("features"))
+    return sizes.groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("id").alias("n_ids"),
+        F.min("size").alias("least"),
+        F.max("size").alias("most"),
+    )
+
+
+@query
+def als_solved_check(spark, sf_dir):
+    """Per user, whether the factors solve the least-squares equations of the user's ratings."""
+    fitted, latest = _factorized(spark, sf_dir), _latest(spark, sf_dir)
+    rest = factorization.normal_equation_rest(fitted, latest, ALS_SETTINGS)
+    return rest.select("user", "n_ratings", (F.col("rest") < 1e-3).alias("solved"))
+
+
+@query
+def als_lists_check(spark, sf_dir):
+    """Per known user: length of the list, whether ranks run from one and follow the predictions, and shares add up."""
+    fitted, asked = _factorized(spark, sf_dir), _asked(spark, sf_dir)
+    shares = factorization.als_recommend(fitted, asked)
+    raw = factorization.als_recommend(fitted, asked, normalize=False).select(
+        "user", "item", "rank", F.col("score").alias("prediction")
+    )
+    pairs = factorization.score_pairs(fitted, raw.select("user", "item")).withColumnRenamed("score", "product")
+    rows = raw.join(shares.select("user", "item", "score"), ["user", "item"]).join(pairs, ["user", "item"])
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "prediction")))
+    falling = F.aggregate(
+        ordered,
+        F.struct(F.lit(True).alias("ok"), F.lit(float("inf")).alias("last")),
+        lambda a, x: F.struct((a["ok"] & (x["prediction"] <= a["last"])).alias("ok"), x["prediction"].alias("last")),
+    )["ok"]
+    return rows.groupBy("user").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.sum("rank") == F.count(F.lit(1)) * (F.count(F.lit(1)) + 1) / 2).alias("ranks_ok"),
+        falling.alias("order_ok"),
+        (F.max(F.abs(F.col("prediction") - F.col("product"))) < 1e-4).alias("products_ok"),
+        F.coalesce(F.abs(F.sum("score") - 1) < 1e-6, F.lit(True)).alias("shares_ok"),
+    )
+
+
+@query
+def rf_lists_check(spark, sf_dir):
+    """Per asked user: forest recommendations that are no candidates, or not predicted as liked; and whether shares add up."""
+    model = ForestHybrid(NEIGHBOURS).fit(_ratings(spark, sf_dir))
+    asked = _asked(spark, sf_dir)
+    judged = classify.classify(model.classifier, model.neighbourhood.candidates(asked))
+    fine = judged.where("prediction = 1").select("user", "item", F.lit(1).alias("fine"))
+    rows = model.recommend(asked).join(fine, ["user", "item"], "left")
+    found = rows.groupBy("user").agg(
+        F.sum(F.when(F.col("fine").isNull(), 1).otherwise(0)).alias("outside"), F.sum("score").alias("total")
+    )
+    total_ok = F.coalesce(F.abs(F.col("total") - model.weight) < 1e-6, F.lit(True))
+    return asked.join(found, "user", "left").select(
+        "user", F.coalesce("outside", F.lit(0)).alias("outside"), total_ok.alias("total_ok")
+    )
+
+
+@query
+def rf_classify_check(spark, sf_dir):
+    """Rows that the forest judged, per label of the training rows, all judged zero or one."""
+    labeled = rating_ops.labeled_ratings(_latest(spark, sf_dir))
+    judged = classify.classify(classify.fit_forest(labeled), labeled)
+    return judged.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction").isin(0.0, 1.0)).alias("valid")
+    )
+
+
+@query
+def stored_models_check(spark, sf_dir):
+    """All four recommenders give the same lists after saving and loading: rows that differ, per recommender."""
+    algorithms = (
+        AlgorithmSpec("nb", NEIGHBOURS),
+        AlgorithmSpec("als", ALS_SETTINGS),
+        AlgorithmSpec("prt", NEIGHBOURS),
+        AlgorithmSpec("mv", POPULAR),
+    )
+    model = HybridEngine(EngineParams(algorithms=algorithms)).fit(_ratings(spark, sf_dir))
+    path, asked = fresh_path(spark, "models"), _asked(spark, sf_dir)
+    model.save(spark, path)
+    parts = None
+    for (name, before), (_, after) in zip(model.parts, HybridModel.load(spark, path).parts):
+        one, two = before.recommend(asked), after.recommend(asked)
+        differ = one.exceptAll(two).unionByName(two.exceptAll(one))
+        row = differ.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("differ"))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts
+
+
 # -- evaluation ------------------------------------------------------------
 
 
