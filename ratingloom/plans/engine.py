@@ -5,32 +5,52 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ratingloom.operators.ratings import TrainingData, prepare
 from ratingloom.operators.requests import Requests
 from ratingloom.operators.serving import as_results, blend
 from ratingloom.params import AlgorithmSpec, EngineParams
 from ratingloom.plans.recommenders import RECOMMENDERS, Model, Neighbourhood
-from ratingloom.session import use_adaptive_plans
+from ratingloom.session import delete_folder, scratch, use_adaptive_plans
 
 
 @dataclass(frozen=True)
 class HybridModel:
-    """Fitted recommenders in the order of the settings, with their names."""
+    """Fitted recommenders in the order of the settings, with their names.
+
+    ``folder`` holds the tables that fitting stored, and those of later
+    requests; :meth:`close` deletes it, after which the model is of no use.
+    """
 
     parts: tuple[tuple[str, Model], ...]
+    folder: str | None = None
 
     def recommend(self, queries: DataFrame) -> DataFrame:
         """Blended ``(user, num, item, score, rank)``; the queries are read once for all recommenders."""
-        requests = Requests(queries)
+        with scratch(queries.sparkSession, self.folder):
+            requests = Requests(queries)
         return blend([model.recommend(requests) for _, model in self.parts], requests)
 
     def serve(self, queries: DataFrame) -> DataFrame:
         """One row per query with its ordered item list."""
         return as_results(self.recommend(queries), queries)
 
+    def close(self, spark: SparkSession) -> None:
+        if self.folder:
+            delete_folder(spark, self.folder)
+
+    def summary(self) -> DataFrame:
+        """``(position, model, name, value)``: sizes of each recommender's tables, and its settings."""
+        parts = [
+            model.summary().select(F.lit(i).alias("position"), F.lit(name).alias("model"), "name", "value")
+            for i, (name, model) in enumerate(self.parts)
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
     def save(self, spark: SparkSession, path: str) -> None:
         for i, (_, model) in enumerate(self.parts):
             model.save(f"{path}/part-{i}")
@@ -55,7 +75,11 @@ class HybridEngine:
     compat: bool = False
 
     def fit(self, ratings: DataFrame) -> HybridModel:
-        use_adaptive_plans(ratings.sparkSession)
+        spark = use_adaptive_plans(ratings.sparkSession)
+        with scratch(spark) as folder:
+            return HybridModel(self._fit_parts(ratings), folder)
+
+    def _fit_parts(self, ratings: DataFrame) -> tuple[tuple[str, Model], ...]:
         prepared = TrainingData(prepare(ratings, self.prepare_step))
         lists: dict[object, Neighbourhood] = {}
         parts = []
@@ -69,7 +93,7 @@ class HybridEngine:
             else:
                 model = recommender.fit(prepared)
             parts.append((spec.name, model))
-        return HybridModel(tuple(parts))
+        return tuple(parts)
 
 
 def make_recommender(spec: AlgorithmSpec, compat: bool = False):

@@ -437,6 +437,21 @@ FROM (SELECT 'user' AS side, "user" AS id FROM ev UNION ALL SELECT 'item', item
     "rf_classify_check": _sql(
         EV, LATEST, MEANS, LABELED, select="SELECT label, count(*) AS n, true AS valid FROM labeled GROUP BY label"
     ),
+    "model_summaries": _sql(
+        *_BAYES_CHAIN,
+        VIEWS,
+        _top("views", POPULAR.max_items),
+        """sizes AS (
+  SELECT (SELECT count(*)::VARCHAR FROM nearest) AS n, (SELECT count(*)::VARCHAR FROM likes) AS l,
+         (SELECT count(*)::VARCHAR FROM r) AS s, (SELECT count(DISTINCT "user")::VARCHAR FROM ev) AS u,
+         (SELECT count(DISTINCT item)::VARCHAR FROM ev) AS i, (SELECT count(*)::VARCHAR FROM top) AS t)""",
+        select=f"""SELECT 0 AS position, 'nb' AS model, unnest(['neighbours', 'likes', 'seen', 'classifier', 'weight']) AS name,
+       unnest([n, l, s, 'NaiveBayesModel', '2.0']) AS value FROM sizes
+UNION ALL SELECT 1, 'als', unnest(['users', 'items', 'rank']), unnest([u, i, '10']) FROM sizes
+UNION ALL SELECT 2, 'prt', unnest(['neighbours', 'likes', 'seen', 'classifier', 'weight']),
+       unnest([n, l, s, 'RandomForestClassificationModel', '1.0']) FROM sizes
+UNION ALL SELECT 3, 'mv', unnest(['top', 'seen', 'max_items']), unnest([t, s, '{POPULAR.max_items}']) FROM sizes""",
+    ),
     "stored_models_check": "SELECT unnest(['nb', 'als', 'prt', 'mv']) AS name, CAST(0 AS BIGINT) AS differ",
     "kfold_split": _sql(EV, select=_SPLIT.format(k=_K)),
     "order_kfold_split": _sql(ORDER_EV, select=_SPLIT.format(k=10)),

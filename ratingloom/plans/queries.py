@@ -530,6 +530,18 @@ def rf_classify_check(spark, sf_dir):
     )
 
 
+@query
+def model_summaries(spark, sf_dir):
+    """Sizes and settings of all four fitted recommenders."""
+    algorithms = (
+        AlgorithmSpec("nb", NEIGHBOURS),
+        AlgorithmSpec("als", ALS_SETTINGS),
+        AlgorithmSpec("prt", NEIGHBOURS),
+        AlgorithmSpec("mv", POPULAR),
+    )
+    return HybridEngine(EngineParams(algorithms=algorithms)).fit(_ratings(spark, sf_dir)).summary()
+
+
 @query
 def stored_models_check(spark, sf_dir):
     """All four recommenders give the same lists after saving and loading: rows that differ, per recommender."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any, Protocol
 
 from pyspark.ml.classification import NaiveBayesModel, RandomForestClassificationModel
@@ -40,6 +41,8 @@ class Model(Protocol):
 
     def save(self, path: str) -> None: ...
 
+    def summary(self) -> DataFrame: ...
+
 
 class Recommender(Protocol):
     def fit(self, ratings: DataFrame | TrainingData) -> Model: ...
@@ -49,6 +52,14 @@ def _training_data(ratings: DataFrame | TrainingData) -> TrainingData:
     return ratings if isinstance(ratings, TrainingData) else TrainingData(ratings)
 
 
+def _sizes(tables: dict[str, DataFrame], **settings: Any) -> DataFrame:
+    """``(name, value)``: rows of each table, then the settings, as text."""
+    rows = [t.agg(F.lit(k).alias("name"), F.count(F.lit(1)).cast("string").alias("value")) for k, t in tables.items()]
+    spark = next(iter(tables.values())).sparkSession
+    rows.append(spark.createDataFrame([(k, str(v)) for k, v in settings.items()], "name string, value string"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _store(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -68,6 +79,9 @@ class PopularityModel:
             asked_rows(queries), self.top, self.seen, self.max_items, weight=POPULARITY_WEIGHT, compat=self.compat
         )
 
+    def summary(self) -> DataFrame:
+        return _sizes({"top": self.top, "seen": self.seen}, max_items=self.max_items)
+
     def save(self, path: str) -> None:
         _store(self.top, f"{path}/top")
         _store(self.seen, f"{path}/seen")
@@ -149,6 +163,11 @@ class ClassifierHybridModel:
         judged = judged.withColumn("liked", F.col("prediction") == 1.0).drop("prediction")
         return ranked_shares(judged, queries, "liked", self.weight, self.compat)
 
+    def summary(self) -> DataFrame:
+        lists = self.neighbourhood
+        tables = {"neighbours": lists.neighbours, "likes": lists.likes, "seen": lists.seen}
+        return _sizes(tables, classifier=type(self.classifier).__name__, weight=float(self.weight))
+
     def save(self, path: str) -> None:
         self.neighbourhood.save(path)
         self.classifier.write().overwrite().save(f"{path}/classifier")
@@ -223,6 +242,10 @@ class ALSRecommenderModel:
     def recommend(self, queries: DataFrame | Requests) -> DataFrame:
         return als_recommend(self.fitted, queries, self.normalize)
 
+    def summary(self) -> DataFrame:
+        model = self.fitted.model
+        return _sizes({"users": model.userFactors, "items": model.itemFactors}, rank=model.rank)
+
     def save(self, path: str) -> None:
         self.fitted.model.write().overwrite().save(f"{path}/factors")
         _store(self.fitted.users, f"{path}/users")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from ratingloom.operators.serving import blend
 from ratingloom.params import AlgorithmSpec, ALSParams, EngineParams, NeighbourParams, PopularityParams
 from ratingloom.plans.engine import HybridEngine, HybridModel, make_recommender
 from ratingloom.plans.recommenders import ALSRecommender, ForestHybrid
+from ratingloom.session import shared_folder
 
 NEIGHBOURS = NeighbourParams(min_common=2, top_n=5)
 
@@ -215,3 +217,13 @@ def test_lists_without_positive_total_have_no_shares(spark, make_ratings):
     found = factorization.als_recommend(fitted, asked)
     assert [r.score for r in found.collect()] == [None] * 3
     assert [tuple(r) for r in factorization.shareless_queries(found).collect()] == [(1, 3)]
+
+
+def test_closing_a_model_deletes_what_it_stored(spark, ratings, queries):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    model = HybridEngine(EngineParams(algorithms=ALL)).fit(ratings)
+    assert model.serve(queries).count() == 4 and model.summary().count() == 16
+    assert len(set(os.listdir(folder)) - before) >= 1
+    model.close(spark)
+    assert {n for n in set(os.listdir(folder)) - before if not n.startswith("rdd-")} == set()
