@@ -7,8 +7,18 @@ are joined by :func:`_sql`. Settings repeat those of
 
 from __future__ import annotations
 
-from ratingloom.params import NeighbourParams
-from ratingloom.plans.queries import FOLDS, MIXED_NUMS, NEIGHBOURS, NUM, ORDER_NUM, ORDER_POPULAR, POPULAR, SWEEP_ITEMS
+from ratingloom.params import NeighbourParams, PopularityParams
+from ratingloom.plans.queries import (
+    DEFAULT_NUM,
+    FOLDS,
+    MIXED_NUMS,
+    NEIGHBOURS,
+    NUM,
+    ORDER_NUM,
+    ORDER_POPULAR,
+    POPULAR,
+    SWEEP_ITEMS,
+)
 
 _T, _N = NEIGHBOURS.min_common, NEIGHBOURS.top_n
 _K = FOLDS.k_fold
@@ -38,12 +48,17 @@ LABELED = """labeled AS (
   SELECT r."user", r.item, r.rating, CASE WHEN r.rating > m.mean_rating THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label
   FROM r JOIN means m ON m."user" = r."user")"""
 
-LIKES = f"""likes AS (
+
+def _likes(top_n: int) -> str:
+    return f"""likes AS (
   SELECT "user", item, rating, rank FROM (
     SELECT r."user", r.item, r.rating,
            CAST(row_number() OVER (PARTITION BY r."user" ORDER BY r.rating DESC, r.item) AS INTEGER) AS rank
     FROM r JOIN means m ON m."user" = r."user"
-    WHERE m.n_ratings < {_N} OR r.rating > m.mean_rating) WHERE rank <= {_N})"""
+    WHERE m.n_ratings < {top_n} OR r.rating > m.mean_rating) WHERE rank <= {top_n})"""
+
+
+LIKES = _likes(_N)
 
 
 def _pairs(before: str, value: str, min_common: int = _T) -> str:
@@ -224,7 +239,12 @@ def _sql(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
-_BAYES_CHAIN = (EV, LATEST, LATEST_COPY, MEANS, LABELED, _pairs(BY_NUMBER, PEARSON), SIDES, NEAREST, LIKES, CANDIDATES)
+def _bayes_chain(min_common: int, top_n: int) -> tuple[str, ...]:
+    pairs = _pairs(BY_NUMBER, PEARSON, min_common)
+    return (EV, LATEST, LATEST_COPY, MEANS, LABELED, pairs, SIDES, _nearest(top_n), _likes(top_n), CANDIDATES)
+
+
+_BAYES_CHAIN = _bayes_chain(_T, _N)
 _COMPAT_CHAIN = (
     EV,
     ALL_EVENTS,
@@ -240,15 +260,19 @@ _COMPAT_CHAIN = (
 _JUDGED = (BAYES, LIKED.format(source="cand"), ASKED)
 
 
-def _hybrid(num: int, columns: str = '"user", item, score, rank') -> str:
+def _hybrid(
+    num: int,
+    columns: str = '"user", item, score, rank',
+    chain: tuple[str, ...] = _BAYES_CHAIN,
+    max_items: int = POPULAR.max_items,
+) -> str:
     judged = (BAYES, LIKED.format(source="cand"), _asked(num))
-    popular = (VIEWS, _top("views", POPULAR.max_items), POPULAR_LIST)
-    return _sql(
-        *_BAYES_CHAIN, *judged, _bayes_list(num), *popular, _blended(num), select=f"SELECT {columns} FROM served"
-    )
+    popular = (VIEWS, _top("views", max_items), POPULAR_LIST)
+    return _sql(*chain, *judged, _bayes_list(num), *popular, _blended(num), select=f"SELECT {columns} FROM served")
 
 
 _HYBRID = _hybrid(NUM)
+_DEFAULT_CHAIN = _bayes_chain(NeighbourParams().min_common, NeighbourParams().top_n)
 
 _STATS = """SELECT "user", count(*) AS n_ratings, round(avg(rating), 9) AS mean_rating,
        min(rating) AS min_rating, max(rating) AS max_rating FROM ev GROUP BY "user\""""
@@ -404,6 +428,15 @@ WHERE rank <= {NUM}""",
         EV, select=_INDEX_FACTS.format(side="user") + "\nUNION ALL " + _INDEX_FACTS.format(side="item")
     ),
     "hybrid_serve": _HYBRID,
+    "hybrid_serve_default": _hybrid(DEFAULT_NUM, chain=_DEFAULT_CHAIN, max_items=PopularityParams().max_items),
+    "cf_nb_recommend_default": _sql(
+        *_DEFAULT_CHAIN,
+        BAYES,
+        LIKED.format(source="cand"),
+        _asked(DEFAULT_NUM),
+        _bayes_list(DEFAULT_NUM),
+        select='SELECT "user", item, score, rank FROM nb',
+    ),
     # each batch asked alone
     "hybrid_serve_mixed_num": " UNION ALL ".join(
         f"SELECT * FROM ({_hybrid(n, f'{chr(34)}user{chr(34)}, {n} AS num, item, score, rank')})" for n in MIXED_NUMS

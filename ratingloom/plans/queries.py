@@ -46,6 +46,7 @@ POPULAR = PopularityParams(max_items=20)
 ALS_SETTINGS = ALSParams()
 NUM = 5
 MIXED_NUMS = (2, 5)
+DEFAULT_NUM = EvalParams().query_num
 FOLDS = EvalParams(k_fold=5, query_num=NUM)
 SWEEP_ITEMS = (2, 10, 50)
 BLEND = (AlgorithmSpec("nb", NEIGHBOURS), AlgorithmSpec("mv", POPULAR))
@@ -420,6 +421,24 @@ def hybrid_serve(spark, sf_dir):
     return _blend_model(spark, sf_dir).recommend(_asked(spark, sf_dir)).drop("num")
 
 
+def _asked_default(spark, sf_dir):
+    return _asked(spark, sf_dir).withColumn("num", F.lit(DEFAULT_NUM))
+
+
+@query
+def cf_nb_recommend_default(spark, sf_dir):
+    """Default settings: five shared items, 150 neighbours, ten items a query."""
+    return NaiveBayesHybrid().fit(_ratings(spark, sf_dir)).recommend(_asked_default(spark, sf_dir)).drop("num")
+
+
+@query
+def hybrid_serve_default(spark, sf_dir):
+    """The blend with default settings, the top list with 300 items."""
+    algorithms = (AlgorithmSpec("nb", NeighbourParams()), AlgorithmSpec("mv", PopularityParams()))
+    model = HybridEngine(EngineParams(algorithms=algorithms)).fit(_ratings(spark, sf_dir))
+    return model.recommend(_asked_default(spark, sf_dir)).drop("num")
+
+
 @query
 def hybrid_serve_mixed_num(spark, sf_dir):
     """Every user asks twice in one batch; each query gets the list it would get alone."""
