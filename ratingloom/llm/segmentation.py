@@ -16,10 +16,14 @@ open node per step: all segmentations that turn off there.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +67,17 @@ def _uniform(keys: np.ndarray) -> np.ndarray:
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.arange(224, dtype=np.uint64) * _STEP
+
+
+def _uniform_of(seed: int, part: int, index: int, step: int = 0) -> float:
+    """One number inside (0, 1), for the few draws of a text that are not made in bulk."""
+    x = (seed + part * 0x632BE59B + index * 0x1F123BB5 + step * 0x9E3779B97F4A7C15 + 1) % (1 << 64)
+    for _ in range(2):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % (1 << 64)
+        x ^= x >> 31
+    return ((x >> 12) + 0.5) * 2.0**-52
 
 
 class Vocabulary:
@@ -130,19 +145,28 @@ def vocabulary(params: SegmentParams) -> Vocabulary:
 class Lattice:
     """All edges of the distinct units of a chunk, with the probability of each as the next step.
 
-    Edges are grouped by start; ``first[p] : first[p + 1]`` are those of position p.
-    ``piece`` is a piece id, or -1 - code for a character spelled in bytes.
+    Positions are numbered by their distance from the end of their unit, so that
+    a backward step is one slice of all arrays. The edges of position p are
+    ``first[p] : first[p + 1]``; an edge leads to position ``target``, or to the
+    end of the unit (-1). ``piece`` is a piece id, or -1 - code for a character
+    spelled in bytes.
     """
 
     def __init__(self, units: list[str], vocab: Vocabulary):
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        self.end = np.cumsum(lengths)
-        self.start = self.end - lengths
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        unit_end = np.repeat(self.end, lengths)
-        at = np.arange(len(codes))
-        nodes, starts, sizes, pieces = np.zeros(len(codes), np.int64), [], [], []
-        single = np.zeros(len(codes), bool)
+        n, end = len(codes), np.cumsum(lengths)
+        left = np.repeat(end, lengths) - np.arange(n)
+        order = np.argsort(left, kind="stable")
+        number = np.empty(n + 1, np.int64)
+        number[order] = np.arange(n)
+        number[n] = -1
+        self.start = number[end - lengths]
+        # pieces that fit, found by walking the trie from all positions at once
+        shift = len(vocab.weights).bit_length()
+        none = len(vocab.weights)
+        at, nodes, found = np.arange(n), np.zeros(n, np.int64), []
+        spelled = np.ones(n, bool)
         depth = 0
         while len(at):
             nodes = vocab.step(nodes, codes[at + depth])
@@ -152,57 +176,53 @@ class Lattice:
             piece = vocab.piece_at[nodes]
             fits = piece >= 0
             if depth == 1:
-                single[at[fits]] = True
-            starts.append(at[fits])
-            pieces.append(piece[fits])
-            sizes.append(np.full(int(fits.sum()), depth))
-            more = at + depth < unit_end[at]
+                spelled[at[fits]] = False
+            found.append((number[at[fits]] << 5 | depth) << shift | piece[fits])
+            more = left[at] > depth
             at, nodes = at[more], nodes[more]
-        spelled = np.flatnonzero(~single)
-        starts.append(spelled)
-        pieces.append((-1 - codes[spelled]).astype(np.int32))
-        sizes.append(np.ones(len(spelled), np.int64))
-        begin, piece, size = np.concatenate(starts), np.concatenate(pieces), np.concatenate(sizes)
-        order = np.lexsort((size, begin))
-        begin, self.piece, self.target = begin[order], piece[order], (begin + size)[order]
-        self.first = np.searchsorted(begin, np.arange(len(codes) + 1))
-        weight = np.where(self.piece >= 0, vocab.weights[np.maximum(self.piece, 0)], 0.0)
-        plain = np.flatnonzero(self.piece < 0)
-        weight[plain] = vocab.byte_weight * _utf8_length(-1 - self.piece[plain])
-        self._sum_up(codes, unit_end, begin, weight)
-
-    def _sum_up(self, codes, unit_end, begin, weight) -> None:
+        found.append((number[:n][spelled] << 5 | 1) << shift | none)
+        edges = np.sort(np.concatenate(found))
+        self.piece = (edges & ((1 << shift) - 1)).astype(np.int32)
+        size = edges >> shift & 31
+        self.begin = (edges >> (shift + 5)).astype(np.int32)
+        self.first = np.searchsorted(self.begin, np.arange(n + 1))
+        origin = order[self.begin]
+        self.target = np.where(left[origin] > size, number[origin + size], -1).astype(np.int32)
+        plain = np.flatnonzero(self.piece == none)
+        weight = np.append(vocab.weights, 0.0)[self.piece]
+        spelling = codes[origin[plain]]
+        weight[plain] = vocab.byte_weight * _utf8_length(spelling)
+        self.piece[plain] = -1 - spelling
+        steps = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
+        self._sum_up(weight, steps)
+
+    def _sum_up(self, weight: np.ndarray, steps: np.ndarray) -> None:
         """Backward sums, for all units at once: positions in order of their distance from the end."""
-        left = unit_end - np.arange(len(codes))
-        beta = np.zeros(len(codes) + 1)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, (left.max() if len(left) else 0) + 2))
-        value = np.empty(len(begin))
-        ends_here = self.target == unit_end[begin]
-        for a, b in zip(bounds, bounds[1:]):
-            where = order[a:b]
-            n = self.first[where + 1] - self.first[where]
-            offset = np.cumsum(n) - n
-            edges = np.repeat(self.first[where] - offset, n) + np.arange(n.sum())
-            v = weight[edges] + np.where(ends_here[edges], 0.0, beta[self.target[edges]])
+        n = len(self.first) - 1
+        beta = np.zeros(n + 1)  # the last one is the end of every unit
+        for a, b in zip(steps, steps[1:]):
+            x, y = self.first[a], self.first[b]
+            v = weight[x:y]
+            v += beta[self.target[x:y]]
+            offset = self.first[a:b] - x
             top = np.maximum.reduceat(v, offset)
-            total = np.add.reduceat(np.exp(v - np.repeat(top, n)), offset)
-            beta[where] = top + np.log(total)
-            value[edges] = v
-        self.begin, self.log_p = begin, value - beta[begin]
-        p = np.exp(self.log_p)
+            inside = self.begin[x:y] - a
+            beta[a:b] = top + np.log(np.add.reduceat(np.exp(v - top[inside]), offset))
+            v -= beta[a:b][inside]
+        self.log_p = weight
+        p = np.exp(weight)
         #: log of the probability of the other edges of the same position
         with np.errstate(divide="ignore"):
-            self.rest = np.log(-np.expm1(np.minimum(self.log_p, 0.0)))
-        self.rest[self.first[:-1][np.diff(self.first) == 1]] = -np.inf
+            self.rest = np.log1p(-np.minimum(p, 1.0))
+        single = np.diff(self.first) == 1
+        self.rest[self.first[:-1][single]] = -np.inf
         sums = np.cumsum(p)
-        self.upto = sums - np.repeat((sums - p)[self.first[:-1]], np.diff(self.first))
+        self.upto = sums - (sums - p)[self.first[:-1]][self.begin]
         self.upto[self.first[1:] - 1] = np.inf  # the last edge takes what rounding leaves
 
     def walk(self, units: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path through each unit: edges in order, and where each unit's begin."""
-        at, end = self.start[units].copy(), self.end[units]
-        rows, steps = np.arange(len(units)), []
+        at, rows, steps = self.start[units], np.arange(len(units)), []
         keys = keys.copy()
         while len(rows):
             keys += _STEP
@@ -214,8 +234,8 @@ class Lattice:
                 late = late[self.upto[edge[late]] <= u[late]]
             steps.append((rows, edge))
             at = self.target[edge]
-            go = at < end
-            rows, at, end, keys = rows[go], at[go], end[go], keys[go]
+            go = at >= 0
+            rows, at, keys = rows[go], at[go], keys[go]
         counts = np.zeros(len(units) + 1, np.int64)
         for r, _ in steps:
             counts[r + 1] += 1
@@ -232,29 +252,51 @@ def _utf8_length(codes: np.ndarray) -> np.ndarray:
 
 def _below(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     """Gumbel values at ``phi``, given that they are below ``top``."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        found = phi - np.log(np.exp(phi - top) - np.log(u))
-    return np.where(np.isneginf(phi), -np.inf, found)
+    return phi - np.log(np.exp(phi - top) - np.log(u))
+
+
+def _one_below(phi: float, top: float, u: float) -> float:
+    return phi - math.log(math.exp(phi - top) - math.log(u)) if phi > -math.inf else -math.inf
+
+
+#: Above this no noise from 52 random bits can get.
+_MOST_NOISE = 37.0
 
 
 class _Path:
-    """A drawn segmentation: its edges, and the open node at every step from ``since`` on."""
+    """A drawn segmentation: its edges, and the open node at every step from ``since`` on.
+
+    Open nodes are valued step by step, as far as they can matter: their log
+    probability falls from step to step, so once it is out of reach of the best
+    value by more than the noise can be, later ones cannot be the best.
+    """
 
-    def __init__(self, edges, offsets, lattice, value, since, keys):
-        self.edges, self.value, self.offsets = edges, value, offsets
+    def __init__(self, edges, offsets, lattice, value, since, key):
+        self.edges, self.value, self.offsets, self.lattice = edges, value, offsets, lattice
         self.before = np.zeros(len(edges) + 1)
         np.cumsum(lattice.log_p[edges], out=self.before[1:])
-        self.taken = {}
-        self.open = np.full(len(edges), -np.inf)
-        u = _uniform(keys + np.arange(since, len(edges), dtype=np.uint64) * _STEP)
-        self.open[since:] = _below(self.before[since:-1] + lattice.rest[edges[since:]], value, u)
-        best = int(self.open.argmax()) if len(edges) else 0
-        self.best = best, (self.open[best] if len(edges) else -np.inf)
+        self.taken, self.key, self.since = {}, np.uint64(key), since
+        self.open = np.zeros(0)
+        self._settle()
+
+    def _settle(self) -> None:
+        n = len(self.edges)
+        while True:
+            a = self.since + len(self.open)
+            best = int(self.open.argmax()) if len(self.open) else 0
+            top = float(self.open[best]) if len(self.open) else -math.inf
+            if a == n or top > self.before[a] + _MOST_NOISE:
+                self.best = self.since + best, top
+                return
+            b = min(n, a + len(_STEPS))
+            u = _uniform(self.key + np.uint64(a * 0x9E3779B97F4A7C15 % (1 << 64)) + _STEPS[: b - a])
+            # a node without other edges has log probability -inf, and so value -inf
+            valued = _below(self.before[a:b] + self.lattice.rest[self.edges[a:b]], self.value, u)
+            self.open = np.concatenate((self.open, valued)) if len(self.open) else valued
 
     def close(self, step: int, value: float) -> None:
-        self.open[step] = value
-        best = int(self.open.argmax())
-        self.best = best, self.open[best]
+        self.open[step - self.since] = value
+        self._settle()
 
 
 def draw(lattice: Lattice, walks, seed: int, k: int) -> tuple[list[_Path], float]:
@@ -262,56 +304,49 @@ def draw(lattice: Lattice, walks, seed: int, k: int) -> tuple[list[_Path], float
 
     ``walks`` are k fresh random paths, each as (edges, offsets of the units).
     """
-    base = np.uint64(seed)
-
-    def key(part: int, index: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _mix(np.array([base + np.uint64(part * 0x632BE59B + index * 0x1F123BB5 + 1)]))
-
-    root = -np.log(-np.log(_uniform(key(1, 0))[0]))
-    paths = [_Path(*walks[0], lattice, root, 0, key(2, 0))]
+    root = -math.log(-math.log(_uniform_of(seed, 1, 0)))
+    paths = [_Path(*walks[0], lattice, root, 0, (seed ^ 0xA5A5A5A5) % (1 << 64))]
     while len(paths) < k:
         parent = max(paths, key=lambda p: p.best[1])
         step, value = parent.best
-        if np.isneginf(value):
+        if value == -math.inf:
             break
-        number = len(paths)
-        used = parent.taken.setdefault(step, [int(parent.edges[step])])
-        at = int(lattice.begin[parent.edges[step]])
-        others = np.setdiff1d(np.arange(lattice.first[at], lattice.first[at + 1]), used)
-        share = np.cumsum(np.exp(lattice.log_p[others] - lattice.log_p[others].max()))
-        choice = int(np.searchsorted(share, _uniform(key(3, number))[0] * share[-1], side="right"))
-        turn = int(others[min(choice, len(others) - 1)])
-        used.append(turn)
+        number, here = len(paths), int(parent.edges[step])
+        used = parent.taken.setdefault(step, {here})
+        at = int(lattice.begin[here])
+        others = [e for e in range(int(lattice.first[at]), int(lattice.first[at + 1])) if e not in used]
+        log_p = [float(lattice.log_p[e]) for e in others]
+        most = max(log_p)
+        share = list(accumulate(math.exp(x - most) for x in log_p))
+        choice = min(bisect_right(share, _uniform_of(seed, 3, number) * share[-1]), len(others) - 1)
+        used.add(turn := others[choice])
         # the node that is left: everything else that turns off at this step
-        remain = np.setdiff1d(others, [turn])
-        left = parent.before[step] + (np.logaddexp.reduce(lattice.log_p[remain]) if len(remain) else -np.inf)
-        parent.close(step, float(_below(np.array([left]), value, _uniform(key(4, number)))[0]))
+        remain = sum(math.exp(x - most) for i, x in enumerate(log_p) if i != choice)
+        left = float(parent.before[step]) + most + math.log(remain) if remain else -math.inf
+        parent.close(step, _one_below(left, value, _uniform_of(seed, 4, number)))
         # finish the unit piece by piece, then go on with a fresh walk
         fresh, offsets = walks[number]
         unit = int(np.searchsorted(parent.offsets, step, side="right")) - 1
-        tail, end = [turn], lattice.end[np.searchsorted(lattice.end, at, side="right")]
-        keys = key(5, number)
-        while lattice.target[tail[-1]] < end:
-            keys = keys + _STEP
-            here, u = int(lattice.target[tail[-1]]), _uniform(keys)[0]
-            inside = lattice.upto[lattice.first[here] : lattice.first[here + 1]]
-            tail.append(int(lattice.first[here] + np.searchsorted(inside, u, side="right")))
+        tail = [turn]
+        while (at := int(lattice.target[tail[-1]])) >= 0:
+            inside = lattice.upto[lattice.first[at] : lattice.first[at + 1]].tolist()
+            tail.append(int(lattice.first[at]) + bisect_right(inside, _uniform_of(seed, 5, number, len(tail))))
         shift = step + len(tail) - offsets[unit + 1]
         joined = np.concatenate((parent.edges[:step], tail, fresh[offsets[unit + 1] :]))
         joined_offsets = np.concatenate((parent.offsets[: unit + 1], offsets[unit + 1 :] + shift))
-        paths.append(_Path(joined, joined_offsets, lattice, value, step + 1, key(2, number)))
+        key = (seed ^ 0xA5A5A5A5) + number * 0x1F123BB5
+        paths.append(_Path(joined, joined_offsets, lattice, value, step + 1, key % (1 << 64)))
     return paths, max(p.best[1] for p in paths)
 
 
 def log_inclusion(phi: float, threshold: float) -> float:
     """Log of the probability that a segmentation of log probability ``phi`` exceeds the threshold."""
-    if np.isneginf(threshold):
+    if threshold == -math.inf:
         return 0.0
     x = phi - threshold
     if x < -30:
         return x
-    return float(np.log(-np.expm1(-np.exp(x)))) if x < 30 else 0.0
+    return math.log(-math.expm1(-math.exp(x))) if x < 30 else 0.0
 
 
 def piece_ids(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
@@ -332,22 +367,28 @@ def piece_ids(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
 
 def sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) -> Iterator[tuple[int, int, dict]]:
     """(text number, rank, facts) of the segmentations drawn for each text."""
+    # counters run over, and a node without alternatives has log probability -inf
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        yield from _sample_texts(texts, seeds, params)
+
+
+def _sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) -> Iterator[tuple[int, int, dict]]:
     vocab = vocabulary(params)
     for a, b in slices(texts, params.chunk):
-        numbers: dict[str, int] = {}
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
         units, bounds = [], [0]
         for text in texts[a:b]:
             if text:
                 found = _UNIT.findall(SPACE + text.replace(" ", SPACE))
-                units += [numbers.setdefault(x, len(numbers)) for x in found]
+                units += map(numbers.__getitem__, found)
             bounds.append(len(units))
         lattice = Lattice(list(numbers), vocab) if numbers else None
-        ids = np.array(units, np.int64)
+        ids = np.fromiter(units, np.int64, len(units))
         bounds = np.array(bounds)
         inner = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-        with np.errstate(over="ignore"):
-            own = np.repeat(seeds[a:b], np.diff(bounds)) + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-            walks = [lattice.walk(ids, _mix(own + np.uint64(977 * s + 13))) for s in range(params.k)] if numbers else []
+        own = np.repeat(seeds[a:b], np.diff(bounds)) + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        walks = [lattice.walk(ids, _mix(own + np.uint64(977 * s + 13))) for s in range(params.k)] if numbers else []
         for i in range(b - a):
             if not texts[a + i]:
                 yield a + i, 0, {"ids": np.zeros(0, np.int32), "log_p": 0.0, "gumbel": 0.0, "log_inclusion": 0.0}
@@ -356,8 +397,7 @@ def sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) ->
             for path, offsets in walks:
                 own_offsets = offsets[bounds[i] : bounds[i + 1] + 1]
                 own_walks.append((path[own_offsets[0] : own_offsets[-1]], own_offsets - own_offsets[0]))
-            with np.errstate(over="ignore"):
-                paths, threshold = draw(lattice, own_walks, int(seeds[a + i]), params.k)
+            paths, threshold = draw(lattice, own_walks, int(seeds[a + i]), params.k)
             for rank, path in enumerate(paths):
                 phi = float(path.before[-1])
                 yield (
@@ -392,7 +432,7 @@ def sample_segmentations(docs: DataFrame, params: SegmentParams = SegmentParams(
                 at.append((number, rank))
                 facts.append(fact)
                 size += len(fact["ids"])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield _rows(batch, at, facts)
                     at, facts, size = [], [], 0
             if at:
