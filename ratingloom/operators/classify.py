@@ -19,7 +19,7 @@ def with_features(pairs: DataFrame, strict: bool = True) -> DataFrame:
     """Add the vector ``[user, item]``.
 
     Ids must be numbers; a strict run fails on others, a tolerant one leaves
-    their rows out.
+    their rows out, and :func:`rejected_features` has them.
     """
     if strict:
         numbered = pairs.withColumns({f: F.col(f.split("_")[0]).cast("double") for f in FEATURES})
@@ -29,6 +29,13 @@ def with_features(pairs: DataFrame, strict: bool = True) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(numbered).drop(*FEATURES)
 
 
+def rejected_features(pairs: DataFrame) -> DataFrame:
+    """Rows that a tolerant :func:`with_features` leaves out, with the side that is no number as ``reason``."""
+    user, item = (F.col(side).try_cast("double").isNull() for side in ("user", "item"))
+    reason = F.when(user, "user is not a number").when(item, "item is not a number")
+    return pairs.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def fit_naive_bayes(labeled: DataFrame) -> NaiveBayesModel:
     return NaiveBayes(smoothing=1.0, modelType="multinomial").fit(with_features(labeled).select("label", "features"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratingloom.operators import factorization
-from ratingloom.operators.classify import classify, fit_forest, with_features
+from ratingloom.operators.classify import classify, fit_forest, rejected_features, with_features
 from ratingloom.operators.collaborative import cf_candidates
 from ratingloom.operators.ratings import id_index, labeled_ratings, latest_ratings, prepare, user_history
 from ratingloom.operators.serving import blend
@@ -121,6 +121,7 @@ def test_forest_settings(ratings):
 def test_text_ids_without_numbers(make_ratings):
     pairs = make_ratings([("1", "7", 1), ("x", "8", 1)], "string").select("user", "item")
     assert [r.user for r in with_features(pairs, strict=False).collect()] == ["1"]
+    assert [tuple(r) for r in rejected_features(pairs).collect()] == [("x", "8", "user is not a number")]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         with_features(pairs).collect()
 
