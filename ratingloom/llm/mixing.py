@@ -37,6 +37,13 @@ class MixParams:
     max_steps: int = 60
 
 
+def _with_facts(docs: DataFrame, facts: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join documents with one row per ``key`` (a source), a hot source being dealt over ``salts`` tasks."""
+    many = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int")
+    return docs.withColumn("salt", salt).join(many, ["key", "salt"], how).drop("salt")
+
+
 def _numbered(sources: DataFrame) -> DataFrame:
     """Number the sources from 0 by code point, null last, without a single task for all."""
     ranged = sources.repartitionByRange(F.col("source").isNull(), F.col("source"))
@@ -162,7 +169,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     dual = solve(sized, targets, params)
     facts = targets.select(key.alias("key"), "source_size", F.col("target").alias("source_target"))
     facts = facts.join(dual.drop("target"), "key", "left")
-    rated = sized.withColumn("key", key).join(facts, "key")
+    rated = _with_facts(sized.withColumn("key", key), facts)
     z = F.col("size") / F.col("mean")
     rate = F.least(F.exp(F.least(F.col("a") + F.col("b") * z, F.lit(50.0))), F.lit(params.cap))
     # a rate that rounding leaves next to a whole number is that number
@@ -193,7 +200,7 @@ def _rounded(rated: DataFrame, bins: int = 1024) -> DataFrame:
     need = need.select("key", (F.round("source_target").cast("long") - F.col("base")).alias("need"))
     # about as many bins as documents in a bin
     plan = need.join(most, "key").withColumn("n_bins", F.greatest(F.lit(bins), F.ceil(F.sqrt("n"))))
-    binned = rated.join(plan, "key").withColumn(
+    binned = _with_facts(rated, plan).withColumn(
         "bin",
         F.when(F.col("late") == float("inf"), F.col("n_bins")).otherwise(
             F.floor(F.col("late") / F.col("top") * (F.col("n_bins") - 1))
@@ -207,7 +214,7 @@ def _rounded(rated: DataFrame, bins: int = 1024) -> DataFrame:
     per_bin = write_shared(per_bin.select("key", "bin", F.col("end") - F.col("tokens"), "end", "need").toDF(
         "key", "bin", "begin", "end", "need"), "bins")
     border = per_bin.where("begin < need and end >= need").select("key", F.col("bin").alias("border"), "begin")
-    marked = binned.join(border, "key", "left")
+    marked = _with_facts(binned, border, "left")
     edge = (F.col("bin") == F.col("border")) & (F.col("late") < float("inf"))
     edge = F.coalesce(edge, F.lit(False))
     inside = marked.where(edge)
