@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.llm import language_id, mixing, quality, segmentation, simhash
-from ratingloom.llm.common import SPACE, table
+from ratingloom.llm.common import table
 from ratingloom.session import use_adaptive_plans, write_shared
 
 
+def _with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` of its own for every row, in a written table so that it stays."""
+    return write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language (without a letter) and those whose language stays ambiguous."""
     use_adaptive_plans(spark)
@@ -40,23 +45,18 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that every source meets its target.
 
-    A document comes once for each time its words are taken, the last time
-    perhaps with its first words only (joined by spaces). Rows that share a
-    doc_id take the same.
+    Texts stay whole: a document comes as many times as the whole copies nearest
+    to the words taken from it (half a copy or more counts as one). Only the
+    document on the border of a target is rounded, so a source is off its
+    target by half of that document at most. Every row counts by itself, also
+    where doc_ids are null or repeated. Documents without words are dropped.
     """
     use_adaptive_plans(spark)
-    mixed = mixing.mix_documents(docs)
-    taken = mixed.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.floor(F.sum("taken") / F.count(F.lit(1))).cast("int").alias("_taken"),
-        F.max("size").cast("int").alias("_size"),
-    )
-    joined = docs.join(taken.where("_taken > 0"), docs["doc_id"].eqNullSafe(taken["_id"]))
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    part = F.col("_taken") - F.col("_size") * (F.col("_copy") - 1)
-    text = F.when(part < F.col("_size"), F.array_join(F.slice(words, F.lit(1), part), " ")).otherwise(F.col("text"))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    repeated = copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return repeated.select(*docs.columns)
+    rows = _with_row_keys(docs)
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    mixed = mixing.mix_documents(rows, keep=("_row",)).where("taken > 0").select("_row", copies.alias("_copies"))
+    joined = rows.join(mixed.where("_copies > 0"), "_row")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,16 +154,16 @@ def priority(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """``docs`` (doc_id, source, size) as (doc_id, size, source_size, target, taken).
+def mix(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, source, size) as (doc_id, size, source_size, target, taken), and the columns to ``keep``.
 
     ``taken`` is the number of words the mix takes from the document, repeats
     counted; it is ``cap`` times ``size`` at most, and the words taken from a
     source add up to its target, rounded. A document without words gives none.
     A null source is a source of its own. Documents of equal hash, such as
-    repeated rows, are taken in order of doc_id, then size, then row.
+    repeated rows, are taken in order of doc_id, then size, then the kept columns, then row.
     """
-    sized = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *keep)
     key = F.to_json(F.struct("source"))
     targets = write_shared(source_targets(sized, params), "targets")
     dual = solve(sized, targets, params)
@@ -181,13 +181,13 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     late = F.when(part > 0, priority(F.col("doc_id")) / F.round(part, 7)).otherwise(float("inf"))
     rated = rated.select(
         "doc_id", "key", "size", "source_size", "source_target", F.coalesce(whole, F.lit(0)).alias("whole"),
-        F.coalesce(late, F.lit(float("inf"))).alias("late"),
+        F.coalesce(late, F.lit(float("inf"))).alias("late"), *keep,
     )
     rated = write_shared(rated, "rated")
-    return _rounded(rated)
+    return _rounded(rated, keep)
 
 
-def _rounded(rated: DataFrame, bins: int = 1024) -> DataFrame:
+def _rounded(rated: DataFrame, keep: tuple[str, ...] = (), bins: int = 1024) -> DataFrame:
     """Give the missing tokens of each source to documents in order of ``late``.
 
     Tokens are first added up per source and bin of ``late``; only in the bin
@@ -218,7 +218,7 @@ def _rounded(rated: DataFrame, bins: int = 1024) -> DataFrame:
     edge = (F.col("bin") == F.col("border")) & (F.col("late") < float("inf"))
     edge = F.coalesce(edge, F.lit(False))
     inside = marked.where(edge)
-    run = Window.partitionBy("key").orderBy("late", "doc_id", "size")
+    run = Window.partitionBy("key").orderBy("late", "doc_id", "size", *keep)
     so_far = F.col("begin") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - so_far))
     inside = inside.withColumn("extra", part)
@@ -235,10 +235,11 @@ def _rounded(rated: DataFrame, bins: int = 1024) -> DataFrame:
         "source_size",
         F.col("source_target").alias("target"),
         (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"),
+        *keep,
     )
 
 
-def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+def mix_documents(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, source, text) mixed by their numbers of words."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(write_shared(sized, "sized"), params)
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *keep)
+    return mix(write_shared(sized, "sized"), params, keep)

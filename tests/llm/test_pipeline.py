@@ -66,3 +66,21 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = write_shared(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def test_mixing_gives_whole_texts(spark):
+    """Every row comes whole, by itself, and no source is off its target by more than half a document."""
+    texts = [(1, "a", "one  two\n\tthree four"), (2, "b", "w  x\n" * 200), (3, "c", "y z\n" * 10), (3, "c", "other  words\n" * 10)]
+    texts += [(None, "d", f"null {i}\n id") for i in range(40)] + [(None, "d", "null 0\n id")]
+    rows = [(i, t, "en", s, len(t)) for i, s, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    assert {tuple(r) for r in found} <= set(rows)
+    sizes, taken = {}, {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + words(r[1])
+    for r in found:
+        taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
+    for s, want in plain_targets(sizes).items():
+        largest = max(words(r[1]) for r in rows if r[3] == s)
+        assert abs(taken.get(s, 0) - want) <= largest / 2 + 0.51, s
