@@ -35,11 +35,15 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of linked fingerprints."""
+    """Keep one row of every group of linked fingerprints: that with the smallest id, null ids last.
+
+    Rows are told apart by a key of their own. So repeated rows and copies
+    without an id leave one row, and a different text stays where it shares
+    its id with a copy.
+    """
     use_adaptive_plans(spark)
-    classes = simhash.near_duplicates(docs)
-    others = classes.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    rows = _with_row_keys(docs)
+    return rows.join(simhash.first_rows(rows, "_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

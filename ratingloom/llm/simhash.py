@@ -56,16 +56,18 @@ def fingerprint(text: str | None) -> int:
     return int(_POWERS[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, fp), the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text) as (doc_id, fp), the fingerprint as a signed long, and the columns to ``keep``."""
+    names = ["doc_id", "fp", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = {k: docs.schema[k].dataType.simpleString() for k in ("doc_id", *keep)} | {"fp": "long"}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in names)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
 def _signed(value: int) -> int:
@@ -107,6 +109,29 @@ def far_links(labelled: DataFrame) -> DataFrame:
     return pairs.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """Rows of distinct ``fp`` with the ``root`` of their component in addition."""
+    close = components(close_links(fps))
+    labelled = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left")
+    labelled = write_shared(labelled.withColumn("label", F.coalesce("label", "fp")), "labelled")
+    far = components(far_links(labelled.select("fp", "label"))).withColumnRenamed("label", "root")
+    rooted = labelled.join(far, labelled["label"] == far["node"], "left")
+    return rooted.select(*fps.columns, F.coalesce("root", "label").alias("root"))
+
+
+def first_rows(docs: DataFrame, key: str) -> DataFrame:
+    """The ``key`` of one row of each component of ``docs`` (doc_id, text, key).
+
+    It is the row with the smallest doc_id (null last), then the smallest
+    fingerprint, then the smallest key.
+    """
+    printed = write_shared(fingerprints(docs, (key,)), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", key)
+    fps = write_shared(printed.groupBy("fp").agg(F.min(row).alias("row")), "distinct_fps")
+    least = _rooted(fps).groupBy("root").agg(F.min("row").alias("row"))
+    return least.select(F.col(f"row.{key}").alias(key))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, fingerprint, component_id).
 
@@ -117,12 +142,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     printed = write_shared(fingerprints(docs), "fingerprints")
     fps = write_shared(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fps")
-    close = components(close_links(fps))
-    labelled = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = write_shared(labelled.withColumn("label", F.coalesce("label", "fp")), "labelled")
-    far = components(far_links(labelled.select("fp", "label"))).withColumnRenamed("label", "root")
-    rooted = labelled.join(far, labelled["label"] == far["node"], "left")
-    rooted = rooted.select("fp", "first", F.coalesce("root", "label").alias("root"))
+    rooted = _rooted(fps)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     found = printed.join(classes, "fp")

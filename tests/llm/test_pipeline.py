@@ -84,3 +84,12 @@ def test_mixing_gives_whole_texts(spark):
     for s, want in plain_targets(sizes).items():
         largest = max(words(r[1]) for r in rows if r[3] == s)
         assert abs(taken.get(s, 0) - want) <= largest / 2 + 0.51, s
+
+
+def test_one_row_of_near_duplicates_stays(spark):
+    """Repeated rows, copies with null ids, and an id shared by a copy and another text."""
+    texts = {k: " ".join(f"{k}{i * i % 97}" for i in range(60)) for k in "abcd"}
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (3, "c"), (None, "d"), (None, "d"), (None, "a"), (7, "a")]
+    docs = spark.createDataFrame([(i, texts[k], k) for i, k in rows], "doc_id long, text string, source string")
+    found = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()
+    assert sorted((r["source"], r["doc_id"]) for r in found) == [("a", 1), ("b", 2), ("c", 3), ("d", None)]
