@@ -6,7 +6,8 @@ good, bad, or - if it is too short to tell - open. In the second pass an open
 block takes the label of its nearest decided neighbours: good between good
 ones, and where they differ, that of the nearer one. Markup that says what it
 holds (nav, footer, form, an advert's class ...) decides a block beforehand,
-as does the inside of scripts and styles, which is no text at all.
+as does the inside of scripts and styles, which is no text at all. Names do not
+decide over html, body, main and article, nor over what holds main or article.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ STOP_WORDS = frozenset(
 )
 
 # Element names by what they mean for the text.
-NO_TEXT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title")
+RAW_TEXT = frozenset("script style iframe textarea title".split())
+NO_TEXT = RAW_TEXT | frozenset("noscript template svg object select".split())
 BLOCK = frozenset(
     """
     address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt
@@ -47,23 +49,31 @@ ASIDE = frozenset("nav footer aside form menu dialog button fieldset head".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-# Parts of class and id names, and roles, of what is not the article.
-_ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side|footer|foot|masthead|(?:site|page|top|global|main)[_-]?header|"
+#: Elements that their class and id names never put beside the article, nor the elements around article and main.
+NEVER_NAMED = frozenset("html body main article".split())
+
+# Class and id names, and roles, of what is not the article. A whole name must consist of such words, beside
+# which it may have words for a place or a list.
+_ASIDE_WORD = (
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|sidebar|side|footer|foot|masthead|"
     r"breadcrumbs?|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
-    r"related|recommend\w*|comment\w*|reply|replies|disqus|respond|widget|toolbar|pager|pagination|tags?|copyright|legal)"
-    r"(?:$|[\s_-])",
+    r"related|recommend\w*|comments?|reply|replies|disqus|respond|widgets?|toolbar|pager|pagination|tags?|copyright|legal)"
+)
+_PLACE_WORD = r"(?:site|page|top|bottom|left|right|global|main|primary|secondary|list|box|bar|links?|buttons?|posts|articles)"
+_ASIDE_NAME = re.compile(
+    rf"(?:(?:site|page|top|global|main)[_-]?header|(?:{_PLACE_WORD}[_-]+)*{_ASIDE_WORD}(?:[_-]+(?:{_ASIDE_WORD}|{_PLACE_WORD}))*)",
     re.IGNORECASE,
 )
 _ASIDE_ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert", re.IGNORECASE)
 
-_SKIP = "|".join(NO_TEXT)
-#: Comments, declarations, elements without text up to their end tag, and tags.
+#: Comments, declarations and tags.
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_SKIP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?:{_SKIP})\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE
 )
+_ENDS = {name: re.compile(rf"</{name}(?:\s[^>]*|/)?>", re.IGNORECASE) for name in NO_TEXT}
+_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in NO_TEXT - RAW_TEXT}
+#: A tag without its end, or with an open quote.
+_UNFINISHED = re.compile(r"<[/!?]?[a-zA-Z][^<>]*(?:>|\Z)")
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
@@ -86,6 +96,18 @@ class BlockParams:
     reach: int = 8
 
 
+@dataclass
+class Element:
+    """An open block-level element; ``aside`` is whether it is beside the article, ``named`` whether its names say so."""
+
+    name: str
+    parent: Element | None
+    aside: bool = False
+    named: bool = False
+    holds: bool = False
+    beside: bool = False
+
+
 @dataclass
 class Block:
     text: str
@@ -96,24 +118,56 @@ class Block:
     label: str = ""
 
 
+class _Skips:
+    """Where elements without text end. Elements of raw text without an end tag go on to the end of the page,
+    of others only the tag is left out."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.endless: set[str] = set()
+        self.uneven: set[str] = set()
+
+    def end(self, name: str, at: int) -> int:
+        if name not in RAW_TEXT and name not in self.uneven:
+            depth = 1
+            for tag in _SAME[name].finditer(self.page, at):
+                if tag[1]:
+                    depth -= 1
+                elif not tag[0].endswith("/>"):
+                    depth += 1
+                if not depth:
+                    return tag.end()
+            self.uneven.add(name)  # such a page is not searched for pairs again
+        found = None if name in self.endless else _ENDS[name].search(self.page, at)
+        if found:
+            return found.end()
+        self.endless.add(name)
+        return len(self.page) if name in RAW_TEXT else at
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, white space joined to single spaces, empty ones left out."""
     found: list[Block] = []
+    places: list[Element] = []  # innermost element of each block
     parts: list[str] = []
     state = {"links": 0, "heading": False}
-    open_tags: list[tuple[str, bool]] = []  # block-level elements: name, whether it is beside the article
-    in_link, beside, main = 0, 0, 0
+    top = Element("", None)
+    elements = [top]  # in the order in which they begin
+    open_tags = [top]
+    in_link, main = 0, 0
+    skips = _Skips(page)
 
     def flush() -> None:
         raw = "".join(parts)
         parts.clear()
         text = _SPACES.sub(" ", html.unescape(raw)).strip() if raw else ""
         if text:
-            found.append(Block(text, state["links"], state["heading"], beside > 0, main > 0))
+            found.append(Block(text, state["links"], state["heading"], False, main > 0))
+            places.append(open_tags[-1])
         state["links"] = 0
 
     at = 0
-    for match in _MARKUP.finditer(page):
+    while match := _MARKUP.search(page, at):
         piece = page[at : match.start()]
         at = match.end()
         if piece:
@@ -123,6 +177,10 @@ def blocks_of(page: str) -> list[Block]:
         if match[2] is None:
             continue
         name, closing = match[2].lower(), bool(match[1])
+        if name in NO_TEXT and not closing:
+            if name != "svg" or not match[3].endswith("/"):
+                at = skips.end(name, at)
+            continue
         if name == "a":
             in_link = 0 if closing else 1
             continue
@@ -136,30 +194,40 @@ def blocks_of(page: str) -> list[Block]:
         if not closing:
             if name == "p":
                 in_link = 0  # a link does not go on into the next paragraph
-            side = name in ASIDE or _is_beside(match[3]) or (name == "header" and not main)
-            if name == "p" and open_tags and open_tags[-1][0] == "p":
-                beside -= open_tags.pop()[1]  # a paragraph ends the one before
-            open_tags.append((name, side))
-            beside += side
-            main += name in ("article", "main")
-        elif any(tag == name for tag, _ in open_tags):
+                if open_tags[-1].name == "p":
+                    open_tags.pop()  # a paragraph ends the one before
+            aside = name in ASIDE or _has_aside_role(match[3]) or (name == "header" and not main)
+            element = Element(name, open_tags[-1], aside, name not in NEVER_NAMED and _has_aside_name(match[3]))
+            elements.append(element)
+            open_tags.append(element)
+            if name in ("article", "main"):
+                main += 1
+                holder = element
+                while holder and not holder.holds:
+                    holder.holds, holder = True, holder.parent
+        elif any(tag.name == name for tag in open_tags):
             while True:
-                tag, side = open_tags.pop()
-                beside -= side
-                main -= tag in ("article", "main")
-                if tag == name:
+                tag = open_tags.pop()
+                main -= tag.name in ("article", "main")
+                if tag.name == name:
                     break
-    parts.append(page[at:] if not page[at:].lstrip().startswith("<") else "")
+    parts.append(_UNFINISHED.sub("", page[at:]))
     flush()
+    for element in elements[1:]:
+        element.beside = element.parent.beside or element.aside or (element.named and not element.holds)
+    for block, place in zip(found, places):
+        block.aside = place.beside
     return found
 
 
-def _is_beside(attributes: str) -> bool:
-    if not attributes:
-        return False
+def _has_aside_name(attributes: str) -> bool:
     for match in _NAMES.finditer(attributes):
-        if _ASIDE_NAMES.search(match[1] or match[2] or match[3] or ""):
+        if any(map(_ASIDE_NAME.fullmatch, (match[1] or match[2] or match[3] or "").split())):
             return True
+    return False
+
+
+def _has_aside_role(attributes: str) -> bool:
     role = _ROLE.search(attributes)
     return bool(role and _ASIDE_ROLES.fullmatch(role[1]))
 
@@ -232,7 +300,8 @@ def main_text(pages: DataFrame, params: BlockParams = BlockParams()) -> DataFram
     A null or empty html, and a page without main text, give an empty text of
     0 characters. Whole pages count; repeated rows are answered each time and
     other columns are not read. Unclosed elements end with their parent,
-    unclosed comments and scripts with the page.
+    unclosed comments and scripts with the page; an unfinished tag at the end of
+    the page is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,3 +53,29 @@ def test_odd_rows(spark):
     assert found[0] == [""] and found[1] == ["", ""] and found[None] == [LONG.strip()]
     assert found[99][0].count(LONG.strip()) == 3000
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def test_names_do_not_lose_articles():
+    text = LONG.strip()
+    for name in ("post tag-news", "with-sidebar", "no-sidebar", "nav-open", "has-comments", "comments-open"):
+        assert H.extract(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == text, name
+    for name in ("no-sidebar", "sidebar", "menu"):
+        assert H.extract(f"<body class='{name}'><div id={name}><article class='{name}'><p>{LONG}</p></article></div>") == text
+    for name in ("sidebar", "menu", "related-posts", "main-nav", "site_header", "share-buttons", "cookie-notice"):
+        assert H.extract(f"<body><div class='x {name}'><p>{LONG}</p></div></body>") == "", name
+
+
+def test_skipped_elements_end_at_their_own_tag():
+    text = LONG.strip()
+    for before in ("<svg a='b'/>", "<svg><svg></svg>no</svg>", "<script>'</style>'</script>", "<select-box>", "<svg>", "<object>"):
+        assert H.extract(f"{before}<p>{LONG}</p><p>{LONG}</p>") == f"{text}\n\n{text}", before
+    assert H.extract(f"<p>{LONG}<math><mi>x</mi></math> is</p>") == f"{text} x is"
+    many = "<svg>" * 20_000 + "</svg>" * 10_000
+    assert H.extract(f"{many}<p>{LONG}</p>") == text
+
+
+def test_text_after_the_last_tag():
+    text = LONG.strip()
+    assert H.extract(f"<p></p>< 5 {LONG}") == f"< 5 {text}"
+    assert H.extract(f"<p></p>{LONG}<p class='y") == text
+    assert H.extract(f"<p></p><a href=\"z>{LONG}") == text
