@@ -36,6 +36,12 @@ def op1_sentencepiece(spark, sf_dir):
     return segmentation.sample_segmentations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_sentencepiece_decode(spark, sf_dir):
+    """The texts that the ids of every segmentation decode to."""
+    return segmentation.decode(op1_sentencepiece(spark, sf_dir)).select("doc_id", "rank", "n_pieces", "decoded")
+
+
 @query
 def op2_language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -36,8 +36,8 @@ from ratingloom.llm.common import slices
 
 #: A space in pieces; one stands before every text.
 SPACE = "▁"
-#: Pieces never hold a space after their first character, nor a line break.
-_UNIT = re.compile(SPACE + r"?[^" + SPACE + r"\n]+|" + SPACE + r"|\n")
+#: Pieces are runs of spaces, or hold no space after their first character; none holds a line break.
+_UNIT = re.compile(SPACE + r"*[^" + SPACE + r"\n]+|" + SPACE + r"+|\n")
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,10 @@ class Vocabulary:
         weights = np.zeros(model.get_piece_size())
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or (SPACE in piece[1:]):
-                continue  # byte pieces stand for characters, runs of spaces are never encoded
+            if model.is_byte(i) or model.is_control(i) or model.is_unknown(i):
+                continue  # byte pieces stand for characters
+            if SPACE in piece[1:] and piece.strip(SPACE):
+                raise ValueError(f"piece {i} goes on after a space, so texts cannot be cut there")
             weights[i] = -params.power * np.log(2.0 + min(-model.get_score(i), model.get_piece_size()))
             node = 0
             for c in piece:

@@ -71,3 +71,32 @@ def test_odd_rows(spark):
     assert len(by[3]) == 4 and len({tuple(r["ids"]) for r in by[3]}) == 2 and len(by[None]) == 2
     assert G.sample_segmentations(docs.limit(0)).count() == 0
     assert G.decode(spark.createDataFrame([(None,)], "ids array<int>")).first()["decoded"] is None
+
+
+def test_runs_of_spaces_are_in_the_lattice():
+    """The model's own encoding of a text is a path of the lattice, and probabilities are those over all segmentations."""
+    vocab = G.vocabulary(PARAMS)
+    for text in ("a    b", "a   \n b", "    x", "a  ", " " * 40 + "q", "if x:\n        return  1\n\n   y"):
+        units = G._UNIT.findall(G.SPACE + text.replace(" ", G.SPACE))
+        lattice = G.Lattice(units, vocab)
+        # pieces along the units; a line break is one edge that stands for its byte piece
+        unit, at = 0, int(lattice.start[0])
+        for i in vocab.model.encode(text):
+            ids = {int(G.piece_ids(lattice.piece[e : e + 1], vocab)[0]): e for e in range(lattice.first[at], lattice.first[at + 1])}
+            assert i in ids, (text, vocab.model.id_to_piece(i))
+            at = int(lattice.target[ids[i]])
+            if at == -1 and (unit := unit + 1) < len(units):
+                at = int(lattice.start[unit])
+        assert unit == len(units), text
+    text = "a    b"
+    p = all_segmentations(text)
+    assert any("▁▁▁" in s for s in p)
+    for _, _, f in G.sample_texts([text] * 20, np.arange(20, dtype=np.uint64), PARAMS):
+        cut = tuple(vocab.model.id_to_piece(int(x)) for x in f["ids"])
+        assert math.exp(f["log_p"]) == pytest.approx(p[cut])
+
+
+def test_query_decodes(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op1_sentencepiece_decode"](spark, DATA).collect()
+    assert {r["doc_id"] for r in rows} == set(docs) and all(r["decoded"] == docs[r["doc_id"]] for r in rows)
