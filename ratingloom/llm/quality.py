@@ -27,14 +27,15 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 
 @dataclass(frozen=True)
 class CoveringParams:
-    """thresholds of a feature lie between its ``bins`` quantiles; a rule has ``max_conditions`` conditions at most,
-    must be right on ``precision`` of the pruning rows it covers and cover ``min_covered`` of them.
-    ``max_rules`` bounds the length of the list.
+    """thresholds of a feature lie between its values where there are up to ``few``, else between its ``bins`` quantiles
+    and further ones at both ends, each half as far from the end as the one before, of all rows and of the bad ones;
+    a rule has ``max_conditions`` conditions at most, must be right on ``precision`` of the pruning rows it covers and
+    cover ``min_covered`` of them. The list ends when a rule does not.
     """
 
     bins: int = 32
+    few: int = 64
     max_conditions: int = 3
-    max_rules: int = 10
     precision: float = 0.95
     min_covered: int = 5
 
@@ -173,7 +174,7 @@ class DecisionList:
 def learn(labelled: DataFrame, params: CoveringParams = CoveringParams()) -> DecisionList:
     """Decision list for rejecting ``bad`` rows of ``labelled`` (doc_id, s statistics struct, bad boolean).
 
-    All labelled rows count. They are reduced to cells of equal quantile bins
+    All labelled rows count. They are reduced to cells of equal bins
     with counts; each step of the search is one aggregate over the cells and
     brings back a count per feature and bin. Without labelled rows of both
     kinds the list is empty, so that everything is kept. Equal gains go to the
@@ -187,17 +188,27 @@ def learn(labelled: DataFrame, params: CoveringParams = CoveringParams()) -> Dec
         *(v.alias(k) for k, v in values.items()),
     )
     rows = write_shared(rows, "labelled_statistics")
-    steps = [k / params.bins for k in range(params.bins + 1)]
-    asked = rows.agg(F.count(F.lit(1)), *(F.percentile_approx(k, steps, 1000) for k in names)).first()
+    ends = [0.5**j / params.bins for j in range(1, 11)]
+    steps = sorted([k / params.bins for k in range(params.bins + 1)] + ends + [1 - x for x in ends])
+    asked = rows.agg(
+        F.count(F.lit(1)),
+        *(F.percentile_approx(k, steps, 100_000) for k in names),
+        *(F.percentile_approx(F.when(F.col("bad"), F.col(k)), steps, 100_000) for k in names),
+        *(F.approx_count_distinct(k) for k in names),
+    ).first()
     if not asked[0]:
         return DecisionList([])
-    # halfway between neighbouring quantiles, so that a rule stays clear of the values on either side
-    levels = {k: sorted(set(q)) for k, q in zip(names, asked[1:])}
+    n = len(names)
+    levels = {k: sorted({*asked[1 + i], *(asked[1 + n + i] or [])}) for i, k in enumerate(names)}
+    few = [k for k, count in zip(names, asked[1 + 2 * n :]) if count <= params.few]
+    if few:
+        levels |= {k: sorted(v) for k, v in zip(few, rows.agg(*(F.collect_set(k) for k in few)).first())}
+    # halfway between neighbouring levels, so that a rule stays clear of the values on either side
     cuts = {k: [(a + b) / 2 for a, b in zip(q, q[1:])] for k, q in levels.items()}
 
     def bin_of(name: str) -> Column:
         limits = F.array(*(F.lit(float(c)) for c in cuts[name])).cast("array<double>")
-        return F.size(F.filter(limits, lambda c: F.col(name) > c)).cast("byte").alias(name)
+        return F.size(F.filter(limits, lambda c: F.col(name) > c)).cast("short").alias(name)
 
     binned = rows.select("bad", "pruning", *(bin_of(k) for k in names))
     cells = write_shared(binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n")), "cells")
@@ -232,7 +243,7 @@ def learn(labelled: DataFrame, params: CoveringParams = CoveringParams()) -> Dec
 
     rules: list[tuple[Condition, ...]] = []
     left = cells
-    while len(rules) < params.max_rules:
+    while True:
         rule: list[Condition] = []
         while len(rule) < params.max_conditions and (more := best_condition(left, rule)) is not None:
             rule.append(more)
@@ -252,6 +263,8 @@ def learn(labelled: DataFrame, params: CoveringParams = CoveringParams()) -> Dec
             break
         rules.append(tuple(rule[:size]))
         left = left.where(~met(rule[:size]))
+        if len(rules) % 8 == 0:
+            left = write_shared(left, "cells_left")  # a long list does not make long plans
     return DecisionList(rules)
 
 

@@ -68,3 +68,25 @@ def test_odd_rows(spark):
     rated, rules = Q.rate(docs, labels.limit(0))
     assert not rules.rules and rated.where("not kept").count() == 0
     assert Q.rate(docs.limit(0), labels)[0].count() == 0
+
+
+def test_rare_junk_below_outliers(spark):
+    """Two in a hundred rows are junk, between the clean rows and a few clean outliers."""
+    kinds = [(1500, 0, 1), (30, 10, 0), (10, 60, 1)]  # rows, symbols, quality
+    rows = [(symbols, quality) for n, symbols, quality in kinds for _ in range(n)]
+    words = [f"w{j:02d}" for j in range(30)]
+    texts = [" ".join(w + "#" * (k // 30 + (j < k % 30)) for j, w in enumerate(words)) for k, _ in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(rows)], "doc_id long, quality int")
+    rated, rules = Q.rate(docs, labels)
+    assert rules.rules and all(r["kept"] == bool(rows[r["doc_id"]][1]) for r in rated.collect()), str(rules)
+
+
+def test_more_than_ten_kinds_of_junk(spark):
+    """Clean rows and twelve kinds of junk take turns along the length of the text."""
+    rows = [(20 + k, k % 2) for k in range(25) for _ in range(60)]
+    rows = [(n, 1 - odd) for n, odd in rows]
+    docs = spark.createDataFrame([(i, " ".join(f"{j:03d}" for j in range(n))) for i, (n, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(rows)], "doc_id long, quality int")
+    rated, rules = Q.rate(docs, labels)
+    assert len(rules.rules) == 12 and all(r["kept"] == bool(rows[r["doc_id"]][1]) for r in rated.collect()), str(rules)
