@@ -23,7 +23,7 @@ from ratingloom.params import (
     PopularityParams,
 )
 from ratingloom.plans.engine import HybridEngine, HybridModel
-from ratingloom.plans.evaluation import cross_validate, param_sweep
+from ratingloom.plans.evaluation import DEFAULT_SWEEP, cross_validate, param_sweep
 from ratingloom.plans.recommenders import (
     ForestHybrid,
     NaiveBayesHybrid,
@@ -639,13 +639,8 @@ def param_sweep_popularity(spark, sf_dir):
 
 @query
 def param_sweep_engines(spark, sf_dir):
-    """Factorisation, forest hybrid and popularity compared, two folds."""
-    settings = [
-        (AlgorithmSpec("als", ALS_SETTINGS),),
-        (AlgorithmSpec("prt", NEIGHBOURS),),
-        (AlgorithmSpec("mv", POPULAR),),
-    ]
-    return param_sweep(_ratings(spark, sf_dir), settings, EvalParams(k_fold=2, query_num=NUM))
+    """Factorisation, forest hybrid and popularity compared: the default sweep, ten folds and ten items."""
+    return param_sweep(_ratings(spark, sf_dir), DEFAULT_SWEEP, EvalParams())
 
 
 # two queries share their names with imported functions
