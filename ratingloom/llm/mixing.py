@@ -5,7 +5,9 @@ gets more than ``cap`` times its size. Document rates are then the ones nearest
 to 1 in relative entropy that give every source its target of tokens (and its
 share of documents, so that a source keeps its length profile). They have the
 form min(cap, exp(a + b * length)); a and b solve the convex dual of the source,
-by Newton steps whose gradients and Hessians Spark sums up. Rates are rounded
+by Newton steps whose gradients and Hessians Spark sums up. As both targets are
+the same ratio of their source, b is 0 at the solution and every document of a
+source has the rate target / source size. Rates are rounded
 into copies: the whole part is taken, and further copies go to documents in
 hash order, by rate, until the target is reached exactly; the document on the
 border gives part of its words.
