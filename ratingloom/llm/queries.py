@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.llm import (
+    fill_middle,
     html_text,
     language_id,
     language_model,
     mixing,
+    ngram_join,
     packing,
     quality,
     search,
     segmentation,
     simhash,
     warc,
+    zone_clusters,
 )
 from ratingloom.llm.common import fold, table
 from ratingloom.session import fresh_path, write_shared
@@ -166,3 +169,116 @@ def op9_simhash(spark, sf_dir):
 @query
 def op10_html_text(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_zone_clusters(spark, sf_dir):
+    return zone_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(rounds: int, k: int, dim: int) -> str:
+    """The rounds one after the other; c0, c1, ... are the centroids before each."""
+    steps = [
+        f"""v AS (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS c
+    FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT {k})
+)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (
+    SELECT r, vec_id, v, cluster,
+           list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+    FROM v, c{i}
+), a{i} AS (
+    SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(cluster, (distance, cluster)) AS cluster,
+           min(distance) AS distance
+    FROM d{i} GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+    SELECT cluster, j, sum(x) AS s, count(*) AS n
+    FROM (SELECT cluster, unnest(v) AS x, unnest(range({dim})) AS j FROM a{i}) GROUP BY cluster, j
+), c{i + 1} AS (
+    SELECT c.cluster, coalesce(m.c, c.c) AS c
+    FROM c{i} c LEFT JOIN (
+        SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM m{i} GROUP BY cluster
+    ) m ON m.cluster = c.cluster
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, a.cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
+ORACLE["op11_zone_clusters"] = _cluster_sql(5, 40, 64)
+
+
+@query
+def op12_fill_middle(spark, sf_dir):
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op12_fill_middle"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, len(u) AS n,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                     OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+                WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM documents
+), p AS (
+    SELECT *, array_to_string(u[1:least(x, y)], '') AS prefix,
+           array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle,
+           array_to_string(u[greatest(x, y) + 1:], '') AS suffix
+    FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# every pair that shares an n-gram, counted n-gram by n-gram
+ORACLE["op13_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), g AS (
+    SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS g
+    FROM d
+), x AS (
+    SELECT r, unnest(g) AS g FROM g
+), o AS (
+    SELECT a.r AS a, b.r AS b, count(*) AS met FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
+), h AS (
+    SELECT a, b FROM o JOIN g ga ON ga.r = a JOIN g gb ON gb.r = b
+    WHERE 100 * met >= 80 * (len(ga.g) + len(gb.g) - met)
+), l AS (
+    SELECT a, b FROM h UNION ALL SELECT b, a FROM h
+), c(a, b) AS (
+    SELECT r, r FROM d UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b
+), m AS (
+    SELECT a, min(doc_id) AS component_id FROM c JOIN d ON d.r = c.b GROUP BY a
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM g JOIN m ON m.a = g.r
+"""
