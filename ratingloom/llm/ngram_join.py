@@ -64,18 +64,28 @@ class JoinParams:
     few_pairs: int = 8
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_FACTORS = _mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Hashes of the distinct n-grams of a text, in order; the whole text if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(joined)], np.uint64)
-    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[size - 1 :])], np.uint64))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
+    if not size:
+        return hashes
+    sums = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        sums += hashes[i : i + len(sums)] * _FACTORS[i]
+    sums = np.sort(_mix(sums))
+    return sums[np.concatenate(([True], sums[1:] != sums[:-1]))]
 
 
 def class_of(found: np.ndarray) -> int:
@@ -300,14 +310,16 @@ def _all_meetings(met: DataFrame, params: JoinParams) -> DataFrame:
 # -- overlaps --------------------------------------------------------------
 
 
-def segments(docs: DataFrame, classes: DataFrame, met: DataFrame, order: Order, params: JoinParams) -> DataFrame:
-    """(class, fragment, tokens): sets of all classes of ``met``, cut at the borders of the fragments.
+def segments(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
+    """(class, fragment, tokens): sets of all classes of ``pairs``, cut at the borders of the fragments.
 
     Of each class one document is read, known by its id and a hash of its text.
     """
-    wanted = met.select("class").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     one = F.min(F.struct("doc_id", "print")).alias("one")
     chosen = classes.join(wanted, "class").groupBy("class").agg(one).select("class", "one.*")
+    # written first, so that its size is known: a small one is sent to the texts, not the texts to it
+    chosen = write_shared(chosen, "chosen")
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("mark"))
     read = rows.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("print")))
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -363,14 +375,14 @@ def class_links(docs: DataFrame, classes: DataFrame, order: Order, params: JoinP
     met = shared_tokens(docs, order, params)
     if met.isEmpty():
         return None
-    cut = segments(docs, classes, met, order, params)
     apart, links = _labelled(met, None), None
     for number in range(params.hub_rounds + 1):
         last = number == params.hub_rounds or (number > 0 and _few_pairs(apart, params))
         meetings = _all_meetings(apart, params) if last else _hub_meetings(apart, params, number)
         # the places of a hub's pairs are known for its tokens only, so just the last round can use them
-        pairs = _pairs(meetings, params) if last else _distinct_pairs(meetings)
-        found = write_shared(linked(write_shared(pairs, "pairs"), cut, params), "links")
+        pairs = write_shared(_pairs(meetings, params) if last else _distinct_pairs(meetings), "pairs")
+        cut = segments(docs, classes, pairs, order, params)
+        found = write_shared(linked(pairs, cut, params), "links")
         links = found if links is None else write_shared(links.unionByName(found), "links")
         if last:
             break
