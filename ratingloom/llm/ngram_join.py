@@ -13,11 +13,10 @@ that can be linked at all.
   gives right results; a good one has the rare ones first.
 * **Classes.** Documents with equal sets are one class, and classes are joined.
 * **Candidates.** Two sets that are similar enough share an n-gram among the
-  first ``n - ceil(t * n) + 1`` of either. Of these first n-grams, those of one
-  class only are dropped. What was dropped before an n-gram that two classes
-  share cannot be in their overlap, which gives each class a ``reach`` there, a
-  bound on the overlap; with the sizes it decides most pairs before anything is
-  counted.
+  first ``n - ceil(t * n) + 1`` of either; these are its early ones. At the
+  first n-gram that two classes share, the overlap is at most what is left of
+  either set from there on. Classes meet at all early n-grams they share, but
+  only those where this bound and the sizes let them be similar are looked at.
 * **Hubs first.** A group of classes that share an early n-gram is joined with
   one of them, the one with the largest reach, which links most groups of near
   copies as stars. Only classes that are then in different components are
@@ -53,7 +52,8 @@ PIECES = 64
 class JoinParams:
     """Sets of ``size`` words are linked at ``percent`` of their union. The order is cut into ``fragments``
     and sketched in ``2**sketch_bits`` counts. Up to ``hub_rounds`` rounds join each group with one of its
-    members; all pairs of what is left are compared then, or as soon as they are ``few_pairs`` for each row.
+    members; all pairs of what is left are compared then, or as soon as about ``few_meetings`` a row are left.
+    A filter of up to ``2**filter_bits`` bits tells which texts are read again.
     """
 
     size: int = 5
@@ -61,7 +61,8 @@ class JoinParams:
     fragments: int = 16
     sketch_bits: int = 22
     hub_rounds: int = 3
-    few_pairs: int = 8
+    few_meetings: int = 8
+    filter_bits: int = 27
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -235,9 +236,8 @@ def _early_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFram
 def shared_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
     """(token, class, n, pos, reach): early n-grams that more than one class has among its early ones.
 
-    Tokens of hot buckets are spread over salts, and kept unasked; others are few per token. ``reach``
-    bounds the overlap of two classes with this token in common, both sides: n-grams of the class
-    before it that are not in the table are not early in the other class, nor after the token, so not common.
+    Tokens of hot buckets are spread over salts, and kept unasked; others are few per token. ``reach`` is
+    what is left of the set from the token on: a bound on the overlap with classes that share no earlier one.
     """
     early = _early_tokens(docs, order, params)
     hot = F.col("token") >= F.lit(min(order.hot_level, 63) << HASH_BITS)
@@ -247,9 +247,7 @@ def shared_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFram
         "*", F.min("class").over(group).alias("least"), F.max("class").over(group).alias("most")
     )
     met = ends.where(hot | (F.col("least") < F.col("most"))).select("token", "class", "n", "pos").distinct()
-    met = write_shared(met, "early")
-    before = F.row_number().over(Window.partitionBy("class").orderBy("pos")) - 1
-    reach = (F.col("n") - (F.col("pos") - before)).cast("int").alias("reach")
+    reach = (F.col("n") - F.col("pos")).alias("reach")
     return write_shared(met.select("token", "class", "n", "pos", reach), "shared")
 
 
@@ -296,8 +294,9 @@ def _hub_meetings(met: DataFrame, params: JoinParams, number: int) -> DataFrame:
     facts = F.struct(*(c for c in met.columns if c != "token"))
     by = F.col("reach") / F.col("n") if number == 0 else F.lit(0.0)
     draw = F.xxhash64("class", F.lit(number))
-    hubs = met.groupBy("token").agg(F.max_by(facts, F.struct(by, draw)).alias("hub"))
-    hubs = hubs.select("token", *(F.col(f"hub.{c}").alias(f"{c}2") for c in met.columns if c != "token"))
+    hub = F.max_by(facts, F.struct(by, draw)).alias("hub")
+    hubs = met.groupBy("token").agg(hub, F.count(F.lit(1)).alias("size"))
+    hubs = hubs.select("token", "size", *(F.col(f"hub.{c}").alias(f"{c}2") for c in met.columns if c != "token"))
     joined = met.join(hubs, "token")
     return joined.where((F.col("class") != F.col("class2")) & (F.col("label") != F.col("label2")) & _plausible(params))
 
@@ -310,32 +309,49 @@ def _all_meetings(met: DataFrame, params: JoinParams) -> DataFrame:
 # -- overlaps --------------------------------------------------------------
 
 
+def _marks(chosen: DataFrame, params: JoinParams) -> np.ndarray:
+    """Bits of the hashes in column ``print``, as a filter of bounded size that lets all of them pass, and few others."""
+    wanted = chosen.count()
+    bits = 1 << min(max(64 * wanted, 1 << 20).bit_length(), params.filter_bits)
+    place = F.pmod("print", F.lit(bits)) + 1  # bitmaps count from one
+    bitmaps = chosen.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")
+    )
+    found = np.zeros(bits + (1 << 15), bool)
+    # at most ``bits`` bits come to the driver
+    for row in bitmaps.toLocalIterator():
+        at = (row["bucket"] - 1) << 15
+        found[at : at + (1 << 15)] = np.unpackbits(np.frombuffer(row["bitmap"], np.uint8), bitorder="little")
+    return np.packbits(found[:bits])
+
+
 def segments(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
     """(class, fragment, tokens): sets of all classes of ``pairs``, cut at the borders of the fragments.
 
-    Of each class one document is read, known by its id and a hash of its text.
+    Of each class one text is wanted, known by its hash. Texts that the filter lets pass are read once more; it may
+    let other classes pass, which meet no pair.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    one = F.min(F.struct("doc_id", "print")).alias("one")
-    chosen = classes.join(wanted, "class").groupBy("class").agg(one).select("class", "one.*")
-    # written first, so that its size is known: a small one is sent to the texts, not the texts to it
-    chosen = write_shared(chosen, "chosen")
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("mark"))
-    read = rows.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("print")))
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    chosen = classes.join(wanted, "class").groupBy("class").agg(F.min("print").alias("print"))
+    marks = _marks(write_shared(chosen, "chosen"), params)
+    shared = docs.sparkSession.sparkContext.broadcast((order, marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = shared.value, set()
-        for batch, found in _sets(batches, params.size):
+        (held, marks), seen = shared.value, set()
+        for batch in batches:
+            place = batch.column(1).to_numpy() % (8 * len(marks))
+            batch = batch.filter(pa.array(marks[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 == 1))
             keys, numbers, parts = [], [], []
-            for wanted_class, s in zip(batch.column(1).to_pylist(), found):
-                if wanted_class in seen or class_of(s) != wanted_class:
+            for text in batch.column(0):
+                found = shingles(text.as_py(), params.size)
+                key = class_of(found)
+                if key in seen:
                     continue
-                seen.add(wanted_class)
-                tokens = held.tokens(s)
+                seen.add(key)
+                tokens = held.tokens(found)
                 for i, part in enumerate(np.split(tokens, np.searchsorted(tokens, held.borders))):
                     if len(part):
-                        keys.append(wanted_class)
+                        keys.append(key)
                         numbers.append(i)
                         parts.append(part)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32))
@@ -345,8 +361,9 @@ def segments(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order
                 ["class", "fragment", "tokens"],
             )
 
-    cut = read.select("text", "class").mapInArrow(run, "class long, fragment int, tokens array<long>")
-    return write_shared(cut.dropDuplicates(["class", "fragment"]), "segments")
+    rows = docs.select("text", F.xxhash64("text").alias("print"))
+    cut = rows.mapInArrow(run, "class long, fragment int, tokens array<long>")
+    return cut.dropDuplicates(["class", "fragment"])
 
 
 def linked(pairs: DataFrame, cut: DataFrame, params: JoinParams) -> DataFrame:
@@ -377,12 +394,12 @@ def class_links(docs: DataFrame, classes: DataFrame, order: Order, params: JoinP
         return None
     apart, links = _labelled(met, None), None
     for number in range(params.hub_rounds + 1):
-        last = number == params.hub_rounds or (number > 0 and _few_pairs(apart, params))
-        meetings = _all_meetings(apart, params) if last else _hub_meetings(apart, params, number)
+        meetings = _hub_meetings(apart, params, number)
+        last = number == params.hub_rounds or (number > 0 and _few_meetings(apart, meetings, params))
         # the places of a hub's pairs are known for its tokens only, so just the last round can use them
-        pairs = write_shared(_pairs(meetings, params) if last else _distinct_pairs(meetings), "pairs")
-        cut = segments(docs, classes, pairs, order, params)
-        found = write_shared(linked(pairs, cut, params), "links")
+        pairs = _pairs(_all_meetings(apart, params), params) if last else _distinct_pairs(meetings)
+        pairs = write_shared(pairs, "pairs")
+        found = write_shared(linked(pairs, segments(docs, classes, pairs, order, params), params), "links")
         links = found if links is None else write_shared(links.unionByName(found), "links")
         if last:
             break
@@ -392,11 +409,9 @@ def class_links(docs: DataFrame, classes: DataFrame, order: Order, params: JoinP
     return links
 
 
-def _few_pairs(apart: DataFrame, params: JoinParams) -> bool:
-    """Whether all pairs of the groups are not many more than their rows."""
-    size = F.col("count")
-    rows, pairs = apart.groupBy("token").count().agg(F.sum(size), F.sum(size * (size - 1) / 2)).first()
-    return (pairs or 0) <= params.few_pairs * (rows or 0)
+def _few_meetings(apart: DataFrame, meetings: DataFrame, params: JoinParams) -> bool:
+    """Whether all meetings are not many more than the rows, judged by those with a hub drawn by hash."""
+    return (meetings.agg(F.sum("size")).first()[0] or 0) / 2 <= params.few_meetings * apart.count()
 
 
 def _distinct_pairs(meetings: DataFrame) -> DataFrame:
