@@ -17,12 +17,12 @@ that can be linked at all.
   first n-gram that two classes share, the overlap is at most what is left of
   either set from there on. Classes meet at all early n-grams they share, but
   only those where this bound and the sizes let them be similar are looked at.
-* **Hubs first.** A group of classes that share an early n-gram is joined with
-  one of them, the one with the largest reach, which links most groups of near
-  copies as stars. Only classes that are then in different components are
-  joined with each other; after a few such rounds all pairs that are left are
-  compared. No group is cut off, and a large group of near copies does not
-  give all of its pairs.
+* **Hubs first.** In small groups of classes that share an early n-gram all of
+  them meet. A large group is first joined with one of its members, the one
+  that has most of its set left, which links most near copies as stars. Only
+  classes that are then in different components meet, with a few more members
+  or, once little is left, with each other. No group is cut off, and a large
+  group of near copies does not give all of its pairs.
 """
 
 from __future__ import annotations
@@ -51,15 +51,16 @@ PIECES = 64
 @dataclass(frozen=True)
 class JoinParams:
     """Sets of ``size`` words are linked at ``percent`` of their union. The order is cut into ``fragments``
-    and sketched in ``2**sketch_bits`` counts. Up to ``hub_rounds`` rounds join each group with one of its
-    members; all pairs of what is left are compared then, or as soon as about ``few_meetings`` a row are left.
+    and sketched in ``2**sketch_bits`` counts. Up to ``hub_rounds`` rounds join each group of more than ``small``
+    classes with one of them; all pairs of what is left meet then, or as soon as about ``few_meetings`` a row are left.
     A filter of up to ``2**filter_bits`` bits tells which texts are read again.
     """
 
     size: int = 5
     percent: int = 80
     fragments: int = 16
-    sketch_bits: int = 22
+    sketch_bits: int = 24
+    small: int = 32
     hub_rounds: int = 3
     few_meetings: int = 8
     filter_bits: int = 27
@@ -162,7 +163,7 @@ class Order:
 
 
 def global_order(sketch: DataFrame, params: JoinParams) -> Order:
-    """Add up the pieces of all tasks' sketches; one level for each bucket comes to the driver (4 MB)."""
+    """Add up the pieces of all tasks' sketches; one level for each bucket comes to the driver (16 MB)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -233,22 +234,40 @@ def _early_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFram
     return docs.select("text").mapInArrow(run, "token long, class long, n int, pos int")
 
 
-def shared_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
-    """(token, class, n, pos, reach): early n-grams that more than one class has among its early ones.
+def shared_tokens(docs: DataFrame, order: Order, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """Early n-grams that more than one class has, as (large groups, meetings in small groups).
 
-    Tokens of hot buckets are spread over salts, and kept unasked; others are few per token. ``reach`` is
-    what is left of the set from the token on: a bound on the overlap with classes that share no earlier one.
+    Rows (token, class, n, pos, reach) of groups of more than ``small`` classes, and of tokens of hot buckets, which are
+    spread over salts and kept unasked. In the other groups classes meet at once, as far as they are plausible.
+    ``reach`` is what is left of the set from the token on: a bound on the overlap with classes that share
+    no earlier one.
     """
-    early = _early_tokens(docs, order, params)
+    early = _early_tokens(docs, order, params).withColumn("reach", F.col("n") - F.col("pos"))
     hot = F.col("token") >= F.lit(min(order.hot_level, 63) << HASH_BITS)
     salt = F.when(hot, F.pmod(F.col("class"), F.lit(64))).otherwise(F.lit(0)).cast("int")
     group = Window.partitionBy("token", "salt")
     ends = early.withColumn("salt", salt).select(
         "*", F.min("class").over(group).alias("least"), F.max("class").over(group).alias("most")
     )
-    met = ends.where(hot | (F.col("least") < F.col("most"))).select("token", "class", "n", "pos").distinct()
-    reach = (F.col("n") - F.col("pos")).alias("reach")
-    return write_shared(met.select("token", "class", "n", "pos", reach), "shared")
+    # of a small group the frame holds all classes before the row, of a large one it is not used
+    before = group.orderBy("class").rowsBetween(1 - params.small, -1)
+    facts = F.struct(*(F.col(c).alias(f"{c}2") for c in ("class", "n", "pos", "reach")))
+    rows = ends.where(hot | (F.col("least") < F.col("most"))).select(
+        *("token", "class", "n", "pos", "reach"),
+        (hot | (F.count(F.lit(1)).over(group) > params.small)).alias("large"),
+        F.collect_list(facts).over(before).alias("others"),
+    )
+    near = F.filter(
+        "others",
+        lambda o: (o["class2"] != F.col("class"))
+        & _enough(F.least("reach", o["reach2"]), F.col("n"), o["n2"], params.percent),
+    )
+    none = F.filter("others", lambda _: F.lit(False))
+    rows = rows.withColumn("others", F.when(F.col("large"), none).otherwise(near))
+    rows = write_shared(rows.where("large OR size(others) > 0"), "shared")
+    names = ["token", "class", "n", "pos", "reach"]
+    small = rows.where("NOT large").select(*names, F.inline("others")).distinct()
+    return rows.where("large").select(*names).distinct(), small
 
 
 def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -264,6 +283,10 @@ def _second(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c}2" for c in df.columns if c != "token"})
 
 
+def _meeting(met: DataFrame) -> DataFrame:
+    return met.select("token", "class", "n", "pos", "class2", "n2", "pos2")
+
+
 def _pairs(met: DataFrame, params: JoinParams) -> DataFrame:
     """(a, b, n, n2) from rows in which two classes meet at a token, unless their places rule them out.
 
@@ -376,37 +399,49 @@ def linked(pairs: DataFrame, cut: DataFrame, params: JoinParams) -> DataFrame:
     return sums.where(_enough(F.col("overlap"), F.col("n"), F.col("n2"), params.percent)).select("a", "b")
 
 
-def _labelled(met: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows of groups with classes in different components of ``links``, with the component as ``label``."""
-    if links is None:
-        return met.withColumn("label", F.col("class"))
-    nodes = components(links).select(F.col("node").alias("class"), F.col("label").alias("root"))
-    rows = met.drop("label").join(nodes, "class", "left")
+def _roots(links: DataFrame) -> DataFrame:
+    """(class, root): components of linked classes."""
+    return write_shared(components(links).select(F.col("node").alias("class"), F.col("label").alias("root")), "roots")
+
+
+def _labelled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of groups that have classes of different components, with the component as ``label``."""
+    rows = met.drop("label").join(roots, "class", "left")
     rows = write_shared(rows.select(*met.columns[:5], F.coalesce("root", "class").alias("label")), "labelled")
     apart = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
     return write_shared(rows.join(apart.select("token"), "token", "left_semi"), "apart")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, order: Order, params: JoinParams) -> DataFrame | None:
-    """Links (a, b) that connect all classes that are connected by similar sets; None without any to compare."""
-    met = shared_tokens(docs, order, params)
-    if met.isEmpty():
-        return None
-    apart, links = _labelled(met, None), None
-    for number in range(params.hub_rounds + 1):
-        meetings = _hub_meetings(apart, params, number)
-        last = number == params.hub_rounds or (number > 0 and _few_meetings(apart, meetings, params))
-        # the places of a hub's pairs are known for its tokens only, so just the last round can use them
-        pairs = _pairs(_all_meetings(apart, params), params) if last else _distinct_pairs(meetings)
+def _still_apart(small: DataFrame, roots: DataFrame) -> DataFrame:
+    """Meetings of classes of different components."""
+    one, two = roots.withColumnRenamed("root", "label"), _second(roots)
+    rows = small.join(one, "class", "left").join(two, "class2", "left")
+    return rows.where(F.coalesce("label", "class") != F.coalesce("root2", "class2"))
+
+
+def class_links(docs: DataFrame, classes: DataFrame, order: Order, params: JoinParams) -> DataFrame:
+    """Links (a, b) that connect all classes that are connected by similar sets."""
+
+    def similar(pairs: DataFrame) -> DataFrame:
         pairs = write_shared(pairs, "pairs")
-        found = write_shared(linked(pairs, segments(docs, classes, pairs, order, params), params), "links")
-        links = found if links is None else write_shared(links.unionByName(found), "links")
-        if last:
+        return write_shared(linked(pairs, segments(docs, classes, pairs, order, params), params), "links")
+
+    large, small = shared_tokens(docs, order, params)
+    met, links, roots = write_shared(large.withColumn("label", F.col("class")), "large"), None, None
+    for number in range(params.hub_rounds):
+        if met.isEmpty():
             break
-        apart = _labelled(met, links)
-        if apart.isEmpty():
+        meetings = _hub_meetings(met, params, number)
+        if number and _few_meetings(met, meetings, params):
             break
-    return links
+        found = similar(_distinct_pairs(meetings))
+        links = found if links is None else links.unionByName(found)
+        roots = _roots(links)
+        met = _labelled(met, roots)
+    # the places of a hub's pairs are known for its tokens only, so just this last round can use them
+    rest = _meeting(_all_meetings(met, params)).unionByName(_meeting(_still_apart(small, roots) if roots else small))
+    found = similar(_pairs(rest, params))
+    return found if links is None else links.unionByName(found)
 
 
 def _few_meetings(apart: DataFrame, meetings: DataFrame, params: JoinParams) -> bool:
@@ -437,12 +472,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     found = write_shared(_classes_and_sketch(docs, params), "classes")
     classes = found.where("piece IS NULL").select("doc_id", "print", "n", "class")
     order = global_order(found.where("piece IS NOT NULL").select("piece", "counts"), params)
-    links = class_links(docs, classes.where("n > 0"), order, params)
-    if links is None:
-        rows = classes.withColumn("root", F.col("class"))
-    else:
-        roots = components(links).select(F.col("node").alias("class"), F.col("label").alias("root"))
-        rows = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    roots = _roots(class_links(docs, classes.where("n > 0"), order, params))
+    rows = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return rows.join(least, "root", "left").select(
