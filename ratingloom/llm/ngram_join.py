@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ class JoinParams:
     size: int = 5
     percent: int = 80
     fragments: int = 16
-    sketch_bits: int = 24
+    sketch_bits: int = 23
     small: int = 32
     hub_rounds: int = 3
     few_meetings: int = 8
@@ -163,7 +164,7 @@ class Order:
 
 
 def global_order(sketch: DataFrame, params: JoinParams) -> Order:
-    """Add up the pieces of all tasks' sketches; one level for each bucket comes to the driver (16 MB)."""
+    """Add up the pieces of all tasks' sketches; one level for each bucket comes to the driver (8 MB)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -207,14 +208,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1 if n else 0
 
 
-def _early_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
-    """(token, class, n, pos): the first n-grams of every set, once for each task that has the class."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def _early_tokens(docs: DataFrame, order: Broadcast[Order], params: JoinParams) -> DataFrame:
+    """(token, class, place): the first n-grams of every set, once for each task that has the class.
+
+    ``place`` is ``n << 32 | pos``, the size of the set and where the n-gram stands in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = shared.value, set()
+        held, seen = order.value, set()
         for _, found in _sets(batches, params.size):
-            tokens, classes, sizes, places = [], [], [], []
+            tokens, classes, places = [], [], []
             for s in found:
                 key = class_of(s)
                 if not len(s) or key in seen:
@@ -223,18 +226,16 @@ def _early_tokens(docs: DataFrame, order: Order, params: JoinParams) -> DataFram
                 first = held.tokens(s)[: prefix_length(len(s), params.percent)]
                 tokens.append(first)
                 classes.append(np.full(len(first), key))
-                sizes.append(np.full(len(first), len(s), np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
+                places.append((len(s) << 32) + np.arange(len(first)))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (tokens, classes, sizes, places)],
-                    ["token", "class", "n", "pos"],
+                    [pa.array(np.concatenate(c)) for c in (tokens, classes, places)], ["token", "class", "place"]
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, class long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, class long, place long")
 
 
-def shared_tokens(docs: DataFrame, order: Order, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+def shared_tokens(docs: DataFrame, order: Broadcast[Order], params: JoinParams) -> tuple[DataFrame, DataFrame]:
     """Early n-grams that more than one class has, as (large groups, meetings in small groups).
 
     Rows (token, class, n, pos, reach) of groups of more than ``small`` classes, and of tokens of hot buckets, which are
@@ -242,17 +243,21 @@ def shared_tokens(docs: DataFrame, order: Order, params: JoinParams) -> tuple[Da
     ``reach`` is what is left of the set from the token on: a bound on the overlap with classes that share
     no earlier one.
     """
-    early = _early_tokens(docs, order, params).withColumn("reach", F.col("n") - F.col("pos"))
-    hot = F.col("token") >= F.lit(min(order.hot_level, 63) << HASH_BITS)
+    early = _early_tokens(docs, order, params)
+    hot = F.col("token") >= F.lit(min(order.value.hot_level, 63) << HASH_BITS)
     salt = F.when(hot, F.pmod(F.col("class"), F.lit(64))).otherwise(F.lit(0)).cast("int")
     group = Window.partitionBy("token", "salt")
     ends = early.withColumn("salt", salt).select(
         "*", F.min("class").over(group).alias("least"), F.max("class").over(group).alias("most")
     )
+    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    ends = ends.where(hot | (F.col("least") < F.col("most"))).select(
+        "token", "salt", "class", n.alias("n"), pos.alias("pos"), (n - pos).alias("reach")
+    )
     # of a small group the frame holds all classes before the row, of a large one it is not used
     before = group.orderBy("class").rowsBetween(1 - params.small, -1)
     facts = F.struct(*(F.col(c).alias(f"{c}2") for c in ("class", "n", "pos", "reach")))
-    rows = ends.where(hot | (F.col("least") < F.col("most"))).select(
+    rows = ends.select(
         *("token", "class", "n", "pos", "reach"),
         (hot | (F.count(F.lit(1)).over(group) > params.small)).alias("large"),
         F.collect_list(facts).over(before).alias("others"),
@@ -348,7 +353,9 @@ def _marks(chosen: DataFrame, params: JoinParams) -> np.ndarray:
     return np.packbits(found[:bits])
 
 
-def segments(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, params: JoinParams) -> DataFrame:
+def segments(
+    docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Broadcast[Order], params: JoinParams
+) -> DataFrame:
     """(class, fragment, tokens): sets of all classes of ``pairs``, cut at the borders of the fragments.
 
     Of each class one text is wanted, known by its hash. Texts that the filter lets pass are read once more; it may
@@ -357,10 +364,10 @@ def segments(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     chosen = classes.join(wanted, "class").groupBy("class").agg(F.min("print").alias("print"))
     marks = _marks(write_shared(chosen, "chosen"), params)
-    shared = docs.sparkSession.sparkContext.broadcast((order, marks))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (held, marks), seen = shared.value, set()
+        held, marks, seen = order.value, shared.value, set()
         for batch in batches:
             place = batch.column(1).to_numpy() % (8 * len(marks))
             batch = batch.filter(pa.array(marks[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 == 1))
@@ -386,7 +393,8 @@ def segments(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order
 
     rows = docs.select("text", F.xxhash64("text").alias("print"))
     cut = rows.mapInArrow(run, "class long, fragment int, tokens array<long>")
-    return cut.dropDuplicates(["class", "fragment"])
+    # dealt by class, for the copies to drop and for the join that follows
+    return cut.repartition("class").dropDuplicates(["class", "fragment"])
 
 
 def linked(pairs: DataFrame, cut: DataFrame, params: JoinParams) -> DataFrame:
@@ -419,7 +427,7 @@ def _still_apart(small: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("label", "class") != F.coalesce("root2", "class2"))
 
 
-def class_links(docs: DataFrame, classes: DataFrame, order: Order, params: JoinParams) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, order: Broadcast[Order], params: JoinParams) -> DataFrame:
     """Links (a, b) that connect all classes that are connected by similar sets."""
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -472,6 +480,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     found = write_shared(_classes_and_sketch(docs, params), "classes")
     classes = found.where("piece IS NULL").select("doc_id", "print", "n", "class")
     order = global_order(found.where("piece IS NOT NULL").select("piece", "counts"), params)
+    order = docs.sparkSession.sparkContext.broadcast(order)
     roots = _roots(class_links(docs, classes.where("n > 0"), order, params))
     rows = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

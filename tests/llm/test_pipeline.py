@@ -52,8 +52,11 @@ def test_stages(spark):
     for r in copies:
         taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
         assert r["n_chars"] == len(r["text"])
+    given = texts(tables["mixing"][0])
     for s, want in plain_targets(sizes).items():
-        assert abs(taken.get(s, 0) - want) < 0.51, s
+        # copies are whole, so a source is off by half of the document on the border of its target at most
+        largest = max(words(t) for k, t in given.items() if source[k] == s)
+        assert abs(taken.get(s, 0) - want) <= largest / 2 + 0.51, s
 
     pieces = tables["sentencepiece"][1]
     assert pieces.count() == 2 * len(copies)
