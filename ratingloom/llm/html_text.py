@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,32 +53,39 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that their class and id names never put beside the article, nor the elements around article and main.
 NEVER_NAMED = frozenset("html body main article".split())
 
-# Class and id names, and roles, of what is not the article. A whole name must consist of such words, beside
-# which it may have words for a place or a list.
-_ASIDE_WORD = (
-    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|sidebar|side|footer|foot|masthead|"
-    r"breadcrumbs?|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
-    r"related|recommend\w*|comments?|reply|replies|disqus|respond|widgets?|toolbar|pager|pagination|tags?|copyright|legal)"
+# Parts of class and id names, and roles, of what is not the article. All parts of a name must be such words or
+# words for a place or a container.
+ASIDE_WORDS = frozenset(
+    """
+    ad ads banner nav navbar navigation menu menus sidebar side footer foot masthead breadcrumb breadcrumbs cookie cookies
+    consent notice popup modal overlay newsletter subscribe signup login share sharing social related comment comments reply
+    replies disqus respond widget widgets toolbar pager pagination tag tags copyright legal
+    """.split()
 )
-_PLACE_WORD = r"(?:site|page|top|bottom|left|right|global|main|primary|secondary|list|box|bar|links?|buttons?|posts|articles)"
-_ASIDE_NAME = re.compile(
-    rf"(?:(?:site|page|top|global|main)[_-]?header|(?:{_PLACE_WORD}[_-]+)*{_ASIDE_WORD}(?:[_-]+(?:{_ASIDE_WORD}|{_PLACE_WORD}))*)",
-    re.IGNORECASE,
+ASIDE_STARTS = ("advert", "sponsor", "promo", "recommend")
+PLACE_WORDS = frozenset(
+    """
+    site page top bottom left right global main primary secondary list box bar link links button buttons posts articles
+    body section container area wrapper wrap block item items user users thread inner outer holder slot unit panel row col
+    column group module region zone content text author meta header title form count
+    """.split()
 )
+HEADER_PLACES = frozenset("site page top global main".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 _ASIDE_ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert", re.IGNORECASE)
 
-#: Comments, declarations and tags.
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE
-)
-_ENDS = {name: re.compile(rf"</{name}(?:\s[^>]*|/)?>", re.IGNORECASE) for name in NO_TEXT}
-_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in NO_TEXT - RAW_TEXT}
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag, which quotes may carry over a sign that ends it.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ENDS = {name: re.compile(rf"</{name}(?:\s[^<>]*+|/)?>", re.IGNORECASE) for name in NO_TEXT}
+_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^<>]*+>", re.IGNORECASE) for name in NO_TEXT - RAW_TEXT}
 #: A tag without its end, or with an open quote.
-_UNFINISHED = re.compile(r"<[/!?]?[a-zA-Z][^<>]*(?:>|\Z)")
-_NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.IGNORECASE)
+_UNFINISHED = re.compile(r"<[/!?]?[a-zA-Z][^<>]*+(?:>|\Z)")
+_NAMES = re.compile(r"\b(?:class|id)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.IGNORECASE)
+_ROLE = re.compile(r"\brole\s*+=\s*+[\"']?([a-z]+)", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
 _EDGE = re.compile(r"^\W+|\W+$")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u06d4][\"'\u201d\u2019\u00bb)\]]*$")
 
 
 @dataclass(frozen=True)
@@ -116,6 +124,39 @@ class Block:
     aside: bool
     main: bool
     label: str = ""
+    paragraph: bool = False
+
+
+class _Markup:
+    """Comments, declarations and tags of a page, found from left to right.
+
+    A search that fails is not made again, so the time is in proportion to the page: after the last
+    sign that can end a tag there is none, and once quotes have run to the end of the page tags end at the next sign.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.broken = page, page.rfind(">"), False
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether it closes, name, attributes); no name for what is not a tag."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, None, ""
+            if start > self.last:
+                # only a comment without end may follow
+                at = page.find("<!--", start)
+                return None if at < 0 else (at, len(page), False, None, "")
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, False, None, ""
+            if tag := _TAG.match(page, start):
+                rest = None if self.broken else _REST.match(page, tag.end())
+                self.broken = rest is None
+                end = rest.end() if rest else page.find(">", tag.end()) + 1
+                return start, end, bool(tag[1]), tag[2].lower(), page[tag.end() : end - 1]
+            at = start + 1
+        return None
 
 
 class _Skips:
@@ -155,30 +196,29 @@ def blocks_of(page: str) -> list[Block]:
     elements = [top]  # in the order in which they begin
     open_tags = [top]
     in_link, main = 0, 0
-    skips = _Skips(page)
+    skips, markup, depth = _Skips(page), _Markup(page), Counter()
 
     def flush() -> None:
         raw = "".join(parts)
         parts.clear()
         text = _SPACES.sub(" ", html.unescape(raw)).strip() if raw else ""
         if text:
-            found.append(Block(text, state["links"], state["heading"], False, main > 0))
+            found.append(Block(text, state["links"], state["heading"], False, main > 0, paragraph=open_tags[-1].name == "p"))
             places.append(open_tags[-1])
         state["links"] = 0
 
     at = 0
-    while match := _MARKUP.search(page, at):
-        piece = page[at : match.start()]
-        at = match.end()
+    while found_tag := markup.next(at):
+        start, end, closing, name, attributes = found_tag
+        piece, at = page[at:start], end
         if piece:
             parts.append(piece)
             if in_link:
                 state["links"] += len(html.unescape(piece).strip())
-        if match[2] is None:
+        if name is None:
             continue
-        name, closing = match[2].lower(), bool(match[1])
         if name in NO_TEXT and not closing:
-            if name != "svg" or not match[3].endswith("/"):
+            if name != "svg" or not attributes.endswith("/"):
                 at = skips.end(name, at)
             continue
         if name == "a":
@@ -195,19 +235,22 @@ def blocks_of(page: str) -> list[Block]:
             if name == "p":
                 in_link = 0  # a link does not go on into the next paragraph
                 if open_tags[-1].name == "p":
+                    depth["p"] -= 1
                     open_tags.pop()  # a paragraph ends the one before
-            aside = name in ASIDE or _has_aside_role(match[3]) or (name == "header" and not main)
-            element = Element(name, open_tags[-1], aside, name not in NEVER_NAMED and _has_aside_name(match[3]))
+            aside = name in ASIDE or _has_aside_role(attributes) or (name == "header" and not main)
+            element = Element(name, open_tags[-1], aside, name not in NEVER_NAMED and _has_aside_name(attributes))
             elements.append(element)
             open_tags.append(element)
+            depth[name] += 1
             if name in ("article", "main"):
                 main += 1
                 holder = element
                 while holder and not holder.holds:
                     holder.holds, holder = True, holder.parent
-        elif any(tag.name == name for tag in open_tags):
+        elif depth[name]:
             while True:
                 tag = open_tags.pop()
+                depth[tag.name] -= 1
                 main -= tag.name in ("article", "main")
                 if tag.name == name:
                     break
@@ -222,11 +265,20 @@ def blocks_of(page: str) -> list[Block]:
 
 def _has_aside_name(attributes: str) -> bool:
     for match in _NAMES.finditer(attributes):
-        if any(map(_ASIDE_NAME.fullmatch, (match[1] or match[2] or match[3] or "").split())):
+        if any(map(is_aside_name, (match[1] or match[2] or match[3] or "").split())):
             return True
     return False
 
 
+def is_aside_name(name: str) -> bool:
+    """Whether all parts of a class or id name are words of what stands beside an article, or of places for it."""
+    parts = [part.lower() for part in _PART.findall(name)]
+    aside = [part in ASIDE_WORDS or part.startswith(ASIDE_STARTS) for part in parts]
+    if any(aside):
+        return all(a or part in PLACE_WORDS for a, part in zip(aside, parts))
+    return len(parts) == 2 and parts[0] in HEADER_PLACES and parts[1] == "header"
+
+
 def _has_aside_role(attributes: str) -> bool:
     role = _ROLE.search(attributes)
     return bool(role and _ASIDE_ROLES.fullmatch(role[1]))
@@ -235,7 +287,8 @@ def _has_aside_role(attributes: str) -> bool:
 def judge(block: Block, params: BlockParams) -> str:
     """First pass: good, bad or open."""
     size = len(block.text)
-    if block.aside or block.links > params.max_links * size:
+    # a paragraph of an article may be made of links
+    if block.aside or (block.links > params.max_links * size and not (block.main and block.paragraph)):
         return "bad"
     if size <= params.short or block.heading:
         return "open"
@@ -248,6 +301,19 @@ def judge(block: Block, params: BlockParams) -> str:
     return "good" if size > params.long else "open"
 
 
+def judge_all(blocks: list[Block], params: BlockParams) -> None:
+    """First pass over a page. If its stop words are in no listed language, nothing is good by them: then blocks that are
+    long and not made of links are good, or, where there are none, those that end as sentences do.
+    """
+    for block in blocks:
+        block.label = judge(block, params)
+    if any(b.label == "good" for b in blocks):
+        return
+    plain = [b for b in blocks if not b.aside and not b.heading and b.links <= params.max_links * len(b.text)]
+    for block in [b for b in plain if len(b.text) > params.short] or [b for b in plain if _SENTENCE.search(b.text)]:
+        block.label = "good"
+
+
 def settle(blocks: list[Block], params: BlockParams) -> None:
     """Second pass: open blocks take the label of the nearest decided neighbours.
 
@@ -288,8 +354,7 @@ def settle(blocks: list[Block], params: BlockParams) -> None:
 def extract(page: str | None, params: BlockParams = BlockParams()) -> str:
     """The main text: blocks judged good, joined by empty lines; empty without any."""
     blocks = blocks_of(page or "")
-    for block in blocks:
-        block.label = judge(block, params)
+    judge_all(blocks, params)
     settle(blocks, params)
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 

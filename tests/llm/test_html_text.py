@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratingloom.llm import html_text as H
@@ -79,3 +81,50 @@ def test_text_after_the_last_tag():
     assert H.extract(f"<p></p>< 5 {LONG}") == f"< 5 {text}"
     assert H.extract(f"<p></p>{LONG}<p class='y") == text
     assert H.extract(f"<p></p><a href=\"z>{LONG}") == text
+
+
+PROSE = "The quick fox was in the garden and it had been there for a long time, as they said to all of us near the house."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b" * 100_000, "<p '" * 50_000, "<!" * 100_000, "<a " * 70_000, "<" + "a" * 200_000, "<svg " * 40_000]
+    + ["<div>" * 30_000 + "</p>" * 30_000, "<script>" + "</script " * 20_000, "<!-- " * 40_000, '<p "' * 50_000 + ">"]
+    + ["<div class='" + "advert_" * 20_000 + "!'>x</div>", "<svg>" * 40_000, "<b '" * 50_000 + ">"],
+    ids=lambda page: page[:12],
+)
+def test_odd_markup_takes_time_in_proportion(page):
+    start = time.perf_counter()
+    H.extract(page)
+    assert time.perf_counter() - start < 5  # 200 KB; a quadratic search takes minutes
+
+
+@pytest.mark.parametrize("around", ["{}", "<article>{}</article>"])
+@pytest.mark.parametrize(
+    "name",
+    "comment-body comments-section ad-container sidebar-widget-area site-nav-wrapper advertisement-block user-comments"
+    " commentBody related-articles reply-item".split(),
+)
+def test_side_boxes_go(around, name):
+    side = f'<div class="{name}"><p>SIDE {PROSE}</p></div>'
+    body = f"<div><p>{PROSE}</p><p>{PROSE}</p></div>{side}<div><p>{PROSE}</p></div>"
+    assert H.extract(f"<html><body>{around.format(body)}</body></html>") == "\n\n".join([PROSE] * 3)
+
+
+@pytest.mark.parametrize("name", "no-sidebar with-sidebar has-comments comments-open main-content article-body".split())
+def test_names_of_the_article_stay(name):
+    assert H.extract(f'<div class="{name}"><p>{PROSE}</p></div>') == PROSE
+
+
+def test_pages_without_article_in_any_language():
+    russian = "Быстрая лиса сидела в саду и долго смотрела на дом, пока хозяева не вышли на крыльцо. " * 5
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>More</a></li></ul>"
+    assert H.extract(f"<div>{menu}<p>{russian}</p></div>") == russian.strip()
+    foods = "Salt, water, flour, sugar, butter, eggs, milk, vanilla, cinnamon, nutmeg, cloves, ginger, honey, oats."
+    assert H.extract(f"{menu}<p>{foods}</p>") == foods
+    assert H.extract(f"{menu}<p>Short one.</p><p>Another short.</p>") == "Short one.\n\nAnother short."
+
+
+def test_paragraph_of_links_in_an_article():
+    linked = f"<p><a href=x>{PROSE}</a></p>"
+    assert H.extract(f"<article><p>{PROSE}</p>{linked}<p>{PROSE}</p></article>") == "\n\n".join([PROSE] * 3)
