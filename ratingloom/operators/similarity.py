@@ -18,11 +18,17 @@ Items with many raters are cut into slots of ``raters_per_slot`` raters, and
 every two slots of an item are a join group of their own, so a hot item is
 spread over many tasks. The sums are combined map-side before the shuffle by
 pair. No candidate is dropped or sampled.
+
+All sums are sums of integers: ratings are put on a grid (:class:`Grid`), for
+decimal ratings that of their last decimal. So a sum is the same whatever
+order executors add it up in, variances are zero or not without doubt, and
+similarities are ranked at full precision.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,27 +39,79 @@ from ratingloom.operators.ratings import latest_ratings, user_means
 from ratingloom.params import NeighbourParams
 from ratingloom.session import write_shared
 
-#: Relative error of a sum of squares, per summand and with a wide margin; a
-#: variance below it cannot be told from none.
-ROUNDING = 1e-14
+#: Ratings on the grid stay below this, their products fit a long.
+GRID_BOUND = 1 << 30
+#: Decimals that ratings may have to be on the grid as they are.
+GRID_DECIMALS = 6
 
 MEETINGS_PER_TASK = 2_000_000
 MAX_JOIN_TASKS = 200_000
 
 
-def _comparable_ratings(latest: DataFrame, min_common: int, center: bool) -> DataFrame:
-    """Ratings that can take part in a pair: ``(user, item, x, raters)``.
+@dataclass(frozen=True)
+class Grid:
+    """Integers for ratings: ``rating * scale``, rounded.
+
+    ``exact`` ratings are decimal fractions that lose nothing; others keep 30 bits. With ``wide``, sums
+    over shared items may outgrow a long and are decimals.
+    """
+
+    scale: float
+    exact: bool
+    wide: bool
+
+    def of(self, rating: Column) -> Column:
+        return F.rint(rating * F.lit(self.scale)).cast("bigint")
+
+    def total(self, value: Column) -> Column:
+        return F.sum(self.number(value))
+
+    def number(self, value: Column) -> Column:
+        return value.cast("decimal(38,0)") if self.wide else value
+
+
+def rating_grid(rows: DataFrame, center: bool) -> Grid:
+    """The coarsest decimal grid that holds all ratings of ``rows``, or else one of 30 bits."""
+    rating = F.col("rating")
+
+    def fits(decimals: int) -> Column:
+        scaled = rating * F.lit(10.0**decimals)
+        return F.bool_and(F.abs(scaled - F.rint(scaled)) <= F.lit(1e-9) * F.greatest(F.abs(scaled), F.lit(1.0)))
 
-    Users with fewer than ``min_common`` items and items with one rater are
-    left out. ``x`` is the rating less its user's mean, which leaves Pearson
-    unchanged and keeps the sums of squares well-conditioned.
+    found = rows.agg(
+        F.max(F.abs(rating)).alias("most"),
+        (F.max(rating) - F.min(rating)).alias("span"),
+        F.max("n_ratings").alias("items"),
+        *(fits(d).alias(f"d{d}") for d in range(GRID_DECIMALS + 1)),
+    ).first()
+    most = found["most"] or 1.0
+    scales = [10.0**d for d in range(GRID_DECIMALS + 1) if found[f"d{d}"] and most * 10.0**d <= GRID_BOUND]
+    scale = scales[0] if scales else 2.0 ** math.floor(math.log2(GRID_BOUND / most))
+    largest = (found["span"] if center else most) or 0.0
+    wide = ((largest * scale + 1) * (found["items"] or 0)) ** 2 >= 2.0**62
+    return Grid(scale, bool(scales), wide)
+
+
+def _comparable_ratings(latest: DataFrame, min_common: int) -> DataFrame:
+    """Ratings that can take part in a pair: ``(user, item, rating, mean_rating, n_ratings, raters)``.
+
+    Users with fewer than ``min_common`` items and items with one rater are left out.
     """
     latest = latest.select("user", "item", "rating")
     active = user_means(latest).filter(F.col("n_ratings") >= min_common)
-    x = F.col("rating") - F.col("mean_rating") if center else F.col("rating")
-    rows = latest.join(active, "user").select("user", "item", x.alias("x"))
+    rows = latest.join(active, "user")
     raters = rows.groupBy("item").agg(F.count(F.lit(1)).alias("raters")).filter(F.col("raters") > 1)
-    return rows.join(raters, "item").select("user", "item", "x", "raters")
+    return rows.join(raters, "item").select("user", "item", "rating", "mean_rating", "n_ratings", "raters")
+
+
+def _on_grid(rows: DataFrame, grid: Grid, center: bool) -> DataFrame:
+    """``(user, item, x, raters)``; ``x`` is the rating on the grid, less its user's mean with ``center``.
+
+    That leaves Pearson unchanged and keeps the sums small.
+    """
+    x = grid.of(F.col("rating"))
+    x = x - grid.of(F.col("mean_rating")) if center else x
+    return rows.select("user", "item", x.alias("x"), "raters")
 
 
 def _tails(rows: DataFrame, size: int) -> DataFrame:
@@ -152,12 +210,13 @@ def _meetings(placed: DataFrame, tasks: int) -> DataFrame:
     )
 
 
-def _total(common: Column, value) -> Column:
-    return F.aggregate(common, F.lit(0.0), lambda acc, s: acc + value(s))
+def _with_tail_meetings(pairs: DataFrame, tails: DataFrame, grid: Grid) -> DataFrame:
+    """Add the items that both users of a pair hold in their tails."""
 
+    def total(common: Column, value) -> Column:
+        zero = grid.number(F.lit(0).cast("bigint"))
+        return F.aggregate(common, zero, lambda acc, s: (acc + grid.number(value(s))).cast("decimal(38,0)" if grid.wide else "bigint"))
 
-def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
-    """Add the items that both users of a pair hold in their tails."""
     joined = pairs.join(tails.select(F.col("user").alias("a"), F.col("tail").alias("ta")), "a").join(
         tails.select(F.col("user").alias("b"), F.col("tail").alias("tb")), "b"
     )
@@ -170,11 +229,11 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
     common = F.col("common")
     added = F.struct(
         (F.col("n_common") + F.size(common)).alias("n_common"),
-        (F.col("sx") + _total(common, lambda s: s["x"])).alias("sx"),
-        (F.col("sy") + _total(common, lambda s: s["y"])).alias("sy"),
-        (F.col("sxx") + _total(common, lambda s: s["x"] * s["x"])).alias("sxx"),
-        (F.col("syy") + _total(common, lambda s: s["y"] * s["y"])).alias("syy"),
-        (F.col("sxy") + _total(common, lambda s: s["x"] * s["y"])).alias("sxy"),
+        (F.col("sx") + total(common, lambda s: s["x"])).alias("sx"),
+        (F.col("sy") + total(common, lambda s: s["y"])).alias("sy"),
+        (F.col("sxx") + total(common, lambda s: s["x"] * s["x"])).alias("sxx"),
+        (F.col("syy") + total(common, lambda s: s["y"] * s["y"])).alias("syy"),
+        (F.col("sxy") + total(common, lambda s: s["x"] * s["y"])).alias("sxy"),
     )
     # filters are not pushed below a generator, so the sums are evaluated once
     return joined.select("a", "b", F.inline(F.array(added)))
@@ -182,9 +241,11 @@ def _with_tail_meetings(pairs: DataFrame, tails: DataFrame) -> DataFrame:
 
 def common_rating_sums(
     latest: DataFrame, min_common: int, raters_per_slot: int, center: bool = True
-) -> DataFrame:
-    """Sums over the shared items of every pair that shares ``min_common``."""
-    rows = write_shared(_comparable_ratings(latest, min_common, center), "comparable")
+) -> tuple[DataFrame, Grid]:
+    """Sums over the shared items of every pair that shares ``min_common``, and the grid they are on."""
+    comparable = write_shared(_comparable_ratings(latest, min_common), "comparable")
+    grid = rating_grid(comparable, center)
+    rows = _on_grid(comparable, grid, center)
     tails = write_shared(_tails(rows, min_common - 1), "tails") if min_common > 1 else None
     placed = write_shared(_placed_ratings(rows, tails, raters_per_slot), "placed")
     x, y = F.col("x"), F.col("y")
@@ -193,19 +254,19 @@ def common_rating_sums(
         .groupBy("a", "b")
         .agg(
             F.count(F.lit(1)).alias("n_common"),
-            F.sum(x).alias("sx"),
-            F.sum(y).alias("sy"),
-            F.sum(x * x).alias("sxx"),
-            F.sum(y * y).alias("syy"),
-            F.sum(x * y).alias("sxy"),
+            grid.total(x).alias("sx"),
+            grid.total(y).alias("sy"),
+            grid.total(x * x).alias("sxx"),
+            grid.total(y * y).alias("syy"),
+            grid.total(x * y).alias("sxy"),
             F.max("bodies").alias("candidate"),
         )
         .filter("candidate")
         .drop("candidate")
     )
     if tails is not None:
-        pairs = _with_tail_meetings(pairs, tails)
-    return pairs.filter(F.col("n_common") >= min_common)
+        pairs = _with_tail_meetings(pairs, tails, grid)
+    return pairs.filter(F.col("n_common") >= min_common), grid
 
 
 def _as_pairs(sums: DataFrame, similarity: Column, string_order: bool = False) -> DataFrame:
@@ -236,13 +297,14 @@ def pearson_pairs(
     Pairs are ordered by id; ``compat`` orders ids as text.
     """
     latest = ratings if latest_only else latest_ratings(ratings)
-    sums = common_rating_sums(latest, params.min_common, params.raters_per_slot)
-    n = F.col("n_common")
-    covariance = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    x_part = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    y_part = F.col("syy") - F.col("sy") * F.col("sy") / n
-    varied = (x_part > F.col("sxx") * n * ROUNDING) & (y_part > F.col("syy") * n * ROUNDING)
-    value = F.when(varied, F.round(covariance / F.sqrt(x_part * y_part), params.decimals))
+    sums, grid = common_rating_sums(latest, params.min_common, params.raters_per_slot)
+    n = grid.number(F.col("n_common"))
+    covariance = n * F.col("sxy") - F.col("sx") * F.col("sy")
+    x_part = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    y_part = n * F.col("syy") - F.col("sy") * F.col("sy")
+    # one root of the product: the quotient of proportional parts is one to the last bit
+    root = F.sqrt(x_part.cast("double") * y_part.cast("double"))
+    value = F.when((x_part > 0) & (y_part > 0), covariance.cast("double") / root)
     if compat:
         value = F.coalesce(value, F.lit(float("nan")))
     return _as_pairs(sums, value, string_order=compat)
@@ -251,9 +313,9 @@ def pearson_pairs(
 def cosine_pairs(ratings: DataFrame, params: NeighbourParams = NeighbourParams()) -> DataFrame:
     """Cosine of the two users' ratings over shared items."""
     latest = latest_ratings(ratings)
-    sums = common_rating_sums(latest, params.min_common, params.raters_per_slot, center=False)
-    value = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
-    return _as_pairs(sums, F.round(value, params.decimals))
+    sums, _ = common_rating_sums(latest, params.min_common, params.raters_per_slot, center=False)
+    root = F.sqrt(F.col("sxx").cast("double") * F.col("syy").cast("double"))
+    return _as_pairs(sums, F.try_divide(F.col("sxy").cast("double"), root))
 
 
 def nearest_users(pairs: DataFrame, top_n: int, compat: bool = False) -> DataFrame:

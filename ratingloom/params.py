@@ -11,14 +11,12 @@ from typing import Any
 class NeighbourParams:
     """Similar-user search.
 
-    ``decimals`` is the precision at which similarities are compared;
     ``raters_per_slot`` bounds the raters of one item that meet in one join
     group (items with more are split over several groups, none is dropped).
     """
 
     min_common: int = 5
     top_n: int = 150
-    decimals: int = 6
     raters_per_slot: int = 2048
 
 

@@ -69,9 +69,22 @@ def _pairs(before: str, value: str, min_common: int = _T) -> str:
 
 
 LATEST_COPY = LATEST.replace("r AS (", "latest AS (", 1)
-VARIED = "min(a.rating) < max(a.rating) AND min(b.rating) < max(b.rating)"
-PEARSON = f"CASE WHEN {VARIED} THEN round(corr(a.rating, b.rating), 6) + 0.0 END"
-COSINE = "round(sum(a.rating * b.rating) / (sqrt(sum(a.rating * a.rating)) * sqrt(sum(b.rating * b.rating))), 6)"
+# whole numbers, so that sums don't depend on their order; values have two decimals
+_X, _Y = ("CAST(round({}.rating * 100) AS HUGEINT)".format(side) for side in "ab")
+
+
+def _spread(x: str, y: str) -> str:
+    return f"(count(*) * sum({x} * {y}) - sum({x}) * sum({y}))"
+
+
+def _quotient(above: str, left: str, right: str) -> str:
+    return f"CAST({above} AS DOUBLE) / sqrt(CAST({left} AS DOUBLE) * CAST({right} AS DOUBLE))"
+
+
+VARIED = f"{_spread(_X, _X)} > 0 AND {_spread(_Y, _Y)} > 0"
+PEARSON = f"CASE WHEN {VARIED} THEN {_quotient(_spread(_X, _Y), _spread(_X, _X), _spread(_Y, _Y))} END"
+COSINE = _quotient(f"sum({_X} * {_Y})", f"sum({_X} * {_X})", f"sum({_Y} * {_Y})")
+ROUNDED = "SELECT * REPLACE (round(similarity, 9) + 0.0 AS similarity) FROM "
 BY_NUMBER = 'a."user" < b."user"'
 BY_TEXT = 'CAST(a."user" AS VARCHAR) < CAST(b."user" AS VARCHAR)'
 
@@ -386,13 +399,13 @@ WHERE rank <= {NUM}""",
         POPULAR_LIST,
         select="SELECT * FROM mv",
     ),
-    "pearson_pairs": _sql(EV, LATEST_COPY, _pairs(BY_NUMBER, PEARSON), select="SELECT * FROM pairs"),
-    "cosine_pairs": _sql(EV, LATEST_COPY, _pairs(BY_NUMBER, COSINE), select="SELECT * FROM pairs"),
+    "pearson_pairs": _sql(EV, LATEST_COPY, _pairs(BY_NUMBER, PEARSON), select=ROUNDED + "pairs"),
+    "cosine_pairs": _sql(EV, LATEST_COPY, _pairs(BY_NUMBER, COSINE), select=ROUNDED + "pairs"),
     "nearest_users": _sql(
-        EV, LATEST_COPY, _pairs(BY_NUMBER, PEARSON), SIDES, NEAREST, select="SELECT * FROM nearest"
+        EV, LATEST_COPY, _pairs(BY_NUMBER, PEARSON), SIDES, NEAREST, select=ROUNDED + "nearest"
     ),
     "nearest_users_compat": _sql(
-        EV, LATEST_COPY, _pairs(BY_TEXT, PEARSON), SIDES_COMPAT, NEAREST, select="SELECT * FROM nearest"
+        EV, LATEST_COPY, _pairs(BY_TEXT, PEARSON), SIDES_COMPAT, NEAREST, select=ROUNDED + "nearest"
     ),
     "nearest_users_all_events": _sql(
         EV.replace("WHERE event_type = 'purchase'", ""),
@@ -400,7 +413,7 @@ WHERE rank <= {NUM}""",
         _pairs(BY_NUMBER, PEARSON, NeighbourParams().min_common),
         SIDES,
         _nearest(NeighbourParams().top_n),
-        select="SELECT * FROM nearest",
+        select=ROUNDED + "nearest",
     ),
     "user_likes": _sql(EV, LATEST, MEANS, LIKES, select="SELECT * FROM likes"),
     "user_likes_compat": _sql(EV, ALL_EVENTS, MEANS, LIKES, select='SELECT "user", item, rating FROM likes'),

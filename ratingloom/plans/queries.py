@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.functions.scoring import SCORE_DECIMALS
-from ratingloom.operators import classify, collaborative, evaluation, factorization, popularity, similarity
+from ratingloom.operators import block_search, classify, collaborative, evaluation, factorization, popularity, similarity
 from ratingloom.operators import ratings as rating_ops
 from ratingloom.params import (
     AlgorithmSpec,
@@ -253,23 +253,22 @@ def order_popular_unseen(spark, sf_dir):
 
 @query
 def pearson_pairs(spark, sf_dir):
-    return similarity.pearson_pairs(_ratings(spark, sf_dir), NEIGHBOURS)
+    return _rounded(similarity.pearson_pairs(_ratings(spark, sf_dir), NEIGHBOURS), "similarity")
 
 
 @query
 def cosine_pairs(spark, sf_dir):
-    return similarity.cosine_pairs(_ratings(spark, sf_dir), NEIGHBOURS)
+    return _rounded(similarity.cosine_pairs(_ratings(spark, sf_dir), NEIGHBOURS), "similarity")
 
 
 @query
 def nearest_users(spark, sf_dir):
-    return similarity.nearest_users(pearson_pairs(spark, sf_dir), NEIGHBOURS.top_n)
+    return _rounded(block_search.similar_users(_ratings(spark, sf_dir), NEIGHBOURS), "similarity")
 
 
 @query
 def nearest_users_compat(spark, sf_dir):
-    pairs = similarity.pearson_pairs(_ratings(spark, sf_dir), NEIGHBOURS, compat=True)
-    return similarity.nearest_users(pairs, NEIGHBOURS.top_n, compat=True)
+    return _rounded(block_search.similar_users(_ratings(spark, sf_dir), NEIGHBOURS, compat=True), "similarity")
 
 
 @query
@@ -277,8 +276,9 @@ def nearest_users_all_events(spark, sf_dir):
     """Every event as a rating, default settings: most users share most items."""
     events = _table(spark, sf_dir, "events")
     names = ("view", "signup", "click", "error", "purchase")
-    pairs = similarity.pearson_pairs(scan_ratings(events, names, CLICKSTREAM), NeighbourParams())
-    return similarity.nearest_users(pairs, NeighbourParams().top_n)
+    found = block_search.similar_users(scan_ratings(events, names, CLICKSTREAM), NeighbourParams())
+    return _rounded(found, "similarity")
+
 
 
 @query

@@ -20,13 +20,13 @@ from pyspark.ml.recommendation import ALSModel as SparkALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratingloom.operators.block_search import similar_users
 from ratingloom.operators.classify import classify, fit_forest, fit_naive_bayes
 from ratingloom.operators.collaborative import cf_candidates, ranked_shares
 from ratingloom.operators.factorization import Factorization, als_recommend, fit_als
 from ratingloom.operators.popularity import item_views_top, popular_unseen
 from ratingloom.operators.ratings import TrainingData, labeled_ratings, require_ratings, user_likes
 from ratingloom.operators.requests import Requests, asked_rows, requests_of
-from ratingloom.operators.similarity import nearest_users, pearson_pairs
 from ratingloom.params import ALSParams, NeighbourParams, PopularityParams
 from ratingloom.session import write_shared
 
@@ -127,9 +127,8 @@ class Neighbourhood:
         cls, ratings: DataFrame | TrainingData, params: NeighbourParams, compat: bool = False
     ) -> Neighbourhood:
         data = _training_data(ratings)
-        pairs = pearson_pairs(data.latest, params, compat, latest_only=True)
         return cls(
-            write_shared(nearest_users(pairs, params.top_n, compat), "neighbours"),
+            write_shared(similar_users(data.latest, params, compat, latest_only=True), "neighbours"),
             write_shared(user_likes(data.rated(compat), params.top_n), "likes"),
             data.latest.select("user", "item"),
         )

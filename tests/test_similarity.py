@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.operators import similarity
+from ratingloom.operators import block_search, similarity
 from ratingloom.operators.ratings import latest_ratings
 from ratingloom.params import NeighbourParams
 
@@ -51,6 +51,11 @@ def skewed_rows(seed, users=40, items=25):
     return rows
 
 
+def on_grid(ratings, min_common):
+    comparable = similarity._comparable_ratings(latest_ratings(ratings), min_common)
+    return similarity._on_grid(comparable, similarity.rating_grid(comparable, True), True)
+
+
 def check(found, expected):
     found = {(r.user_a, r.user_b): (r.n_common, r.similarity) for r in found.collect()}
     assert set(found) == set(expected)
@@ -59,7 +64,7 @@ def check(found, expected):
         if value is None:
             assert found[pair][1] is None
         else:
-            assert found[pair][1] == pytest.approx(value, abs=2e-6)
+            assert found[pair][1] == pytest.approx(value, abs=1e-12)
 
 
 @pytest.mark.parametrize("min_common", [1, 2, 3, 5])
@@ -86,7 +91,7 @@ def test_raters_sharing_only_hot_items_never_meet(spark, make_ratings):
     """300 users share two hot items; each also has one item of its own."""
     rows = [(u, i, (u + i) % 5) for u in range(300) for i in (0, 1, 2 + u)]
     ratings = make_ratings(rows)
-    comparable = similarity._comparable_ratings(latest_ratings(ratings), 3, True)
+    comparable = on_grid(ratings, 3)
     placed = similarity._placed_ratings(comparable, similarity._tails(comparable, 2), 64)
     assert similarity._meetings(placed, 4).isEmpty()
     assert similarity.pearson_pairs(ratings, NeighbourParams(min_common=3)).isEmpty()
@@ -95,7 +100,7 @@ def test_raters_sharing_only_hot_items_never_meet(spark, make_ratings):
 def test_join_groups_are_bounded(make_ratings):
     """A hot item is spread over groups of at most two slots of raters."""
     rows = [(u, i, 1 + (u * i) % 5) for u in range(400) for i in (0, 1, 2)]
-    comparable = similarity._comparable_ratings(latest_ratings(make_ratings(rows)), 1, True)
+    comparable = on_grid(make_ratings(rows), 1)
     placed = similarity._placed_ratings(comparable, None, 50)
     largest = placed.groupBy("item", "in_tail", "slot").count().agg(F.max("count")).first()[0]
     assert placed.agg(F.max("body_slots")).first()[0] == 8
@@ -113,11 +118,117 @@ def test_nearest_users_uses_both_directions(make_ratings):
     pairs = similarity.pearson_pairs(make_ratings(rows), NeighbourParams(min_common=3))
     sides = {}
     for (a, b), (_, value) in brute_force(rows, 3, pearson).items():
-        if value is not None and round(value, 6) > 0:
-            sides.setdefault(a, []).append((-round(value, 6), b))
-            sides.setdefault(b, []).append((-round(value, 6), a))
+        if value is not None and round(value, 12) > 0:
+            sides.setdefault(a, []).append((-round(value, 12), b))
+            sides.setdefault(b, []).append((-round(value, 12), a))
     found = {}
     for r in similarity.nearest_users(pairs, 4).collect():
         found.setdefault(r.user, {})[r.rank] = r.neighbour
     expected = {u: {k + 1: b for k, (_, b) in enumerate(sorted(v)[:4])} for u, v in sides.items()}
     assert found == expected
+
+
+def test_neighbours_that_differ_in_the_ninth_digit(make_ratings):
+    """User 3 is a little nearer to user 1 than user 2 is, though user 2 comes first by id."""
+    mine = [1.0, 2.0, 3.0, 4.0, 5.0]
+    rows = [(1, i, r) for i, r in enumerate(mine)]
+    rows += [(2, i, r) for i, r in enumerate([1.0, 2.0, 3.0, 4.0, 5.0002])]
+    rows += [(3, i, r) for i, r in enumerate([1.0, 2.0, 3.0, 4.0, 5.00019])]
+    pairs = similarity.pearson_pairs(make_ratings(rows), NeighbourParams(min_common=5))
+    value = {(r.user_a, r.user_b): r.similarity for r in pairs.collect()}
+    assert 0 < value[(1, 3)] - value[(1, 2)] < 1e-9
+    first = similarity.nearest_users(pairs, 1).filter("user = 1").first()
+    assert (first.neighbour, first.similarity) == (3, value[(1, 3)])
+
+
+def test_small_positive_similarities_stay(make_ratings):
+    """A similarity of some 1e-7 is positive; one of zero is not."""
+    rows = [(1, i, r) for i, r in enumerate([0, 1000, 0, 1000, 0.0004])]
+    rows += [(2, i, r) for i, r in enumerate([0, 0, 1000, 1000, 1000])]
+    rows += [(3, i, r) for i, r in enumerate([0, 0, 1, 1])] + [(4, i, r) for i, r in enumerate([0, 1, 0, 1])]
+    pairs = similarity.pearson_pairs(make_ratings(rows), NeighbourParams(min_common=4))
+    value = {(r.user_a, r.user_b): r.similarity for r in pairs.collect()}
+    expected = {p: v for p, (_, v) in brute_force(rows, 4, pearson).items()}
+    assert value[(3, 4)] == 0.0 and value[(1, 2)] == pytest.approx(expected[(1, 2)], abs=1e-12)
+    kept = {(r.user, r.neighbour) for r in similarity.nearest_users(pairs, 5).collect()}
+    assert kept == {way for (a, b), v in value.items() if v and v > 0 for way in ((a, b), (b, a))}
+
+
+def test_grids(make_ratings):
+    """Decimal ratings are exact; others keep 30 bits; sums that may outgrow a long are decimals."""
+
+    def grid(values, center=True):
+        rows = [(u, i, v) for u in (1, 2) for i, v in enumerate(values)]
+        return similarity.rating_grid(similarity._comparable_ratings(latest_ratings(make_ratings(rows)), 1), center)
+
+    assert grid([1, 2, 5]) == similarity.Grid(1.0, True, False)
+    assert grid([1.15, 2.5, 0.01]) == similarity.Grid(100.0, True, False)
+    assert not grid([1 / 3, 2 / 7, 5]).exact and grid([1 / 3, 2 / 7, 5]).scale == 2.0**27
+    assert grid([1e6, 1e6 + 0.5, 1e6 + 1]).scale == 10.0
+    assert grid([9e8, 1, 2]).wide and not grid([9e8, 9e8 + 1]).wide
+
+
+@pytest.mark.parametrize("scale", [1 / 3, 3e8, 1e-9, 12345.678901])
+def test_any_ratings(make_ratings, scale):
+    """Ratings that no grid holds, very large and very small ones: sums are decimals or keep 30 bits."""
+    rows = [(u, i, r * scale) for u, i, r in skewed_rows(5)]
+    found = similarity.pearson_pairs(make_ratings(rows), NeighbourParams(min_common=3, raters_per_slot=7)).collect()
+    expected = brute_force(skewed_rows(5), 3, pearson)
+    assert {(r.user_a, r.user_b) for r in found} == set(expected)
+    for r in found:
+        n, value = expected[(r.user_a, r.user_b)]
+        assert r.n_common == n and (r.similarity is None) == (value is None)
+        assert value is None or r.similarity == pytest.approx(value, abs=1e-6)
+
+
+def test_order_of_the_parts_does_not_matter(make_ratings):
+    rows = skewed_rows(13)
+    ratings = make_ratings([(u, i, r * 1.1) for u, i, r in rows])
+    once, again = (
+        sorted(map(tuple, similarity.pearson_pairs(ratings.repartition(n), NeighbourParams(min_common=2)).collect()))
+        for n in (1, 7)
+    )
+    assert once == again
+
+
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("ids", ["bigint", "string"])
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_blocks_give_the_neighbours_of_the_pairs(make_ratings, blocks, ids, compat):
+    """To the last bit, with ties, hot items and items of few raters."""
+    rows = skewed_rows(17, users=70)
+    params = NeighbourParams(min_common=3, top_n=4)
+    ratings = latest_ratings(make_ratings(rows, ids))
+    pairs = similarity.pearson_pairs(ratings, params, compat, latest_only=True)
+    expected = sorted(map(tuple, similarity.nearest_users(pairs, 4, compat).collect()))
+    found = block_search.block_neighbours(on_grid(ratings, 3), blocks, params, compat)
+    assert len(expected) > 50 and sorted(map(tuple, found.collect())) == expected
+
+
+def test_few_raters_and_many_give_the_same_sums():
+    """Products of arrays and pair by pair, against plain loops."""
+    rng = random.Random(2)
+    rated = {(u, i): rng.randint(-9, 9) for u in range(60) for i in range(30) if rng.random() < (0.9 if i < 3 else 0.08)}
+    user, item = (block_search.np.array(c) for c in zip(*rated))
+    x = block_search.np.array(list(rated.values()), float)
+    late = user >= 25
+    sides = [block_search.np.arange(25), block_search.np.arange(25, 60)]
+    sums = block_search._pair_sums(user, item, x, [~late, late], sides, 30)
+    for a in range(25):
+        for b in range(25, 60):
+            met = [(rated[a, i], rated[b, i]) for i in range(30) if (a, i) in rated and (b, i) in rated]
+            plain = [len(met), *(sum(p**j * q**k for p, q in met) for j, k in ((1, 0), (0, 1), (2, 0), (0, 2), (1, 1)))]
+            assert [s[a, b - 25] for s in sums] == plain
+
+
+def test_two_ways_of_similar_users(make_ratings, monkeypatch):
+    """Blocks where they are few and small, else pairs; no pair is shuffled by the first."""
+    ratings, params = make_ratings(skewed_rows(19)), NeighbourParams(min_common=2, top_n=5)
+    by_blocks = block_search.similar_users(ratings, params)
+    assert "FlatMapGroupsInArrow" in by_blocks._jdf.queryExecution().toString()
+    monkeypatch.setattr(block_search, "MAX_BLOCKS", 0)
+    by_pairs = block_search.similar_users(ratings, params)
+    assert "FlatMapGroupsInArrow" not in by_pairs._jdf.queryExecution().toString()
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, by_pairs.collect()))
+    empty = block_search.similar_users(ratings.limit(0), params)
+    assert empty.isEmpty()
