@@ -17,9 +17,7 @@ open node per step: all segmentations that turn off there.
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,8 +35,6 @@ from ratingloom.llm.common import slices
 
 #: A space in pieces; one stands before every text.
 SPACE = "▁"
-#: Pieces are runs of spaces, or hold no space after their first character; none holds a line break.
-_UNIT = re.compile(SPACE + r"*[^" + SPACE + r"\n]+|" + SPACE + r"+|\n")
 
 
 @dataclass(frozen=True)
@@ -154,12 +151,12 @@ class Lattice:
     spelled in bytes.
     """
 
-    def __init__(self, units: list[str], vocab: Vocabulary):
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, vocab: Vocabulary):
         n, end = len(codes), np.cumsum(lengths)
         left = np.repeat(end, lengths) - np.arange(n)
-        order = np.argsort(left, kind="stable")
+        # numbers of 16 bits are sorted by radix
+        short = n and left.max() < 1 << 16
+        order = np.argsort(left.astype(np.uint16) if short else left, kind="stable")
         number = np.empty(n + 1, np.int64)
         number[order] = np.arange(n)
         number[n] = -1
@@ -367,6 +364,33 @@ def piece_ids(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.concatenate(out)
 
 
+def cut_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points and lengths of the distinct units of ``texts``; units in order by number; where each text's begin.
+
+    Pieces are runs of spaces, or hold no space after their first character, and none holds a line
+    break. So a unit is a run of spaces with the characters that follow, or one line break. A text
+    starts with a space of its own; an empty one has no units.
+    """
+    raw = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    joined = b"".join(raw)
+    data = np.frombuffer(joined, np.uint8)
+    space, line = data == 0x20, data == 0x0A
+    begins = line.copy()
+    begins[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    sizes = np.diff(ends, prepend=0)
+    begins[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(begins)
+    offsets = pa.py_buffer(np.append(at, len(data)).astype(np.int64))
+    cut = pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(joined)).dictionary_encode()
+    lengths = pc.utf8_length(cut.dictionary).to_numpy().astype(np.int64)
+    n_bytes = pc.sum(pc.binary_length(cut.dictionary)).as_py() or 0
+    spelled = cut.dictionary.buffers()[2].to_pybytes()[:n_bytes] if n_bytes else b""
+    codes = np.frombuffer(spelled.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes[codes == 0x20] = ord(SPACE)
+    return codes, lengths, cut.indices.to_numpy().astype(np.int64), np.searchsorted(at, np.insert(ends, 0, 0))
+
+
 def sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) -> Iterator[tuple[int, int, dict]]:
     """(text number, rank, facts) of the segmentations drawn for each text."""
     # counters run over, and a node without alternatives has log probability -inf
@@ -377,20 +401,11 @@ def sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) ->
 def _sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) -> Iterator[tuple[int, int, dict]]:
     vocab = vocabulary(params)
     for a, b in slices(texts, params.chunk):
-        numbers: defaultdict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        units, bounds = [], [0]
-        for text in texts[a:b]:
-            if text:
-                found = _UNIT.findall(SPACE + text.replace(" ", SPACE))
-                units += map(numbers.__getitem__, found)
-            bounds.append(len(units))
-        lattice = Lattice(list(numbers), vocab) if numbers else None
-        ids = np.fromiter(units, np.int64, len(units))
-        bounds = np.array(bounds)
+        codes, lengths, ids, bounds = cut_units(texts[a:b])
+        lattice = Lattice(codes, lengths, vocab) if len(lengths) else None
         inner = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
         own = np.repeat(seeds[a:b], np.diff(bounds)) + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        walks = [lattice.walk(ids, _mix(own + np.uint64(977 * s + 13))) for s in range(params.k)] if numbers else []
+        walks = [lattice.walk(ids, _mix(own + np.uint64(977 * s + 13))) for s in range(params.k)] if lattice else []
         for i in range(b - a):
             if not texts[a + i]:
                 yield a + i, 0, {"ids": np.zeros(0, np.int32), "log_p": 0.0, "gumbel": 0.0, "log_inclusion": 0.0}

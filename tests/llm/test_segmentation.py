@@ -1,5 +1,6 @@
 import dataclasses
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -77,16 +78,16 @@ def test_runs_of_spaces_are_in_the_lattice():
     """The model's own encoding of a text is a path of the lattice, and probabilities are those over all segmentations."""
     vocab = G.vocabulary(PARAMS)
     for text in ("a    b", "a   \n b", "    x", "a  ", " " * 40 + "q", "if x:\n        return  1\n\n   y"):
-        units = G._UNIT.findall(G.SPACE + text.replace(" ", G.SPACE))
-        lattice = G.Lattice(units, vocab)
+        codes, lengths, units, _ = G.cut_units([text])
+        lattice = G.Lattice(codes, lengths, vocab)
         # pieces along the units; a line break is one edge that stands for its byte piece
-        unit, at = 0, int(lattice.start[0])
+        unit, at = 0, int(lattice.start[units[0]])
         for i in vocab.model.encode(text):
             ids = {int(G.piece_ids(lattice.piece[e : e + 1], vocab)[0]): e for e in range(lattice.first[at], lattice.first[at + 1])}
             assert i in ids, (text, vocab.model.id_to_piece(i))
             at = int(lattice.target[ids[i]])
             if at == -1 and (unit := unit + 1) < len(units):
-                at = int(lattice.start[unit])
+                at = int(lattice.start[units[unit]])
         assert unit == len(units), text
     text = "a    b"
     p = all_segmentations(text)
@@ -96,6 +97,19 @@ def test_runs_of_spaces_are_in_the_lattice():
         assert math.exp(f["log_p"]) == pytest.approx(p[cut])
 
 
+def test_units_are_those_of_the_pattern():
+    pattern = re.compile("▁*[^▁\\n]+|▁+|\\n")
+    texts = ["a  b", "", " ", "\n", "a\n\n b \n", "▁x ▁", "日本 ≠\t🙂\n\n", "a  ", "  a", "a b a b", "", "\r\n \r"]
+    for some in (texts, [""], [], ["", ""], ["z"]):
+        codes, lengths, numbers, bounds = G.cut_units(some)
+        ends = np.cumsum(lengths)
+        units = ["".join(map(chr, codes[e - n : e])) for n, e in zip(lengths, ends)]
+        assert len(set(units)) == len(units) and len(bounds) == len(some) + 1
+        for text, a, b in zip(some, bounds, bounds[1:]):
+            want = pattern.findall("▁" + text.replace(" ", "▁")) if text else []
+            assert [units[i] for i in numbers[a:b]] == want, text
+
+
 def test_query_decodes(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = QUERIES["op1_sentencepiece_decode"](spark, DATA).collect()
