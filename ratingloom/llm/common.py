@@ -27,6 +27,12 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def set_apart(df: DataFrame, read: Iterable[str]) -> DataFrame:
+    """``df`` with every column that is not in ``read`` renamed by its place, so that it cannot clash with an operator's own."""
+    own = set(read)
+    return df.toDF(*(c if c in own else f"given column {i}" for i, c in enumerate(df.columns)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -206,9 +206,12 @@ def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = (
     A null text, or one without a letter, is ``und`` with score 0, flagged
     ambiguous. Whole texts count. Equal scores go to the language that sorts
     first; a repeated row is answered each time; other columns are not read.
+    A column to carry that is named like a result gives way to it.
     """
+    results = ("lang_pred", "score", "ambiguous")
+    columns = tuple(c for c in columns if c not in results)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*columns, "lang_pred", "score", "ambiguous"]
+    names = [*columns, *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +221,8 @@ def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = (
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
     schema = ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(F.col("text").alias("_text"), *columns).mapInArrow(run, schema)
+    carried = (F.col(f"`{c}`") for c in columns)
+    return docs.select(F.col("text").alias("text to read"), *carried).mapInArrow(run, schema)
 
 
 def in_training(docs: DataFrame) -> DataFrame:

@@ -163,9 +163,15 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...]
     counted; it is ``cap`` times ``size`` at most, and the words taken from a
     source add up to its target, rounded. A document without words gives none.
     A null source is a source of its own. Documents of equal hash, such as
-    repeated rows, are taken in order of doc_id, then size, then the kept columns, then row.
+    repeated rows, are taken in order of doc_id, then size, then the kept columns, then row. A column to
+    keep that is named like a result gives way to it.
     """
-    sized = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *keep)
+    results = ("doc_id", "size", "source_size", "target", "taken")
+    given = [c for c in keep if c not in results]
+    # under names that no step uses
+    keep = tuple(f"given column {i}" for i in range(len(given)))
+    kept = (F.col(f"`{c}`").alias(k) for c, k in zip(given, keep))
+    sized = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *kept)
     key = F.to_json(F.struct("source"))
     targets = write_shared(source_targets(sized, params), "targets")
     dual = solve(sized, targets, params)
@@ -186,7 +192,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...]
         F.coalesce(late, F.lit(float("inf"))).alias("late"), *keep,
     )
     rated = write_shared(rated, "rated")
-    return _rounded(rated, keep)
+    return _rounded(rated, keep).toDF(*results, *given)
 
 
 def _rounded(rated: DataFrame, keep: tuple[str, ...] = (), bins: int = 1024) -> DataFrame:
@@ -243,5 +249,6 @@ def _rounded(rated: DataFrame, keep: tuple[str, ...] = (), bins: int = 1024) ->
 
 def mix_documents(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, source, text) mixed by their numbers of words."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *keep)
+    keep = tuple(c for c in keep if c not in ("doc_id", "source", "size"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *(F.col(f"`{c}`") for c in keep))
     return mix(write_shared(sized, "sized"), params, keep)

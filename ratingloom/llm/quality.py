@@ -285,7 +285,7 @@ def rate(docs: DataFrame, labels: DataFrame, params: CoveringParams = CoveringPa
 
     A null or empty text has no words and fails the base rules. Repeated rows
     are judged alike. The table with the statistics is written once and read
-    for learning and for judging.
+    for learning and for judging. Columns of ``docs`` named ``s`` or ``kept`` give way to the results.
     """
     rated = write_shared(docs.withColumn("s", statistics(F.col("text"))), "quality")
     kept, rules = judge(rated.select("doc_id", "s"), labels, params)

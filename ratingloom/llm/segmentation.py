@@ -481,8 +481,10 @@ def _rows(batch: pa.RecordBatch, at: list, facts: list) -> pa.RecordBatch:
 def decode(rows: DataFrame, params: SegmentParams = SegmentParams()) -> DataFrame:
     """``rows`` with ``ids`` (piece ids) gain ``decoded``, the text; null ids give null.
 
-    The text is the one that was encoded, but that U+2581 comes back as a space.
+    The text is the one that was encoded, but that U+2581 comes back as a space. A column that is
+    called ``decoded`` already gives way to it.
     """
+    rows = rows.drop("decoded")
     names = [*rows.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,15 @@
 """Every stage of the pipeline against a plain version of it, on the stage's own input."""
 
 import re
+from collections import Counter
 
+from pyspark.sql import functions as F
 from test_mixing import plain_targets
 from test_quality import plain
 from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline
-from ratingloom.llm import segmentation
+from ratingloom.llm import language_id, mixing, quality, segmentation
 from ratingloom.session import write_shared
 
 DATA = "/root/testdata/sf0.001"
@@ -96,3 +98,42 @@ def test_one_row_of_near_duplicates_stays(spark):
     docs = spark.createDataFrame([(i, texts[k], k) for i, k in rows], "doc_id long, text string, source string")
     found = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()
     assert sorted((r["source"], r["doc_id"]) for r in found) == [("a", 1), ("b", 2), ("c", 3), ("d", None)]
+
+
+# names that operators and stages use inside or give to their results
+INNER = """s kept _row _copy _copies lang_pred score ambiguous rank taken size source_size target key salt late whole bin part
+fp root component_id fingerprint given first bad pruning decoded ids rows row begin need n a.b""".split()
+
+
+def test_columns_with_clashing_names(spark):
+    """Extra columns come through every stage unchanged, and change nothing, whatever they are called."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = [*INNER, "given column 5"]
+    more = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs, DATA)
+        found = stage(spark, more, DATA)
+        if name == "sentencepiece":
+            assert found.columns == plain.columns and found.exceptAll(plain).count() == 0
+            continue
+        assert found.columns == more.columns
+        rows = [tuple(r) for r in found.collect()]
+        width = len(docs.columns)
+        assert Counter(r[:width] for r in rows) == Counter(tuple(r) for r in plain.collect()), name
+        assert all(r[width:] == tuple(f"{n}:{r[0]}" for n in names) for r in rows), name
+
+
+def test_operators_with_clashing_names(spark):
+    """Columns to carry that are named like a result give way to it; others keep their values."""
+    docs = spark.createDataFrame([(1, "some plain words", "en", "x"), (2, None, None, "y")], "doc_id long, text string, lang string, source string")
+    more = docs.withColumns({n: F.lit(n) for n in ("score", "salt", "late", "key", "taken", "size", "decoded", "s", "kept")})
+    found = language_id.language_of_documents(more, columns=("doc_id", "score", "salt")).collect()
+    assert [(r["doc_id"], r["salt"], isinstance(r["score"], float)) for r in found] == [(1, "salt", True), (2, "salt", True)]
+    found = mixing.mix_documents(more, keep=("salt", "late", "key", "taken", "size")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["size"], r["salt"], r["late"], r["key"]) for r in found] == [(1, 3, *("salt", "late", "key")), (2, 0, "salt", "late", "key")]
+    assert all(isinstance(r["taken"], int) for r in found)
+    rated, _ = quality.rate(more, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [(r["salt"], r["s"]["n_words"], r["kept"]) for r in rated.orderBy("doc_id").collect()] == [("salt", 3, False), ("salt", 0, False)]
+    ids = segmentation.sample_segmentations(docs).withColumn("decoded", F.lit("old"))
+    back = {r["doc_id"]: r["decoded"] for r in segmentation.decode(ids).collect()}
+    assert back == {1: "some plain words", 2: ""}
