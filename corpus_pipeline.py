@@ -1,37 +1,54 @@
 """The corpus pipeline: stages that filter, dedupe, mix and tokenise ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again before the next stage.
+written as Parquet and read again before the next stage. Stages read doc_id,
+text, lang and source only; other columns, whatever their names, come through
+as they are (the last stage leaves them out). An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.llm import language_id, mixing, quality, segmentation, simhash
-from ratingloom.llm.common import table
+from ratingloom.llm.common import set_apart, table
 from ratingloom.session import use_adaptive_plans, write_shared
 
 
+READ = ("doc_id", "text", "lang", "source")
+
+
 def _with_row_keys(docs: DataFrame) -> DataFrame:
     """``docs`` with a number ``_row`` of its own for every row, in a written table so that it stays."""
     return write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+def _named(rows: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in rows.columns]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language (without a letter) and those whose language stays ambiguous."""
+    """Drop documents of no language (without a letter) and those whose language stays ambiguous.
+
+    A null or empty text has no language. Repeated rows are judged alike.
+    """
     use_adaptive_plans(spark)
-    found = language_id.language_of_documents(docs, columns=tuple(docs.columns))
+    rows = set_apart(docs, READ)
+    found = language_id.language_of_documents(rows, columns=tuple(rows.columns))
     known = (F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")
-    return found.where(known).select(*docs.columns)
+    return found.where(known).select(*_named(rows)).toDF(*docs.columns)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or meet a rule learned from ``labels``."""
+    """Drop documents that fail the base rules or meet a rule learned from ``labels``.
+
+    A null or empty text fails them. Repeated rows are judged alike.
+    """
     use_adaptive_plans(spark)
-    rated, _ = quality.rate(docs, table(spark, sf_dir, "labels"))
-    return rated.where("kept").select(*docs.columns)
+    rows = set_apart(docs, READ)
+    rated, _ = quality.rate(rows, table(spark, sf_dir, "labels"))
+    return rated.where("kept").select(*_named(rows)).toDF(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +59,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     its id with a copy.
     """
     use_adaptive_plans(spark)
-    rows = _with_row_keys(docs)
-    return rows.join(simhash.first_rows(rows, "_row"), "_row", "left_semi").select(*docs.columns)
+    plain = set_apart(docs, READ)
+    rows = _with_row_keys(plain)
+    kept = rows.join(simhash.first_rows(rows, "_row"), "_row", "left_semi")
+    return kept.select(*_named(plain)).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,15 +75,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     where doc_ids are null or repeated. Documents without words are dropped.
     """
     use_adaptive_plans(spark)
-    rows = _with_row_keys(docs)
+    plain = set_apart(docs, READ)
+    rows = _with_row_keys(plain)
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     mixed = mixing.mix_documents(rows, keep=("_row",)).where("taken > 0").select("_row", copies.alias("_copies"))
     joined = rows.join(mixed.where("_copies > 0"), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*_named(plain)).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled SentencePiece segmentations of every document."""
+    """Sampled SentencePiece segmentations of every document.
+
+    A null or empty text has one, without pieces; repeated rows get the same ones. Other columns are
+    left out.
+    """
     use_adaptive_plans(spark)
     return segmentation.sample_segmentations(docs)
 
