@@ -218,20 +218,29 @@ served AS (
 BLENDED = _blended(NUM)
 
 
-def _fold_hits(max_items: int, suffix: str = "") -> str:
-    """Popularity trained without and judged on each fold."""
+def _fold_hits(max_items: int, suffix: str = "", compat: bool = False, passes: int = 12) -> str:
+    """Popularity trained without and judged on each fold; in ``compat`` pruned per fold, with seen items."""
     s = suffix
+    prune, source, listed = "", f"fview{s}", "NOT EXISTS"
+    if compat:
+        steps = [f"fp0 AS (SELECT * FROM fview{s})"]
+        for i in range(passes):
+            steps.append(
+                f"fp{i + 1} AS (SELECT p.* FROM fp{i} p JOIN (SELECT fold, count(*) AS n, avg(views) AS mean FROM fp{i} "
+                f"GROUP BY fold) s USING (fold) WHERE s.n <= {2 * max_items} OR p.views > s.mean)"
+            )
+        prune, source, listed = ",\n".join(steps) + ",\n", f"fp{passes}", "true OR EXISTS"
     return f"""fview{s} AS (
   SELECT f.fold, e.item, count(*) AS views FROM ev e JOIN folds f ON e.event_id % {_K} <> f.fold GROUP BY ALL),
-ftop{s} AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY views DESC, item) AS rank FROM fview{s})
+{prune}ftop{s} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY views DESC, item) AS rank FROM {source})
   WHERE rank <= {max_items}),
 frec{s} AS (
   SELECT * FROM (
     SELECT q.fold, q."user", t.item,
            row_number() OVER (PARTITION BY q.fold, q."user" ORDER BY t.rank) AS place
     FROM fquery q JOIN ftop{s} t ON t.fold = q.fold
-    WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e."user" = q."user" AND e.item = t.item
+    WHERE {listed} (SELECT 1 FROM ev e WHERE e."user" = q."user" AND e.item = t.item
                       AND e.event_id % {_K} <> q.fold)) WHERE place <= {NUM}),
 hits{s} AS (
   SELECT q.fold, q."user", q.n_actual, count(r.item) AS n_recommended, count(a.item) AS hits
@@ -479,6 +488,17 @@ FROM (SELECT 'user' AS side, "user" AS id FROM ev UNION ALL SELECT 'item', item
         select=f"""SELECT "user", least({NUM}, (SELECT count(DISTINCT item) FROM ev)) AS n, true AS ranks_ok,
        true AS order_ok, true AS products_ok, true AS shares_ok FROM ev GROUP BY "user\"""",
     ),
+    "als_batch_check": _sql(
+        EV,
+        select=f"""SELECT a."user", a.num, least(a.num, k.n) AS n, least(a.num, k.n) AS n_items, CAST(0 AS BIGINT) AS n_different
+FROM (SELECT "user", unnest([{", ".join(map(str, MIXED_NUMS))}]) AS num
+      FROM (SELECT user_id AS "user" FROM events UNION SELECT c_custkey FROM customer)) a
+JOIN (SELECT DISTINCT "user", (SELECT count(DISTINCT item) FROM ev) AS n FROM ev) k ON k."user" = a."user"
+UNION ALL
+SELECT "user", unnest([{", ".join(map(str, MIXED_NUMS))}]), 0, 0, 0
+FROM (SELECT user_id AS "user" FROM events UNION SELECT c_custkey FROM customer)
+WHERE "user" NOT IN (SELECT "user" FROM ev)""",
+    ),
     "rf_lists_check": 'SELECT DISTINCT user_id AS "user", CAST(0 AS BIGINT) AS outside, true AS total_ok FROM events',
     "rf_classify_check": _sql(
         EV, LATEST, MEANS, LABELED, select="SELECT label, count(*) AS n, true AS valid FROM labeled GROUP BY label"
@@ -506,6 +526,17 @@ UNION ALL SELECT 3, 'mv', unnest(['top', 'seen', 'max_items']), unnest([t, s, '{
         select=f"""SELECT CAST(event_id % {_K} AS INTEGER) AS fold, "user", count(*) AS n_ratings,
        count(DISTINCT item) AS n_items, round(sum(rating), 6) AS sum_rating, {NUM} AS num
 FROM ev GROUP BY event_id % {_K}, "user\"""",
+    ),
+    "eval_ground_truth_lists": _sql(
+        EV,
+        f"""sized AS (
+  SELECT *, CAST(event_id % {_K} AS INTEGER) AS fold,
+         CAST(ceil(count(*) OVER (PARTITION BY "user", event_id % {_K}) / 4) AS BIGINT) AS parts FROM ev)""",
+        """dealt AS (
+  SELECT *, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % parts AS INTEGER) AS part FROM sized)""",
+        select=f"""SELECT fold, "user", {NUM} AS num, part,
+       string_agg(event_id || ':' || item || ':' || CAST(CAST(round(rating, 6) AS DECIMAL(20,6)) AS VARCHAR), ',' ORDER BY event_id) AS ratings
+FROM dealt GROUP BY fold, "user", part""",
     ),
     "precision_at_k": _sql(
         EV,
@@ -527,6 +558,16 @@ FROM ev GROUP BY event_id % {_K}, "user\"""",
         f"""rows AS (
   SELECT fold, count(*) AS n_queries,
          CASE WHEN bool_or(n_recommended = 0) THEN 'NaN'::DOUBLE ELSE round({_PRECISION}, 9) END AS precision
+  FROM hits GROUP BY fold)""",
+        select=_labelled("rows", "precision"),
+    ),
+    "precision_at_k_compat_lists": _sql(
+        EV,
+        FOLD_BASE,
+        _fold_hits(POPULAR.max_items, compat=True),
+        f"""rows AS (
+  SELECT fold, count(*) AS n_queries, round({_RECALL}, 9) AS recall,
+         CASE WHEN bool_or(n_recommended = 0) THEN 'NaN'::DOUBLE ELSE round({_PRECISION}, 9) END AS precision
   FROM hits GROUP BY fold)""",
         select=_labelled("rows", "precision"),
     ),

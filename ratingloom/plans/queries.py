@@ -522,6 +522,30 @@ def als_lists_check(spark, sf_dir):
     )
 
 
+@query
+def als_batch_check(spark, sf_dir):
+    """Batch lists of customers and users of any event, unknown ones included, each asking twice.
+
+    Per query: length of the list, distinct items in it, and places that differ from the ranked rows.
+    """
+    fitted = _factorized(spark, sf_dir)
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"))
+    asked = _asked(spark, sf_dir).select("user").union(customers).distinct()
+    asked = asked.withColumn("num", F.explode(F.array(*(F.lit(n) for n in MIXED_NUMS))))
+    lists = factorization.als_batch_predict(fitted, asked)
+    placed = lists.select("user", "num", F.posexplode_outer("item_scores").alias("place", "entry"))
+    placed = placed.select("user", "num", (F.col("place") + 1).alias("rank"), "entry.item", "entry.score")
+    rows = factorization.als_recommend(fitted, asked, normalize=False)
+    rows = rows.select("user", "num", "rank", F.col("item").alias("row_item"), F.col("score").alias("row_score"))
+    both = placed.join(rows, ["user", "num", "rank"], "full")
+    same = F.col("item").eqNullSafe(F.col("row_item")) & F.col("score").eqNullSafe(F.col("row_score"))
+    return both.groupBy("user", "num").agg(
+        F.count("item").alias("n"),
+        F.count_distinct("item").alias("n_items"),
+        F.count(F.when(~same, 1)).alias("n_different"),
+    )
+
+
 @query
 def rf_lists_check(spark, sf_dir):
     """Per asked user: forest recommendations that are no candidates, or not predicted as liked; and whether shares add up."""
@@ -600,6 +624,15 @@ def eval_ground_truth(spark, sf_dir):
     return evaluation.eval_ground_truth(evaluation.with_folds(_ratings(spark, sf_dir), FOLDS.k_fold), FOLDS.query_num)
 
 
+@query
+def eval_ground_truth_lists(spark, sf_dir):
+    """Every query with its held-out ratings as text, in parts of about four so that parts occur."""
+    folded = evaluation.with_folds(_ratings(spark, sf_dir), FOLDS.k_fold)
+    lists = evaluation.held_out_lists(folded, FOLDS.query_num, part_size=4)
+    rating = lambda r: F.concat_ws(":", r["event_id"].cast("string"), r["item"].cast("string"), F.round(r["rating"], 6).cast("decimal(20,6)").cast("string"))
+    return lists.withColumn("ratings", F.concat_ws(",", F.transform("ratings", rating)))
+
+
 def _popular_hits(spark, sf_dir, max_items):
     algorithms = (AlgorithmSpec("mv", PopularityParams(max_items)),)
     return cross_validate(_ratings(spark, sf_dir), algorithms, FOLDS)
@@ -624,6 +657,15 @@ def precision_at_k_compat(spark, sf_dir):
     return _labelled_numbers(rows.select("fold", "n_queries", "precision"), "precision")
 
 
+@query
+def precision_at_k_compat_lists(spark, sf_dir):
+    """Lists and precision both of the compat mode: pruned per fold, seen items kept."""
+    algorithms = (AlgorithmSpec("mv", PopularityParams(POPULAR.max_items)),)
+    hits = cross_validate(_ratings(spark, sf_dir), algorithms, FOLDS, compat=True)
+    rows = evaluation.precision_recall(hits, compat=True)
+    return _labelled_numbers(rows.select("fold", "n_queries", "precision", "recall"), "precision")
+
+
 @query
 def precision_unscored(spark, sf_dir):
     """The same by default: such users stay out of the mean."""
