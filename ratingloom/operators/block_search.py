@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ratingloom.functions import hash_slot, id_order, top_k
@@ -43,6 +43,11 @@ RATINGS_PER_BLOCK = 2_000_000
 CHUNK = 256
 #: Sums in doubles are exact below this.
 EXACT = 2.0**52
+#: Powers of x and y in the six sums of a pair.
+POWERS = ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))
+
+#: Users, items, values and weights of ratings.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def similar_users(
@@ -55,7 +60,7 @@ def similar_users(
     latest = ratings if latest_only else latest_ratings(ratings)
     rows = write_shared(_comparable_ratings(latest, params.min_common), "comparable")
     grid, blocks = rating_grid(rows, True), None
-    if _small_sums(rows, grid):
+    if small_sums(rows, grid):
         blocks = number_of_blocks(rows)
     if blocks is None:
         pairs = pearson_pairs(latest, params, compat, latest_only=True)
@@ -63,12 +68,12 @@ def similar_users(
     return block_neighbours(_on_grid(rows, grid, True), blocks, params, compat)
 
 
-def _small_sums(rows: DataFrame, grid: Grid) -> bool:
-    """Whether all sums of a pair stay exact in doubles, and their products in longs."""
+def small_sums(rows: DataFrame, grid: Grid, times: int = 1) -> bool:
+    """Whether ``times`` the sums of any pair stay exact in doubles, and their products in longs."""
     if grid.wide:
         return False
     span, items = rows.agg(F.max("rating") - F.min("rating"), F.max("n_ratings")).first()
-    return ((span or 0.0) * grid.scale + 1) ** 2 * (items or 0) < EXACT
+    return ((span or 0.0) * grid.scale + 1) ** 2 * (items or 0) * times < EXACT
 
 
 def number_of_blocks(rows: DataFrame) -> int | None:
@@ -93,25 +98,29 @@ def _block(blocks: int):
 
 def block_neighbours(rows: DataFrame, blocks: int, params: NeighbourParams, compat: bool = False) -> DataFrame:
     """Neighbours from ratings on the grid (user, item, x), in groups of every two of ``blocks`` blocks."""
-    numeric = has_numeric_ids(rows, "user")
     kind = rows.schema["user"].dataType.simpleString()
-    block, other = F.col("block"), F.col("other")
-    number = F.col("user").cast("bigint") if numeric else F.col("user").try_cast("bigint")
-    dealt = rows.select(
-        "user", number.alias("number"), "item", "x", _block(blocks).alias("block"), F.lit(0).alias("zero")
-    )
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.col("zero"), F.lit(blocks - 1)))).select(
-        F.least(block, other).alias("lo"), F.greatest(block, other).alias("hi"), "block", "user", "number", "item", "x"
-    )
+    numeric = has_numeric_ids(rows, "user")
 
     def search(table: pa.Table) -> pa.Table:
         return _best_of_group(table, params, numeric, compat)
 
-    found = dealt.groupBy("lo", "hi").applyInArrow(search, f"user {kind}, neighbour {kind}, similarity double")
+    groups = block_groups(rows.select("user", "item", "x"), blocks)
+    found = groups.applyInArrow(search, f"user {kind}, neighbour {kind}, similarity double")
     order = [F.col("similarity").desc(), *id_order(found, "neighbour")]
     return top_k(found, ["user"], order, params.top_n)
 
 
+def block_groups(rows: DataFrame, blocks: int) -> GroupedData:
+    """``rows`` in a group for every two blocks of users, and each with itself."""
+    number = F.col("user").cast("bigint") if has_numeric_ids(rows, "user") else F.col("user").try_cast("bigint")
+    block, other = F.col("block"), F.col("other")
+    dealt = rows.select(*rows.columns, number.alias("number"), _block(blocks).alias("block"), F.lit(0).alias("zero"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.col("zero"), F.lit(blocks - 1)))).select(
+        F.least(block, other).alias("lo"), F.greatest(block, other).alias("hi"), "block", "number", *rows.columns
+    )
+    return dealt.groupBy("lo", "hi")
+
+
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     found = column.combine_chunks().dictionary_encode()
     if isinstance(found, pa.ChunkedArray):
@@ -119,39 +128,71 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
+class Group:
+    """Two blocks of users, or one and itself: users and items by number, the users of each side, the order of ids."""
+
+    def __init__(self, table: pa.Table, numeric: bool):
+        self.user, self.ids = _codes(table["user"])
+        self.item, items = _codes(table["item"])
+        self.n_items = len(items)
+        late = table["block"].to_numpy() == table["hi"].to_numpy()
+        first = np.unique(self.user, return_index=True)[1]
+        numbers, texts = table["number"].take(pa.array(first)).to_pylist(), self.ids.to_pylist()
+        # places of the users in the order of ids, and in that of ids as text
+        key = (lambda u: numbers[u]) if numeric else (lambda u: (numbers[u] is None, numbers[u] or 0, texts[u].encode()))
+        self.place, self.by_text = (
+            _places(sorted(range(len(texts)), key=k)) for k in (key, lambda u: str(texts[u]).encode())
+        )
+        self.own = table["lo"][0].as_py() == table["hi"][0].as_py()
+        self.sides = [np.flatnonzero(np.bincount(self.user, late if s else ~late, len(texts)) > 0) for s in (0, 1)]
+        self.rows = [np.ones(len(self.user), bool) if self.own else ~late, late]
+        if self.own:
+            self.sides[0] = self.sides[1]
+        self.shape = (len(self.sides[0]), len(self.sides[1]))
+        self.local = []
+        for members in self.sides:
+            local = np.full(len(texts), -1)
+            local[members] = np.arange(len(members))
+            self.local.append(local)
+
+    def entries(self, side: int, chosen: np.ndarray, x: np.ndarray, weight: float = 1.0) -> Entries:
+        """The chosen rows of one side with their values ``x``, all of the same weight."""
+        chosen = chosen & self.rows[side]
+        return self.local[side][self.user[chosen]], self.item[chosen], x[chosen], np.full(chosen.sum(), weight)
+
+    def sums(self, left: Entries, right: Entries) -> list[np.ndarray]:
+        return pair_sums(left, right, self.shape, self.n_items)
+
+    def similarity(self, sums: list[np.ndarray], min_common: int) -> np.ndarray:
+        """Pearson correlation of every two users; 0 where it is not positive or they share too little."""
+        n, sx, sy, sxx, syy, sxy = (np.rint(s).astype(np.int64) for s in sums)
+        covariance, left, right = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
+        fine = (n >= min_common) & (covariance > 0) & (left > 0) & (right > 0)
+        if self.own:
+            np.fill_diagonal(fine, False)
+        similarity = np.zeros(fine.shape)
+        root = np.sqrt(left[fine].astype(np.float64) * right[fine].astype(np.float64))
+        similarity[fine] = covariance[fine].astype(np.float64) / root
+        return similarity
+
+    def best(self, similarity: np.ndarray, top_n: int, compat: bool) -> list[np.ndarray]:
+        """Users, neighbours and similarities: the best of the other side for each user."""
+        a, b = self.sides
+        out = []
+        for mine, others, table_of in ((a, b, similarity), (b, a, similarity.T))[: 1 if self.own else 2]:
+            if compat:  # a pair serves the user whose id sorts first as text
+                table_of = np.where(self.by_text[mine][:, None] < self.by_text[others][None], table_of, 0.0)
+            out.append(_best(mine, others, table_of, self.place, top_n))
+        return [np.concatenate(c) for c in zip(*out)]
+
+
 def _best_of_group(table: pa.Table, params: NeighbourParams, numeric: bool, compat: bool) -> pa.Table:
-    user, ids = _codes(table["user"])
-    item, items = _codes(table["item"])
+    group = Group(table, numeric)
+    if not all(group.shape):
+        return _rows(group.ids, [], [], [])
     x = table["x"].to_numpy().astype(np.float64)
-    late = table["block"].to_numpy() == table["hi"].to_numpy()
-    first = np.unique(user, return_index=True)[1]
-    numbers, texts = table["number"].take(pa.array(first)).to_pylist(), ids.to_pylist()
-    # places of the users in the order of ids, and in that of ids as text
-    key = (lambda u: numbers[u]) if numeric else (lambda u: (numbers[u] is None, numbers[u] or 0, texts[u].encode()))
-    place, by_text = (_places(sorted(range(len(texts)), key=k)) for k in (key, lambda u: str(texts[u]).encode()))
-    own = not (table["lo"][0].as_py() != table["hi"][0].as_py())
-    sides = [np.flatnonzero(np.bincount(user, late if s else ~late, len(texts)) > 0) for s in (0, 1)]
-    if own:
-        sides[0] = sides[1]
-    if not len(sides[0]) or not len(sides[1]):
-        return _rows(ids, [], [], [])
-    rows = [np.ones(len(user), bool) if own else ~late, late]
-    sums = _pair_sums(user, item, x, rows, sides, len(items))
-    n, sx, sy, sxx, syy, sxy = (np.rint(s).astype(np.int64) for s in sums)
-    covariance, left, right = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
-    fine = (n >= params.min_common) & (covariance > 0) & (left > 0) & (right > 0)
-    if own:
-        np.fill_diagonal(fine, False)
-    similarity = np.zeros(fine.shape)
-    root = np.sqrt(left[fine].astype(np.float64) * right[fine].astype(np.float64))
-    similarity[fine] = covariance[fine].astype(np.float64) / root
-    a, b = sides
-    out = []
-    for mine, others, table_of in ((a, b, similarity), (b, a, similarity.T))[: 1 if own else 2]:
-        if compat:  # a pair serves the user whose id sorts first as text
-            table_of = np.where(by_text[mine][:, None] < by_text[others][None], table_of, 0.0)
-        out.append(_best(mine, others, table_of, place, params.top_n))
-    return _rows(ids, *(np.concatenate(c) for c in zip(*out)))
+    sums = group.sums(*(group.entries(s, np.ones(len(x), bool), x) for s in (0, 1)))
+    return _rows(group.ids, *group.best(group.similarity(sums, params.min_common), params.top_n, compat))
 
 
 def _places(order: list[int]) -> np.ndarray:
@@ -175,34 +216,30 @@ def _best(mine, others, similarity, place, top_n) -> tuple[np.ndarray, np.ndarra
     return mine[row[kept]], others[column[kept]], value[kept]
 
 
-def _pair_sums(user, item, x, rows, sides, n_items) -> list[np.ndarray]:
+def pair_sums(left: Entries, right: Entries, shape: tuple[int, int], n_items: int) -> list[np.ndarray]:
     """Six sums for each pair of the two sides: count, x, y, squares and products over shared items.
 
-    Items that many rate go through products of arrays of users by items, others pair by pair.
+    Every meeting counts by the product of its two weights. Items that many rate go through products of
+    arrays of users by items, others pair by pair.
     """
-    parts, shape = [], (len(sides[0]), len(sides[1]))
-    for chosen, members in zip(rows, sides):
-        local = np.full(int(user.max()) + 1, -1)
-        local[members] = np.arange(len(members))
-        order = np.argsort(item[chosen], kind="stable")
-        held = item[chosen][order]
-        starts = np.searchsorted(held, np.arange(n_items + 1))
-        parts.append((local[user[chosen][order]], x[chosen][order], starts))
-    (u, xu, at), (v, xv, bt) = parts
+    parts = []
+    for who, item, x, weight in (left, right):
+        order = np.argsort(item, kind="stable")
+        x, weight = x[order], weight[order]
+        starts = np.searchsorted(item[order], np.arange(n_items + 1))
+        parts.append((who[order], (weight, weight * x, weight * x * x), starts))
+    (u, wu, at), (v, wv, bt) = parts
     met = np.diff(at) * np.diff(bt)
-    sums = [np.zeros(shape) for _ in range(6)]
+    sums = [np.zeros(shape) for _ in POWERS]
     dense = np.flatnonzero(met * 50 > shape[0] * shape[1])
     for a in range(0, len(dense), CHUNK):
-        arrays = []
-        for who, value, starts, size in ((u, xu, at, shape[0]), (v, xv, bt, shape[1])):
-            mask, filled = (np.zeros((size, min(CHUNK, len(dense) - a))) for _ in range(2))
-            for k, i in enumerate(dense[a : a + CHUNK]):
-                span = slice(starts[i], starts[i + 1])
-                mask[who[span], k], filled[who[span], k] = 1.0, value[span]
-            arrays.append((mask, filled))
-        (m, f), (w, g) = arrays
-        for total, one, two in zip(sums, (m, f, m, f * f, m, f), (w, w, g, w, g * g, g)):
-            total += one @ two.T
+        chosen, arrays = dense[a : a + CHUNK], []
+        for who, moments, starts, size in ((u, wu, at, shape[0]), (v, wv, bt, shape[1])):
+            rows = _spans(starts, chosen)
+            cell = who[rows] * len(chosen) + np.repeat(np.arange(len(chosen)), np.diff(starts)[chosen])
+            arrays.append([np.bincount(cell, m[rows], size * len(chosen)).reshape(size, -1) for m in moments])
+        for total, (i, j) in zip(sums, POWERS):
+            total += arrays[0][i] @ arrays[1][j].T
     sparse = np.flatnonzero((met > 0) & (met * 50 <= shape[0] * shape[1]))
     ends = np.cumsum(met[sparse])
     while len(sparse):
@@ -211,12 +248,12 @@ def _pair_sums(user, item, x, rows, sides, n_items) -> list[np.ndarray]:
         ends = ends[take:] - ends[take - 1]
         # every rater of an item on the one side beside every one on the other
         per = np.repeat(np.diff(bt)[here], np.diff(at)[here])
-        left = np.repeat(_spans(at, here), per)
+        one = np.repeat(_spans(at, here), per)
         begin = np.repeat(np.repeat(bt[here], np.diff(at)[here]), per)
-        right = begin + np.arange(len(left)) - np.repeat(np.cumsum(per) - per, per)
-        cell, p, q = u[left] * shape[1] + v[right], xu[left], xv[right]
-        for total, weight in zip(sums, (None, p, q, p * p, q * q, p * q)):
-            total += np.bincount(cell, weight, shape[0] * shape[1]).reshape(shape)
+        two = begin + np.arange(len(one)) - np.repeat(np.cumsum(per) - per, per)
+        cell = u[one] * shape[1] + v[two]
+        for total, (i, j) in zip(sums, POWERS):
+            total += np.bincount(cell, wu[i][one] * wv[j][two], shape[0] * shape[1]).reshape(shape)
     return sums
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,44 +12,56 @@ from ratingloom.functions.scoring import SCORE_DECIMALS
 from ratingloom.operators.requests import Requests, requests_of
 
 
+def candidate_scores(neighbours: DataFrame, likes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Items liked by a user's neighbours, seen ones too, with the sum of neighbour rating times similarity."""
+    liked = likes.select(*by, F.col("user").alias("neighbour"), "item", "rating")
+    return (
+        neighbours.select(*by, "user", "neighbour", "similarity")
+        .join(liked, [*by, "neighbour"])
+        .groupBy(*by, "user", "item")
+        .agg(F.round(F.sum(F.col("rating") * F.col("similarity")), SCORE_DECIMALS).alias("score"))
+    )
+
+
 def cf_candidates(neighbours: DataFrame, likes: DataFrame, seen: DataFrame) -> DataFrame:
     """Items liked by a user's neighbours and not yet seen by the user.
 
-    ``seen`` holds each user and item once. The score sums neighbour rating
-    times similarity. It is summed before the seen items go out: the sums are
-    far fewer and arrive partitioned as the join needs them. (An anti-join
-    would be moved below the aggregate and sort every summand.)
+    ``seen`` holds each user and item once. The score is summed before the
+    seen items go out: the sums are far fewer and arrive partitioned as the
+    join needs them. (An anti-join would be moved below the aggregate and sort
+    every summand.)
     """
-    liked = likes.select(F.col("user").alias("neighbour"), "item", "rating")
-    scored = (
-        neighbours.select("user", "neighbour", "similarity")
-        .join(liked, "neighbour")
-        .groupBy("user", "item")
-        .agg(F.round(F.sum(F.col("rating") * F.col("similarity")), SCORE_DECIMALS).alias("score"))
-    )
+    scored = candidate_scores(neighbours, likes)
     known = seen.select("user", "item", F.lit(True).alias("known"))
     return scored.join(known, ["user", "item"], "left").filter(F.col("known").isNull()).drop("known")
 
 
 def ranked_shares(
-    candidates: DataFrame, queries: DataFrame | Requests, accepted: str, weight: float, compat: bool = False
+    candidates: DataFrame,
+    queries: DataFrame | Requests,
+    accepted: str,
+    weight: float,
+    compat: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Best ``num`` accepted candidates per query, scored by their share.
+    """Best ``num`` accepted candidates per query (and ``by``), scored by their share.
 
     ``accepted`` names a boolean column. ``compat`` returns every candidate,
     accepted or not, over the total of the accepted top list; without any
     accepted one the scores are infinite.
     """
     requests = requests_of(queries)
-    users = candidates.join(requests.rows.select("user").distinct(), "user", "left_semi")
+    keys = [*by, "user"]
+    query = [*keys, "num"]
+    users = candidates.join(requests.rows.select(*keys).distinct(), keys, "left_semi")
     order = [F.col("score").desc(), *id_order(candidates, "item")]
     # ranked once per user; every query of the user takes the head of that list
-    ranked = top_k(users.filter(accepted), ["user"], order, requests.most)
-    best = ranked.join(requests.rows, "user").filter(F.col("rank") <= F.col("num"))
+    ranked = top_k(users.filter(accepted), keys, order, requests.most)
+    best = ranked.join(requests.rows, keys).filter(F.col("rank") <= F.col("num"))
     if not compat:
-        part = F.round(share(F.col("score"), ["user", "num"], weight), SCORE_DECIMALS)
-        return best.select("user", "num", "item", part.alias("score"), "rank")
-    totals = best.groupBy("user", "num").agg(F.sum("score").alias("total"))
+        part = F.round(share(F.col("score"), query, weight), SCORE_DECIMALS)
+        return best.select(*query, "item", part.alias("score"), "rank")
+    totals = best.groupBy(*query).agg(F.sum("score").alias("total"))
     part = jvm_divide(F.col("score"), F.coalesce("total", F.lit(0.0))) * F.lit(float(weight))
-    every = users.join(requests.rows, "user").join(totals, ["user", "num"], "left")
-    return every.select("user", "num", "item", F.round(part, SCORE_DECIMALS).alias("score"))
+    every = users.join(requests.rows, keys).join(totals, query, "left")
+    return every.select(*query, "item", F.round(part, SCORE_DECIMALS).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,22 +65,22 @@ def user_rating_stats(ratings: DataFrame) -> DataFrame:
     )
 
 
-def user_means(ratings: DataFrame) -> DataFrame:
-    """Mean per user, rounded so that a rating equal to the mean stays equal
+def user_means(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean per user (and ``by``), rounded so that a rating equal to the mean stays equal
     to it whatever order the parts were summed in."""
-    return ratings.groupBy("user").agg(
+    return ratings.groupBy(*by, "user").agg(
         F.count(F.lit(1)).alias("n_ratings"),
         F.round(F.avg("rating"), SCORE_DECIMALS).alias("mean_rating"),
     )
 
 
-def with_user_mean(ratings: DataFrame) -> DataFrame:
+def with_user_mean(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``n_ratings`` and ``mean_rating``.
 
     An aggregate joined back, not a window: a user with a large part of all
     rows is combined map-side and split in the join.
     """
-    return ratings.join(user_means(ratings), "user")
+    return ratings.join(user_means(ratings, by), [*by, "user"])
 
 
 def user_history(ratings: DataFrame, items_per_row: int = 1000) -> DataFrame:
@@ -101,22 +101,22 @@ def item_view_counts(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("item").agg(F.count(F.lit(1)).alias("views"))
 
 
-def labeled_ratings(ratings: DataFrame) -> DataFrame:
+def labeled_ratings(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Label 1 where the rating is strictly above its user's mean, else 0."""
     liked = (F.col("rating") > F.col("mean_rating")).cast("double")
-    return with_user_mean(ratings).select("user", "item", "rating", liked.alias("label"))
+    return with_user_mean(ratings, by).select(*by, "user", "item", "rating", liked.alias("label"))
 
 
-def user_likes(ratings: DataFrame, top_n: int) -> DataFrame:
+def user_likes(ratings: DataFrame, top_n: int, by: Sequence[str] = ()) -> DataFrame:
     """Best-rated ``top_n`` items above the user's own mean.
 
     Users with fewer than ``top_n`` ratings keep all of them, as liked.
     """
-    kept = with_user_mean(ratings).filter(
+    kept = with_user_mean(ratings, by).filter(
         (F.col("n_ratings") < top_n) | (F.col("rating") > F.col("mean_rating"))
     )
     order = [F.col("rating").desc(), *id_order(ratings, "item")]
-    return top_k(kept, ["user"], order, top_n).select("user", "item", "rating", "rank")
+    return top_k(kept, [*by, "user"], order, top_n).select(*by, "user", "item", "rating", "rank")
 
 
 def preference_coefficient(ratings: DataFrame) -> DataFrame:

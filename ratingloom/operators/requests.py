@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,13 @@ from ratingloom.session import write_shared
 
 
 class Requests:
-    """The distinct ``(user, num)`` of a batch of queries, stored, and their largest ``num``.
+    """The distinct ``(user, num)`` of a batch of queries, per ``by``, stored, and their largest ``num``.
 
     Several recommenders answer the same batch, so it is computed once.
     """
 
-    def __init__(self, queries: DataFrame):
-        self.rows = write_shared(queries.select("user", "num").distinct(), "requests")
+    def __init__(self, queries: DataFrame, by: Sequence[str] = ()):
+        self.rows = write_shared(queries.select(*by, "user", "num").distinct(), "requests")
         self.most = self.rows.agg(F.max("num")).first()[0] or 0
 
 

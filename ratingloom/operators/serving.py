@@ -13,20 +13,23 @@ from ratingloom.functions.scoring import SCORE_DECIMALS
 from ratingloom.operators.requests import Requests, most_asked
 
 
-def blend(recommendations: Sequence[DataFrame], queries: DataFrame | Requests) -> DataFrame:
+def blend(
+    recommendations: Sequence[DataFrame], queries: DataFrame | Requests, by: Sequence[str] = ()
+) -> DataFrame:
     """Sum the scores per query and item and keep the best ``num`` of each query.
 
-    A query is a ``(user, num)``; one user may ask several times.
+    A query is a ``(user, num)``, per ``by``; one user may ask several times.
     """
-    parts = [r.select("user", "num", "item", "score") for r in recommendations]
+    query = [*by, "user", "num"]
+    parts = [r.select(*query, "item", "score") for r in recommendations]
     merged = (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("user", "num", "item")
+        .groupBy(*query, "item")
         .agg(F.round(F.sum("score"), SCORE_DECIMALS).alias("score"))
     )
     order = [F.col("score").desc(), *id_order(merged, "item")]
-    best = top_k(merged, ["user", "num"], order, most_asked(queries))
-    return best.filter(F.col("rank") <= F.col("num")).select("user", "num", "item", "score", "rank")
+    best = top_k(merged, query, order, most_asked(queries))
+    return best.filter(F.col("rank") <= F.col("num")).select(*query, "item", "score", "rank")
 
 
 def as_results(recommendations: DataFrame, queries: DataFrame) -> DataFrame:

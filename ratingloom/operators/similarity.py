@@ -92,16 +92,16 @@ def rating_grid(rows: DataFrame, center: bool) -> Grid:
     return Grid(scale, bool(scales), wide)
 
 
-def _comparable_ratings(latest: DataFrame, min_common: int) -> DataFrame:
+def _comparable_ratings(latest: DataFrame, min_common: int, *carry: str) -> DataFrame:
     """Ratings that can take part in a pair: ``(user, item, rating, mean_rating, n_ratings, raters)``.
 
     Users with fewer than ``min_common`` items and items with one rater are left out.
     """
-    latest = latest.select("user", "item", "rating")
+    latest = latest.select("user", "item", "rating", *carry)
     active = user_means(latest).filter(F.col("n_ratings") >= min_common)
     rows = latest.join(active, "user")
     raters = rows.groupBy("item").agg(F.count(F.lit(1)).alias("raters")).filter(F.col("raters") > 1)
-    return rows.join(raters, "item").select("user", "item", "rating", "mean_rating", "n_ratings", "raters")
+    return rows.join(raters, "item").select("user", "item", "rating", *carry, "mean_rating", "n_ratings", "raters")
 
 
 def _on_grid(rows: DataFrame, grid: Grid, center: bool) -> DataFrame:

@@ -7,9 +7,10 @@ are joined by :func:`_sql`. Settings repeat those of
 
 from __future__ import annotations
 
-from ratingloom.params import NeighbourParams, PopularityParams
+from ratingloom.params import EvalParams, NeighbourParams, PopularityParams
 from ratingloom.plans.queries import (
     DEFAULT_NUM,
+    FOLD_TOPS,
     FOLDS,
     MIXED_NUMS,
     NEIGHBOURS,
@@ -18,6 +19,7 @@ from ratingloom.plans.queries import (
     ORDER_POPULAR,
     POPULAR,
     SWEEP_ITEMS,
+    SWEEP_NEIGHBOURS,
 )
 
 _T, _N = NEIGHBOURS.min_common, NEIGHBOURS.top_n
@@ -218,7 +220,17 @@ served AS (
 BLENDED = _blended(NUM)
 
 
-def _fold_hits(max_items: int, suffix: str = "", compat: bool = False, passes: int = 12) -> str:
+def _hits(source: str, suffix: str) -> str:
+    return f"""hits{suffix} AS (
+  SELECT q.fold, q."user", q.n_actual, count(r.item) AS n_recommended, count(a.item) AS hits
+  FROM fquery q LEFT JOIN {source} r ON r.fold = q.fold AND r."user" = q."user"
+  LEFT JOIN actual a ON a.fold = r.fold AND a."user" = r."user" AND a.item = r.item
+  GROUP BY q.fold, q."user", q.n_actual)"""
+
+
+def _fold_hits(
+    max_items: int, suffix: str = "", compat: bool = False, passes: int = 12, k: int = _K, num: int = NUM
+) -> str:
     """Popularity trained without and judged on each fold; in ``compat`` pruned per fold, with seen items."""
     s = suffix
     prune, source, listed = "", f"fview{s}", "NOT EXISTS"
@@ -231,32 +243,118 @@ def _fold_hits(max_items: int, suffix: str = "", compat: bool = False, passes: i
             )
         prune, source, listed = ",\n".join(steps) + ",\n", f"fp{passes}", "true OR EXISTS"
     return f"""fview{s} AS (
-  SELECT f.fold, e.item, count(*) AS views FROM ev e JOIN folds f ON e.event_id % {_K} <> f.fold GROUP BY ALL),
+  SELECT f.fold, e.item, count(*) AS views FROM ev e JOIN folds f ON e.event_id % {k} <> f.fold GROUP BY ALL),
 {prune}ftop{s} AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY views DESC, item) AS rank FROM {source})
   WHERE rank <= {max_items}),
 frec{s} AS (
   SELECT * FROM (
-    SELECT q.fold, q."user", t.item,
+    SELECT q.fold, q."user", t.item, t.views,
            row_number() OVER (PARTITION BY q.fold, q."user" ORDER BY t.rank) AS place
     FROM fquery q JOIN ftop{s} t ON t.fold = q.fold
     WHERE {listed} (SELECT 1 FROM ev e WHERE e."user" = q."user" AND e.item = t.item
-                      AND e.event_id % {_K} <> q.fold)) WHERE place <= {NUM}),
-hits{s} AS (
-  SELECT q.fold, q."user", q.n_actual, count(r.item) AS n_recommended, count(a.item) AS hits
-  FROM fquery q LEFT JOIN frec{s} r ON r.fold = q.fold AND r."user" = q."user"
-  LEFT JOIN actual a ON a.fold = r.fold AND a."user" = r."user" AND a.item = r.item
-  GROUP BY q.fold, q."user", q.n_actual)"""
+                      AND e.event_id % {k} <> q.fold)) WHERE place <= {num}),
+{_hits(f"frec{s}", s)}"""
 
 
-FOLD_BASE = f"""folds AS (SELECT CAST(range AS INTEGER) AS fold FROM range({_K})),
-actual AS (SELECT DISTINCT CAST(event_id % {_K} AS INTEGER) AS fold, "user", item FROM ev),
+def _fold_base(k: int) -> str:
+    return f"""folds AS (SELECT CAST(range AS INTEGER) AS fold FROM range({k})),
+actual AS (SELECT DISTINCT CAST(event_id % {k} AS INTEGER) AS fold, "user", item FROM ev),
 fquery AS (SELECT fold, "user", count(*) AS n_actual FROM actual GROUP BY fold, "user")"""
 
+
+FOLD_BASE = _fold_base(_K)
+
+
+def _fold_pairs(k: int, min_common: int) -> str:
+    """Every fold trained by itself: latest ratings, means and pairs of its training part."""
+    return f"""ftrain AS (SELECT f.fold, e.* FROM ev e JOIN folds f ON e.event_id % {k} <> f.fold),
+fr AS (
+  SELECT fold, "user", item, rating FROM (
+    SELECT *, row_number() OVER (PARTITION BY fold, "user", item ORDER BY ts DESC, event_id DESC, rating DESC) AS newest
+    FROM ftrain) WHERE newest = 1),
+fmeans AS (
+  SELECT fold, "user", count(*) AS n_ratings, round(avg(rating), 9) AS mean_rating FROM fr GROUP BY fold, "user"),
+fpairs AS (
+  SELECT a.fold, a."user" AS user_a, b."user" AS user_b, count(*) AS n_common, {PEARSON} AS similarity
+  FROM fr a JOIN fr b ON a.fold = b.fold AND a.item = b.item AND {BY_NUMBER}
+  GROUP BY a.fold, a."user", b."user" HAVING count(*) >= {min_common}),
+fsides AS (
+  SELECT fold, user_a AS "user", user_b AS neighbour, n_common, similarity FROM fpairs WHERE similarity > 0
+  UNION ALL SELECT fold, user_b, user_a, n_common, similarity FROM fpairs WHERE similarity > 0)"""
+
+
+def _fold_nearest(min_common: int, top_n: int, suffix: str = "") -> str:
+    return f"""fnearest{suffix} AS (
+  SELECT fold, "user", neighbour, similarity, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY fold, "user" ORDER BY similarity DESC, neighbour) AS INTEGER) AS rank
+    FROM fsides WHERE n_common >= {min_common}) WHERE rank <= {top_n})"""
+
+
+FOLD_BAYES = """fsums AS (
+  SELECT fold, label, count(*) AS n_rows, CAST(sum("user") AS BIGINT) AS sum_user, CAST(sum(item) AS BIGINT) AS sum_item
+  FROM (SELECT r.*, CASE WHEN r.rating > m.mean_rating THEN 1 ELSE 0 END AS label
+        FROM fr r JOIN fmeans m ON m.fold = r.fold AND m."user" = r."user") GROUP BY fold, label),
+fbayes AS (
+  SELECT fold, label, ln(n_rows + 1) - ln(sum(n_rows) OVER (PARTITION BY fold) + 2) AS pi,
+         ln(sum_user + 1) - ln(sum_user + sum_item + 2) AS theta_user,
+         ln(sum_item + 1) - ln(sum_user + sum_item + 2) AS theta_item
+  FROM fsums)"""
+
+
+def _fold_bayes_lists(min_common: int, top_n: int, num: int, suffix: str = "") -> str:
+    """Lists of the naive Bayes hybrid of every fold, from pairs of all folds."""
+    s = suffix
+    return f"""{_fold_nearest(min_common, top_n, s)},
+flikes{s} AS (
+  SELECT * FROM (
+    SELECT r.*, row_number() OVER (PARTITION BY r.fold, r."user" ORDER BY r.rating DESC, r.item) AS place
+    FROM fr r JOIN fmeans m ON m.fold = r.fold AND m."user" = r."user"
+    WHERE m.n_ratings < {top_n} OR r.rating > m.mean_rating) WHERE place <= {top_n}),
+fcand{s} AS (
+  SELECT n.fold, n."user", l.item, round(sum(l.rating * n.similarity), 9) AS score
+  FROM fnearest{s} n JOIN flikes{s} l ON l.fold = n.fold AND l."user" = n.neighbour
+  WHERE NOT EXISTS (SELECT 1 FROM fr e WHERE e.fold = n.fold AND e."user" = n."user" AND e.item = l.item)
+  GROUP BY n.fold, n."user", l.item),
+fnb{s} AS (
+  SELECT fold, "user", item, round(score / sum(score) OVER (PARTITION BY fold, "user") * 2.0, 9) AS score FROM (
+    SELECT x.*, row_number() OVER (PARTITION BY x.fold, x."user" ORDER BY x.score DESC, x.item) AS place
+    FROM fcand{s} x JOIN fbayes c1 ON c1.fold = x.fold AND c1.label = 1 JOIN fbayes c0 ON c0.fold = x.fold AND c0.label = 0
+    JOIN fquery q ON q.fold = x.fold AND q."user" = x."user"
+    WHERE c1.pi + x."user" * c1.theta_user + x.item * c1.theta_item
+          > c0.pi + x."user" * c0.theta_user + x.item * c0.theta_item) WHERE place <= {num})"""
+
+
+#: Of popularity (``frec``) and naive Bayes (``fnb``).
+FOLD_BLEND = f"""fblend AS (
+  SELECT fold, "user", item FROM (
+    SELECT fold, "user", item, row_number() OVER (PARTITION BY fold, "user" ORDER BY round(sum(score), 9) DESC, item) AS place
+    FROM (SELECT fold, "user", item, score FROM fnb
+          UNION ALL SELECT fold, "user", item, round(views / sum(views) OVER (PARTITION BY fold, "user"), 9) FROM frec)
+    GROUP BY fold, "user", item) WHERE place <= {NUM})"""
+
 _PRECISION = "avg(CASE WHEN n_recommended > 0 THEN hits / n_recommended END)"
 _RECALL = "avg(hits / n_actual)"
 
 
+_FOLD_REPORT = f"""SELECT fold, count(*) AS n_queries, count(*) FILTER (n_recommended > 0) AS n_scored,
+       round({_PRECISION}, 9) AS precision, round({_RECALL}, 9) AS recall FROM """
+
+
+def _sweep(n_settings: int) -> str:
+    """Report over ``hits_0``, ``hits_1``, ..."""
+    rows = (
+        f"SELECT {i} AS setting, count(*) AS n_queries, count(*) FILTER (n_recommended > 0) AS n_scored, "
+        f"round({_PRECISION}, 9) AS precision, round({_RECALL}, 9) AS recall FROM hits_{i}"
+        for i in range(n_settings)
+    )
+    return "sweep AS (" + "\nUNION ALL ".join(rows) + ")"
+
+
+_SWEEP_REPORT = """SELECT *, row_number() OVER (ORDER BY precision DESC NULLS LAST, setting) = 1 AS is_best
+FROM sweep"""
+
+
 def _sql(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -582,14 +680,50 @@ FROM dealt GROUP BY fold, "user", part""",
         EV,
         FOLD_BASE,
         *(_fold_hits(n, f"_{i}") for i, n in enumerate(SWEEP_ITEMS)),
-        "sweep AS ("
-        + "\nUNION ALL ".join(
-            f"SELECT {i} AS setting, count(*) AS n_queries, count(*) FILTER (n_recommended > 0) AS n_scored, "
-            f"round({_PRECISION}, 9) AS precision, round({_RECALL}, 9) AS recall FROM hits_{i}"
-            for i in range(len(SWEEP_ITEMS))
-        )
-        + ")",
-        select="""SELECT *, row_number() OVER (ORDER BY precision DESC NULLS LAST, setting) = 1 AS is_best
-FROM sweep""",
+        _sweep(len(SWEEP_ITEMS)),
+        select=_SWEEP_REPORT,
+    ),
+    "fold_neighbours": _sql(
+        EV,
+        FOLD_BASE,
+        _fold_pairs(_K, _T),
+        *(_fold_nearest(m, n, f"_{m}") for m, n in FOLD_TOPS.items()),
+        select="\nUNION ALL ".join(f"{ROUNDED}(SELECT {m} AS min_common, * FROM fnearest_{m})" for m in FOLD_TOPS),
+    ),
+    "precision_at_k_hybrid": _sql(
+        EV,
+        FOLD_BASE,
+        _fold_pairs(_K, _T),
+        FOLD_BAYES,
+        _fold_bayes_lists(_T, _N, NUM),
+        _hits("fnb", ""),
+        select=_FOLD_REPORT + "hits GROUP BY fold",
+    ),
+    "precision_at_k_blend": _sql(
+        EV,
+        FOLD_BASE,
+        _fold_pairs(_K, _T),
+        FOLD_BAYES,
+        _fold_bayes_lists(_T, _N, NUM),
+        _fold_hits(POPULAR.max_items, "").replace("hits AS (", "hits_popular AS ("),
+        FOLD_BLEND,
+        _hits("fblend", ""),
+        select=_FOLD_REPORT + "hits GROUP BY fold",
+    ),
+    "param_sweep_neighbours": _sql(
+        EV,
+        _fold_base(EvalParams().k_fold),
+        _fold_pairs(EvalParams().k_fold, min(m for m, _ in SWEEP_NEIGHBOURS)),
+        FOLD_BAYES,
+        *(
+            part
+            for i, (m, n) in enumerate(SWEEP_NEIGHBOURS)
+            for part in (_fold_bayes_lists(m, n, DEFAULT_NUM, f"_{i}"), _hits(f"fnb_{i}", f"_{i}"))
+        ),
+        _fold_hits(
+            PopularityParams().max_items, f"_{len(SWEEP_NEIGHBOURS)}", k=EvalParams().k_fold, num=DEFAULT_NUM
+        ),
+        _sweep(len(SWEEP_NEIGHBOURS) + 1),
+        select=_SWEEP_REPORT,
     ),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.functions.scoring import SCORE_DECIMALS
-from ratingloom.operators import block_search, classify, collaborative, evaluation, factorization, popularity, similarity
+from ratingloom.operators import block_search, classify, collaborative, evaluation, factorization, folds, popularity, similarity
 from ratingloom.operators import ratings as rating_ops
 from ratingloom.params import (
     AlgorithmSpec,
@@ -49,6 +49,9 @@ MIXED_NUMS = (2, 5)
 DEFAULT_NUM = EvalParams().query_num
 FOLDS = EvalParams(k_fold=5, query_num=NUM)
 SWEEP_ITEMS = (2, 10, 50)
+#: Shared items and length of the lists.
+SWEEP_NEIGHBOURS = ((3, 20), (3, 5), (5, 150), (10, 50))
+FOLD_TOPS = {NEIGHBOURS.min_common: NEIGHBOURS.top_n, NEIGHBOURS.min_common + 2: 5}
 BLEND = (AlgorithmSpec("nb", NEIGHBOURS), AlgorithmSpec("mv", POPULAR))
 ORDER_POPULAR = PopularityParams(max_items=300)
 ORDER_NUM = 10
@@ -679,6 +682,34 @@ def param_sweep_popularity(spark, sf_dir):
     return param_sweep(_ratings(spark, sf_dir), settings, FOLDS).drop("params")
 
 
+@query
+def fold_neighbours(spark, sf_dir):
+    """Similar users in the training part of every fold, for two settings, from one search."""
+    values = folds.training_values(evaluation.with_folds(_ratings(spark, sf_dir), FOLDS.k_fold), FOLDS.k_fold)
+    return _rounded(folds.fold_neighbours(values, FOLDS.k_fold, FOLD_TOPS), "similarity")
+
+
+@query
+def precision_at_k_hybrid(spark, sf_dir):
+    """The naive Bayes hybrid in every fold."""
+    hits = cross_validate(_ratings(spark, sf_dir), (AlgorithmSpec("nb", NEIGHBOURS),), FOLDS)
+    return evaluation.precision_recall(hits)
+
+
+@query
+def precision_at_k_blend(spark, sf_dir):
+    """The blend of hybrid and popularity in every fold."""
+    return evaluation.precision_recall(cross_validate(_ratings(spark, sf_dir), BLEND, FOLDS))
+
+
+@query
+def param_sweep_neighbours(spark, sf_dir):
+    """Hybrids of several settings beside popularity, ten folds and ten items; all come from one search."""
+    settings = [(AlgorithmSpec("nb", NeighbourParams(*s)),) for s in SWEEP_NEIGHBOURS]
+    settings.append((AlgorithmSpec("mv", PopularityParams()),))
+    return param_sweep(_ratings(spark, sf_dir), settings, EvalParams()).drop("params")
+
+
 @query
 def param_sweep_engines(spark, sf_dir):
     """Factorisation, forest hybrid and popularity compared: the default sweep, ten folds and ten items."""

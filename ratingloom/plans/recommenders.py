@@ -190,13 +190,13 @@ class ClassifierHybridModel:
 
 
 @dataclass(frozen=True)
-class _ClassifierHybrid:
+class ClassifierHybrid:
     params: NeighbourParams = NeighbourParams()
     compat: bool = False
 
     weight = 1.0
 
-    def _train(self, labeled: DataFrame) -> Any:
+    def train(self, labeled: DataFrame) -> Any:
         raise NotImplementedError
 
     def fit(
@@ -205,28 +205,28 @@ class _ClassifierHybrid:
         data = _training_data(ratings)
         require_ratings(data.events)
         lists = neighbourhood or Neighbourhood.build(data, self.params, self.compat)
-        classifier = self._train(labeled_ratings(data.rated(self.compat)))
+        classifier = self.train(labeled_ratings(data.rated(self.compat)))
         return ClassifierHybridModel(lists, classifier, self.weight, self.compat)
 
 
 @dataclass(frozen=True)
-class NaiveBayesHybrid(_ClassifierHybrid):
+class NaiveBayesHybrid(ClassifierHybrid):
     """Candidates of similar users that naive Bayes predicts as liked."""
 
     weight = NAIVE_BAYES_WEIGHT
 
-    def _train(self, labeled: DataFrame) -> NaiveBayesModel:
+    def train(self, labeled: DataFrame) -> NaiveBayesModel:
         return fit_naive_bayes(labeled)
 
 
 @dataclass(frozen=True)
-class ForestHybrid(_ClassifierHybrid):
+class ForestHybrid(ClassifierHybrid):
     """Candidates of similar users that a random forest predicts as liked."""
 
     weight = FOREST_WEIGHT
     seed: int = 3
 
-    def _train(self, labeled: DataFrame) -> RandomForestClassificationModel:
+    def train(self, labeled: DataFrame) -> RandomForestClassificationModel:
         return fit_forest(labeled, self.seed)
 
 

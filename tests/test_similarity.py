@@ -212,8 +212,9 @@ def test_few_raters_and_many_give_the_same_sums():
     user, item = (block_search.np.array(c) for c in zip(*rated))
     x = block_search.np.array(list(rated.values()), float)
     late = user >= 25
-    sides = [block_search.np.arange(25), block_search.np.arange(25, 60)]
-    sums = block_search._pair_sums(user, item, x, [~late, late], sides, 30)
+    weight = block_search.np.ones(len(x))
+    left, right = ((user[s] - first, item[s], x[s], weight[s]) for s, first in ((~late, 0), (late, 25)))
+    sums = block_search.pair_sums(left, right, (25, 35), 30)
     for a in range(25):
         for b in range(25, 60):
             met = [(rated[a, i], rated[b, i]) for i in range(30) if (a, i) in rated and (b, i) in rated]
