@@ -16,6 +16,7 @@ from ratingloom.operators.serving import as_results, blend
 from ratingloom.params import AlgorithmSpec, EngineParams
 from ratingloom.plans.recommenders import RECOMMENDERS, Model, Neighbourhood
 from ratingloom.session import delete_folder, scratch, use_adaptive_plans
+from ratingloom.storage import current_version, save_version
 
 
 @dataclass(frozen=True)
@@ -52,17 +53,24 @@ class HybridModel:
         return reduce(DataFrame.unionByName, parts)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, (_, model) in enumerate(self.parts):
-            model.save(f"{path}/part-{i}")
-        names = [(i, name) for i, (name, _) in enumerate(self.parts)]
-        spark.createDataFrame(names, "position int, name string").write.mode("overwrite").parquet(f"{path}/names")
+        """Store as a new version of ``path``, seen by :meth:`load` once all of it is there."""
+
+        def write(version: str) -> None:
+            for i, (_, model) in enumerate(self.parts):
+                model.save(f"{version}/part-{i}")
+            names = [(i, name) for i, (name, _) in enumerate(self.parts)]
+            spark.createDataFrame(names, "position int, name string").write.parquet(f"{version}/names")
+
+        save_version(spark, path, write)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HybridModel:
+        """The last version that was stored whole; an error if files of it are missing."""
+        version = current_version(spark, path)
         # one row per configured recommender
-        names = spark.read.parquet(f"{path}/names").orderBy("position").collect()
+        names = spark.read.parquet(f"{version}/names").orderBy("position").collect()
         return cls(
-            tuple((r["name"], RECOMMENDERS[r["name"]].load(spark, f"{path}/part-{r['position']}")) for r in names)
+            tuple((r["name"], RECOMMENDERS[r["name"]].load(spark, f"{version}/part-{r['position']}")) for r in names)
         )
 
 

@@ -1,6 +1,6 @@
 """Reading events and ratings, and storing models and reports."""
 
-from ratingloom.sources.csv_import import import_ratings_csv, ratings_csv_to_events
+from ratingloom.sources.csv_import import drop_unfinished_imports, import_ratings_csv, ratings_csv_to_events
 from ratingloom.sources.events import (
     CLICKSTREAM,
     EVENT_STORE,
@@ -16,6 +16,7 @@ __all__ = [
     "EVENT_STORE",
     "EventLayout",
     "dataset_summary",
+    "drop_unfinished_imports",
     "import_ratings_csv",
     "ratings_csv_to_events",
     "read_event_store",

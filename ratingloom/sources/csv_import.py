@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratingloom.session import write_shared
+from ratingloom.session import delete_folder, write_shared
+from ratingloom.sources.events import FINISHED, read_event_store
+from ratingloom.storage import create_file, make_folder, names_in
 
 #: Columns by position; the header line is skipped.
 RATING_FILE = T.StructType(
@@ -19,6 +25,8 @@ RATING_FILE = T.StructType(
 )
 #: Holds the text of a line that does not fit the columns.
 BAD_LINE = "_bad_line"
+#: Columns of an event that hold all of a line.
+WHOLE_LINE = ("entityId", "targetEntityId", "properties")
 
 
 def _read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -70,20 +78,43 @@ def import_ratings_csv(
 ) -> DataFrame:
     """Append a rating file to the event store of one application.
 
-    Events the store already has are not added again, so an import may be
-    repeated. Returns one row ``(imported, known, rejected)`` of line counts.
+    Lines the store already has, compared whole, are not added again, so an
+    import may be repeated. An import is read once it has been finished: one
+    that breaks off leaves nothing that readers or a repetition see (see
+    :func:`drop_unfinished_imports`). Returns one row ``(imported, known,
+    rejected)`` of line counts.
     """
     events = ratings_csv_to_events(spark, path, strict).withColumn("app", F.lit(app_name))
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    make_folder(spark, f"{store}/{FINISHED}")
     fresh = events
-    if files.exists(folder):
-        held = spark.read.parquet(store).where(F.col("app") == app_name).select("event_id").distinct()
-        fresh = events.join(held, "event_id", "left_anti").select(*events.columns)
-    # stored first: the store cannot be read and appended to in one plan
-    added = write_shared(fresh, "import")
-    added.write.mode("append").partitionBy("app").parquet(store)
-    lines, imported = events.count(), added.count()
+    if names_in(spark, f"{store}/{FINISHED}"):
+        held = read_event_store(spark, store, app_name).select(*(F.col(c).alias(f"held_{c}") for c in WHOLE_LINE)).distinct()
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in WHOLE_LINE))
+        fresh = events.join(held, same, "left_anti")
+    # the batch is its own table, written once and counted from there
+    batch = f"import-{uuid.uuid4().hex}"
+    fresh.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("app", "batch").parquet(store)
+    lines, imported = events.count(), _batch_size(spark, store, batch)
     rejected = 0 if strict else rejected_csv_lines(spark, path).count()
+    create_file(spark, f"{store}/{FINISHED}/{batch}")
     counts = [(imported, lines - imported, rejected)]
     return spark.createDataFrame(counts, "imported long, known long, rejected long")
+
+
+def _batch_size(spark: SparkSession, store: str, batch: str) -> int:
+    """Lines of a batch; one without any has no files."""
+    if not any(n.startswith("app=") for n in names_in(spark, store)):
+        return 0
+    return spark.read.parquet(store).where(F.col("batch") == batch).count()
+
+
+def drop_unfinished_imports(spark: SparkSession, store: str) -> list[str]:
+    """Delete what imports that broke off have left; for times when no import runs. Returns their batches."""
+    finished, dropped = set(names_in(spark, f"{store}/{FINISHED}")), []
+    for app in (n for n in names_in(spark, store) if n.startswith("app=")):
+        for folder in names_in(spark, f"{store}/{app}"):
+            batch = folder.removeprefix("batch=")
+            if batch not in finished:
+                delete_folder(spark, f"{store}/{app}/{folder}")
+                dropped.append(batch)
+    return dropped

@@ -8,12 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratingloom.storage import names_in
+
+#: Folder of an event store with a file for every finished import, named as its batch.
+FINISHED = "_finished"
+
 
 @dataclass(frozen=True)
 class EventLayout:
     """Where the parts of a rating sit in an event table, as SQL expressions.
 
-    ``entity_type`` and ``target_type`` are null for tables that hold only
+    ``parsed`` is what several of them need, such as a JSON column with all wanted fields; it is computed once per
+    event, and the others refer to it as ``_parsed``. ``entity_type`` and ``target_type`` are null for tables that hold only
     user-to-item events.
     """
 
@@ -25,6 +31,7 @@ class EventLayout:
     event_id: str
     entity_type: str | None = None
     target_type: str | None = None
+    parsed: str | None = None
 
 
 #: Tables written by :func:`ratingloom.sources.csv_import.import_ratings_csv`.
@@ -32,9 +39,10 @@ EVENT_STORE = EventLayout(
     event="event",
     user="entityId",
     item="targetEntityId",
-    rating="from_json(properties, 'rating DOUBLE').rating",
-    ts="timestamp_seconds(from_json(properties, 'timestamp BIGINT').timestamp)",
+    rating="_parsed.rating",
+    ts="timestamp_seconds(_parsed.timestamp)",
     event_id="event_id",
+    parsed="from_json(properties, 'rating DOUBLE, timestamp BIGINT')",
     entity_type="entityType",
     target_type="targetEntityType",
 )
@@ -43,19 +51,25 @@ EVENT_STORE = EventLayout(
 CLICKSTREAM = EventLayout(
     event="event_type",
     user="user_id",
-    item="from_json(props, 'k BIGINT').k",
+    item="_parsed.k",
     rating="value",
     ts="ts",
     event_id="event_id",
+    parsed="from_json(props, 'k BIGINT')",
 )
 
 
 def read_event_store(spark: SparkSession, path: str, app_name: str) -> DataFrame:
-    """Events of one application; the store is partitioned by it."""
-    return spark.read.parquet(path).filter(F.col("app") == app_name)
+    """Events of one application, of all imports that have been finished; the store is partitioned by both."""
+    finished = names_in(spark, f"{path}/{FINISHED}")
+    return spark.read.parquet(path).filter((F.col("app") == app_name) & F.col("batch").isin(finished)).drop("batch")
 
 
 def _fields(events: DataFrame, layout: EventLayout) -> DataFrame:
+    if layout.parsed:
+        # filters stay above a generator, so that parsing is not repeated in them
+        parsed = F.struct(F.expr(layout.parsed).alias("_parsed"))
+        events = events.select("*", F.inline(F.array(parsed)))
     return events.select(
         F.expr(layout.event).alias("event"),
         F.expr(layout.user).alias("user"),

@@ -13,6 +13,7 @@ from ratingloom.sources import (
     scan_ratings,
 )
 from ratingloom.sources.csv_import import rejected_csv_lines
+from ratingloom.sources.events import CLICKSTREAM
 
 EVENT_SCHEMA = (
     "event_id bigint, event string, entityType string, entityId string, "
@@ -105,6 +106,70 @@ def test_csv_import_counts_and_may_be_repeated(spark, tmp_path):
     assert reasons == {"1,12,3,x": "timestamp is not a number", "1": "too few columns", "1,2,3,4,5": "too many columns"}
 
 
+def test_import_that_breaks_off_is_not_seen_and_may_be_repeated(spark, tmp_path, monkeypatch):
+    from ratingloom.sources import csv_import
+
+    store = str(tmp_path / "store")
+    first = write(tmp_path, "userId,movieId,rating,timestamp\n1,10,4.0,1\n1,12,3,2\n")
+    assert tuple(import_ratings_csv(spark, first, store, "a").first()) == (2, 0, 0)
+    (tmp_path / "more").mkdir()
+    second = write(tmp_path / "more", "userId,movieId,rating,timestamp\n1,12,3,2\n2,10,5,3\n2,11,1,4\n")
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(csv_import, "create_file", broken)  # all files written, not published
+        with pytest.raises(OSError):
+            import_ratings_csv(spark, second, store, "a")
+    items = lambda: sorted((r.user, r.item) for r in scan_ratings(read_event_store(spark, store, "a")).collect())
+    assert items() == [("1", "10"), ("1", "12")]
+    assert tuple(import_ratings_csv(spark, second, store, "a").first()) == (2, 1, 0)
+    assert items() == [("1", "10"), ("1", "12"), ("2", "10"), ("2", "11")]
+    assert len(csv_import.drop_unfinished_imports(spark, store)) == 1
+    assert csv_import.drop_unfinished_imports(spark, store) == [] and len(items()) == 4
+
+
+def test_first_import_that_breaks_off(spark, tmp_path, monkeypatch):
+    from ratingloom.sources import csv_import
+
+    path, store = write(tmp_path, "userId,movieId,rating,timestamp\n1,10,4.0,1\n"), str(tmp_path / "store")
+    with monkeypatch.context() as m:
+        m.setattr(csv_import, "create_file", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            import_ratings_csv(spark, path, store, "a")
+    assert read_event_store(spark, store, "a").isEmpty()
+    assert tuple(import_ratings_csv(spark, path, store, "a").first()) == (1, 0, 0)
+    assert read_event_store(spark, store, "a").count() == 1
+
+
+def test_lines_are_compared_whole(spark, tmp_path, monkeypatch):
+    """Two ratings whose ids collide are both kept."""
+    from ratingloom.sources import csv_import
+
+    as_events = csv_import._as_events
+    monkeypatch.setattr(csv_import, "_as_events", lambda rows: as_events(rows).withColumn("event_id", F.lit(7).cast("bigint")))
+    store = str(tmp_path / "store")
+    for n, line in enumerate(["1,10,4.0,1", "1,10,4.5,1", ",10,4.5,1", ",10,4.5,1"]):
+        (tmp_path / str(n)).mkdir()
+        import_ratings_csv(spark, write(tmp_path / str(n), f"userId,movieId,rating,timestamp\n{line}\n"), store, "a")
+    assert read_event_store(spark, store, "a").count() == 3
+
+
+def test_properties_are_parsed_once(events, spark):
+    """In the filter, the check and the columns of a scan."""
+    clicks = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    scans = [
+        scan_ratings(events(event(0))),
+        scan_ratings(events(event(0)), strict=False),
+        scan_ratings(clicks, ("purchase",), CLICKSTREAM),
+        scan_ratings(clicks, ("purchase",), CLICKSTREAM).select("user"),
+        rejected_events(events(event(0))),
+    ]
+    for scan in scans:
+        assert scan._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_summary(mini):
     found = [tuple(r) for r in dataset_summary(mini).collect()]
     assert set(found) == {
