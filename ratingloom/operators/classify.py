@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import (
+    DecisionTreeClassificationModel,
     NaiveBayes,
     NaiveBayesModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURES = ["user_number", "item_number"]
@@ -75,6 +76,69 @@ def forest_table(model: RandomForestClassificationModel, labeled: DataFrame) ->
     return labeled.sparkSession.createDataFrame(rows, "tree int, depth int, n_nodes int, weight double")
 
 
+def _tree_nodes(tree: DecisionTreeClassificationModel) -> list[tuple]:
+    """``(node, feature, threshold, left, right, n_zero, n_one, impurity)`` of a tree from the root, node 0, on; leaves have no feature."""
+    rows, waiting = [], [tree._java_obj.rootNode()]
+    for number, node in enumerate(waiting):
+        counts = [float(c) for c in node.impurityStats().stats()]
+        feature = threshold = left = right = None
+        if node.subtreeDepth():
+            feature, threshold = int(node.split().featureIndex()), float(node.split().threshold())
+            left, right = len(waiting), len(waiting) + 1
+            waiting += [node.leftChild(), node.rightChild()]
+        # -1 stands for a leaf that no split was found for
+        impurity = node.impurity() if node.impurity() >= 0 else None
+        rows.append((number, feature, threshold, left, right, *(counts + [0.0])[:2], impurity))
+    return rows
+
+
+def forest_nodes(model: RandomForestClassificationModel, spark: SparkSession) -> DataFrame:
+    """All nodes with their split, the sampled training rows of each class in them, and their impurity.
+
+    Leaves that no split was found for have no impurity. The depth of the trees bounds the nodes: 63 a tree at most.
+    """
+    rows = [(t, *node) for t, tree in enumerate(model.trees) for node in _tree_nodes(tree)]
+    kinds = "feature int, threshold double, left int, right int, n_zero double, n_one double, impurity double"
+    return spark.createDataFrame(rows, f"tree int, node int, {kinds}")
+
+
+def unsound_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose counts are not those of their two children together, or whose impurity is not the Gini index of the counts."""
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("n_zero").alias("zero"), F.col("n_one").alias("one"))
+    below = nodes.select("tree", "node", F.explode(F.array("left", "right")).alias("child")).join(child, ["tree", "child"])
+    below = below.groupBy("tree", "node").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    n = F.col("n_zero") + F.col("n_one")
+    gini = 1 - (F.col("n_zero") ** 2 + F.col("n_one") ** 2) / (n * n)
+    inner = F.col("feature").isNotNull()
+    split = F.coalesce((F.col("n_zero") == F.col("zero")) & (F.col("n_one") == F.col("one")), F.lit(False))
+    wrong = (inner & ~split) | (F.abs(gini - F.col("impurity")) > 1e-9)
+    return nodes.join(below, ["tree", "node"], "left").where(wrong).select(*nodes.columns)
+
+
+def with_leaves(model: RandomForestClassificationModel, pairs: DataFrame) -> DataFrame:
+    """Add ``leaves``, the node of each tree that a row ends in, and ``liked_share``, the trees' mean share of liked rows there.
+
+    The trees become conditional expressions of at most 32 branches, so rows are routed without a model.
+    """
+    leaves, shares = [], []
+    for tree in model.trees:
+        nodes = {n[0]: n[1:] for n in _tree_nodes(tree)}
+
+        def ends(node: int, value, nodes=nodes) -> Column:
+            feature, threshold, left, right, zero, one, _ = nodes[node]
+            if feature is None:
+                return F.lit(value(node, zero, one))
+            below = F.col(FEATURES[feature].split("_")[0]).cast("double") <= F.lit(threshold)
+            return F.when(below, ends(left, value, nodes)).otherwise(ends(right, value, nodes))
+
+        leaves.append(ends(0, lambda node, zero, one: node))
+        shares.append(ends(0, lambda node, zero, one: one / (zero + one)))
+    total = shares[0]
+    for share in shares[1:]:
+        total = total + share
+    return pairs.withColumns({"leaves": F.array(*leaves), "liked_share": total / F.lit(float(len(shares)))})
+
+
 def chi_square_features(labeled: DataFrame) -> DataFrame:
     """Chi-square statistic of each id against the label.
 

@@ -598,6 +598,20 @@ FROM (SELECT user_id AS "user" FROM events UNION SELECT c_custkey FROM customer)
 WHERE "user" NOT IN (SELECT "user" FROM ev)""",
     ),
     "rf_lists_check": 'SELECT DISTINCT user_id AS "user", CAST(0 AS BIGINT) AS outside, true AS total_ok FROM events',
+    "rf_nodes_check": _sql(
+        EV,
+        LATEST,
+        MEANS,
+        LABELED,
+        select="""SELECT CAST(t.range AS INTEGER) AS tree, count(*) AS n_rows, sum(label) AS n_liked,
+       CAST(0 AS BIGINT) AS n_different, CAST(0 AS BIGINT) AS n_unsound FROM labeled, range(5) t GROUP BY t.range""",
+    ),
+    "rf_lists_lengths": _sql(
+        *_BAYES_CHAIN,
+        ASKED,
+        select="""SELECT a."user", count(c.item) AS n_candidates, CAST(0 AS BIGINT) AS n_off
+FROM asked a LEFT JOIN cand c ON c."user" = a."user" GROUP BY a."user\"""",
+    ),
     "rf_classify_check": _sql(
         EV, LATEST, MEANS, LABELED, select="SELECT label, count(*) AS n, true AS valid FROM labeled GROUP BY label"
     ),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.functions.scoring import SCORE_DECIMALS
@@ -576,6 +576,42 @@ def rf_classify_check(spark, sf_dir):
     )
 
 
+@query
+def rf_nodes_check(spark, sf_dir):
+    """Per tree: training rows routed to a leaf by its nodes, liked ones, nodes that do not add up, and rows judged unlike the model."""
+    labeled = rating_ops.labeled_ratings(_latest(spark, sf_dir))
+    model = classify.fit_forest(labeled)
+    nodes = classify.forest_nodes(model, spark)
+    routed = classify.classify(model, classify.with_leaves(model, labeled))
+    judged = F.when(F.col("liked_share") > 0.5, 1.0).otherwise(0.0)
+    # half and half is up to the last bit of the model's own sum
+    differs = (judged != F.col("prediction")) & (F.abs(F.col("liked_share") - 0.5) > 1e-12)
+    ends = routed.select("label", differs.alias("differs"), F.posexplode("leaves").alias("tree", "node"))
+    leaves = nodes.where("feature IS NULL").select("tree", "node")
+    rows = ends.join(F.broadcast(leaves), ["tree", "node"]).groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_liked"), F.count_if("differs").alias("n_different")
+    )
+    unsound = classify.unsound_nodes(nodes).groupBy("tree").agg(F.count(F.lit(1)).alias("n_unsound"))
+    return rows.join(unsound, "tree", "left").withColumn("n_unsound", F.coalesce("n_unsound", F.lit(0)))
+
+
+@query
+def rf_lists_lengths(spark, sf_dir):
+    """Per asked user: candidates of the forest hybrid, and items that its list lacks or has beyond the best accepted ones."""
+    model = ForestHybrid(NEIGHBOURS).fit(_ratings(spark, sf_dir))
+    asked = _asked(spark, sf_dir)
+    judged = classify.classify(model.classifier, model.neighbourhood.candidates(asked))
+    order = Window.partitionBy("user").orderBy((F.col("prediction") == 1.0).desc(), F.col("score").desc(), "item")
+    place = F.row_number().over(order)
+    best = judged.withColumn("place", place).where((F.col("prediction") == 1.0) & (F.col("place") <= NUM))
+    listed = model.recommend(asked).select("user", "item", F.lit(1).alias("listed"))
+    both = best.select("user", "item", F.lit(1).alias("wanted")).join(listed, ["user", "item"], "full")
+    off = both.groupBy("user").agg(F.count_if(F.col("listed").isNull() | F.col("wanted").isNull()).alias("n_off"))
+    sizes = judged.groupBy("user").agg(F.count(F.lit(1)).alias("n_candidates"))
+    rows = asked.select("user").join(sizes, "user", "left").join(off, "user", "left")
+    return rows.select("user", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_off")))
+
+
 @query
 def model_summaries(spark, sf_dir):
     """Sizes and settings of all four fitted recommenders."""

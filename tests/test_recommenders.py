@@ -5,7 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratingloom.operators import factorization
-from ratingloom.operators.classify import classify, fit_forest, rejected_features, with_features
+from ratingloom.operators.classify import (
+    classify,
+    fit_forest,
+    forest_nodes,
+    rejected_features,
+    unsound_nodes,
+    with_features,
+    with_leaves,
+)
 from ratingloom.operators.collaborative import cf_candidates
 from ratingloom.operators.ratings import id_index, labeled_ratings, latest_ratings, prepare, user_history
 from ratingloom.operators.serving import blend
@@ -118,6 +126,29 @@ def test_forest_settings(ratings):
     assert {r.prediction for r in classify(model, ratings).select("prediction").collect()} <= {0.0, 1.0}
 
 
+def test_forest_as_a_table_of_nodes(spark, ratings):
+    """Rows routed by hand through the nodes end where the expressions say, and are judged as by the model."""
+    labeled = labeled_ratings(latest_ratings(ratings))
+    model = fit_forest(labeled)
+    nodes = forest_nodes(model, spark)
+    table = {(n.tree, n.node): n for n in nodes.collect()}
+    assert len({t for t, _ in table}) == 5 and len(table) > 20
+    assert unsound_nodes(nodes).isEmpty()
+    bad = nodes.withColumn("n_one", F.when((F.col("tree") == 1) & (F.col("node") == 0), 9999.0).otherwise(F.col("n_one")))
+    assert {(r.tree, r.node) for r in unsound_nodes(bad).collect()} == {(1, 0)}
+    for row in classify(model, with_leaves(model, labeled)).collect():
+        share = 0.0
+        for tree, leaf in enumerate(row.leaves):
+            node = table[tree, 0]
+            while node.feature is not None:
+                value = (row.user, row.item)[node.feature]
+                node = table[tree, node.left if value <= node.threshold else node.right]
+            assert node.node == leaf
+            share += node.n_one / (node.n_zero + node.n_one) / 5
+        assert row.liked_share == pytest.approx(share)
+        assert row.prediction == (share > 0.5) or abs(share - 0.5) < 1e-9
+
+
 def test_text_ids_without_numbers(make_ratings):
     pairs = make_ratings([("1", "7", 1), ("x", "8", 1)], "string").select("user", "item")
     assert [r.user for r in with_features(pairs, strict=False).collect()] == ["1"]
@@ -152,6 +183,31 @@ def test_engine_round_trip(spark, ratings, queries, tmp_path):
     assert {r.user: r.item_scores for r in loaded.serve(queries).collect()} == served
 
 
+def test_saving_that_breaks_off_leaves_the_version_before(spark, ratings, queries, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    models = [HybridEngine(EngineParams(algorithms=(AlgorithmSpec("mv", PopularityParams(n)),))).fit(ratings) for n in (2, 5)]
+    with pytest.raises(FileNotFoundError):
+        HybridModel.load(spark, path)
+    models[0].save(spark, path)
+    size = lambda: HybridModel.load(spark, path).parts[0][1].max_items
+    with monkeypatch.context() as m:
+        m.setattr(type(models[1].parts[0][1]), "save", lambda self, p: self.top.write.parquet(f"{p}/top") or 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            models[1].save(spark, path)
+    assert size() == 2
+    models[1].save(spark, path)
+    assert size() == 5
+    # the last two published versions stay
+    for _ in range(2):
+        models[0].save(spark, path)
+    assert size() == 2
+    assert sum((tmp_path / "model" / n / "manifest.json").exists() for n in os.listdir(path)) == 2
+    newest = max(n for n in os.listdir(path) if (tmp_path / "model" / n / "manifest.json").exists())
+    next((tmp_path / "model" / newest / "part-0" / "seen").glob("*.parquet")).unlink()
+    with pytest.raises(ValueError, match="1 files are missing or cut"):
+        HybridModel.load(spark, path)
+
+
 def test_prepare_step(ratings):
     assert prepare(ratings) is ratings
     assert prepare(ratings, lambda df: df.filter("rating > 4")).filter("rating <= 4").isEmpty()
