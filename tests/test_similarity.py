@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.operators import block_search, similarity
+from ratingloom.operators import block_product, block_search, similarity, sums
 from ratingloom.operators.ratings import latest_ratings
 from ratingloom.params import NeighbourParams
 
@@ -233,3 +233,56 @@ def test_two_ways_of_similar_users(make_ratings, monkeypatch):
     assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, by_pairs.collect()))
     empty = block_search.similar_users(ratings.limit(0), params)
     assert empty.isEmpty()
+
+
+@pytest.fixture
+def product_only(monkeypatch):
+    """Users too many for groups of blocks, and meetings too many for a shuffle; small blocks and strips."""
+    monkeypatch.setattr(block_search, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(block_product, "LEAST_MEETINGS", 0)
+    monkeypatch.setattr(block_product, "COST_OF_MEETING", 10**9)
+    monkeypatch.setattr(block_product, "USERS_PER_BLOCK", 9)
+
+
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("ids", ["bigint", "string"])
+@pytest.mark.parametrize("per_strip", [60, 10**6])
+def test_products_of_blocks_give_the_neighbours_of_the_pairs(make_ratings, product_only, monkeypatch, per_strip, ids, compat):
+    """To the last bit and with ties, and no pair is shuffled."""
+    monkeypatch.setattr(block_product, "RATINGS_PER_STRIP", per_strip)
+    rows, params = skewed_rows(17, users=70), NeighbourParams(min_common=3, top_n=4)
+    latest = latest_ratings(make_ratings(rows, ids))
+    found = block_search.similar_users(latest, params, compat, latest_only=True)
+    text = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in text and "CartesianProduct" in text
+    monkeypatch.setattr(block_product, "LEAST_MEETINGS", 10**12)
+    pairs = similarity.pearson_pairs(latest, params, compat, latest_only=True)
+    expected = sorted(map(tuple, similarity.nearest_users(pairs, 4, compat).collect()))
+    assert len(expected) > 50 and sorted(map(tuple, found.collect())) == expected
+
+
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("ids", ["bigint", "string"])
+def test_products_of_blocks_give_all_pairs(make_ratings, product_only, monkeypatch, ids, compat):
+    """Also those without variance."""
+    ratings = make_ratings(skewed_rows(23, users=60) + [(u, i, 3) for u in (91, 92) for i in range(4)], ids)
+    params = NeighbourParams(min_common=2)
+
+    def rows(make):
+        made = make()
+        return "MapInArrow" in made._jdf.queryExecution().toString(), sorted(map(repr, map(tuple, made.collect())))
+
+    ways = (lambda: similarity.pearson_pairs(ratings, params, compat), lambda: similarity.cosine_pairs(ratings, params))
+    by_product = [rows(way) for way in ways]
+    monkeypatch.setattr(block_product, "LEAST_MEETINGS", 10**12)
+    by_meetings = [rows(way) for way in ways]
+    assert [p for p, _ in by_product] == [True, True] and [p for p, _ in by_meetings] == [False, False]
+    assert len(by_product[0][1]) > 50 and [r for _, r in by_product] == [r for _, r in by_meetings]
+
+
+def test_large_products_of_sums_stay_whole():
+    """Sums below 2**52 whose products are beyond: longs, not doubles."""
+    n, sx, sy, sxx, syy, sxy = 3, 1, 1, 2**51 + 1, 2**51 + 3, 2**51 + 1
+    found = sums.pearson([block_search.np.array([float(v)]) for v in (n, sx, sy, sxx, syy, sxy)])[0]
+    parts = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
+    assert found == float(parts[0]) / math.sqrt(float(parts[1]) * float(parts[2]))
