@@ -180,10 +180,14 @@ class Lattice:
             more = left[at] > depth
             at, nodes = at[more], nodes[more]
         found.append((number[:n][spelled] << 5 | 1) << shift | none)
-        edges = np.sort(np.concatenate(found))
+        edges = np.concatenate(found)
+        # arrays over all edges go as soon as they are used up
+        del found
+        edges.sort()
         self.piece = (edges & ((1 << shift) - 1)).astype(np.int32)
-        size = edges >> shift & 31
+        size = (edges >> shift & 31).astype(np.int32)
         self.begin = (edges >> (shift + 5)).astype(np.int32)
+        del edges
         self.first = np.searchsorted(self.begin, np.arange(n + 1))
         origin = order[self.begin]
         self.target = np.where(left[origin] > size, number[origin + size], -1).astype(np.int32)
@@ -192,6 +196,7 @@ class Lattice:
         spelling = codes[origin[plain]]
         weight[plain] = vocab.byte_weight * _utf8_length(spelling)
         self.piece[plain] = -1 - spelling
+        del size, origin, plain, spelling
         steps = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
         self._sum_up(weight, steps)
 
@@ -216,7 +221,10 @@ class Lattice:
         single = np.diff(self.first) == 1
         self.rest[self.first[:-1][single]] = -np.inf
         sums = np.cumsum(p)
-        self.upto = sums - (sums - p)[self.first[:-1]][self.begin]
+        before = (sums - p)[self.first[:-1]]
+        del p
+        sums -= before[self.begin]
+        self.upto = sums
         self.upto[self.first[1:] - 1] = np.inf  # the last edge takes what rounding leaves
 
     def walk(self, units: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,34 +407,40 @@ def sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) ->
 
 
 def _sample_texts(texts: list[str], seeds: np.ndarray, params: SegmentParams) -> Iterator[tuple[int, int, dict]]:
-    vocab = vocabulary(params)
     for a, b in slices(texts, params.chunk):
-        codes, lengths, ids, bounds = cut_units(texts[a:b])
-        lattice = Lattice(codes, lengths, vocab) if len(lengths) else None
-        inner = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-        own = np.repeat(seeds[a:b], np.diff(bounds)) + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        walks = [lattice.walk(ids, _mix(own + np.uint64(977 * s + 13))) for s in range(params.k)] if lattice else []
-        for i in range(b - a):
-            if not texts[a + i]:
-                yield a + i, 0, {"ids": np.zeros(0, np.int32), "log_p": 0.0, "gumbel": 0.0, "log_inclusion": 0.0}
-                continue
-            own_walks = []
-            for path, offsets in walks:
-                own_offsets = offsets[bounds[i] : bounds[i + 1] + 1]
-                own_walks.append((path[own_offsets[0] : own_offsets[-1]], own_offsets - own_offsets[0]))
-            paths, threshold = draw(lattice, own_walks, int(seeds[a + i]), params.k)
-            for rank, path in enumerate(paths):
-                phi = float(path.before[-1])
-                yield (
-                    a + i,
-                    rank,
-                    {
-                        "ids": piece_ids(lattice.piece[path.edges], vocab),
-                        "log_p": phi,
-                        "gumbel": float(path.value),
-                        "log_inclusion": log_inclusion(phi, threshold),
-                    },
-                )
+        # in a call of its own, so that the lattice of a slice is gone before the next one is built
+        yield from ((a + i, rank, facts) for i, rank, facts in _sample_slice(texts[a:b], seeds[a:b], params))
+
+
+def _sample_slice(texts: list[str], seeds: np.ndarray, params: SegmentParams) -> Iterator[tuple[int, int, dict]]:
+    vocab = vocabulary(params)
+    codes, lengths, ids, bounds = cut_units(texts)
+    lattice = Lattice(codes, lengths, vocab) if len(lengths) else None
+    inner = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+    own = np.repeat(seeds, np.diff(bounds)) + inner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    walks = [lattice.walk(ids, _mix(own + np.uint64(977 * s + 13))) for s in range(params.k)] if lattice else []
+    del codes, lengths, ids, inner, own
+    for i in range(len(texts)):
+        if not texts[i]:
+            yield i, 0, {"ids": np.zeros(0, np.int32), "log_p": 0.0, "gumbel": 0.0, "log_inclusion": 0.0}
+            continue
+        own_walks = []
+        for path, offsets in walks:
+            own_offsets = offsets[bounds[i] : bounds[i + 1] + 1]
+            own_walks.append((path[own_offsets[0] : own_offsets[-1]], own_offsets - own_offsets[0]))
+        paths, threshold = draw(lattice, own_walks, int(seeds[i]), params.k)
+        for rank, path in enumerate(paths):
+            phi = float(path.before[-1])
+            yield (
+                i,
+                rank,
+                {
+                    "ids": piece_ids(lattice.piece[path.edges], vocab),
+                    "log_p": phi,
+                    "gumbel": float(path.value),
+                    "log_inclusion": log_inclusion(phi, threshold),
+                },
+            )
 
 
 def sample_segmentations(docs: DataFrame, params: SegmentParams = SegmentParams()) -> DataFrame:

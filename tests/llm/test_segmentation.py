@@ -1,6 +1,7 @@
 import dataclasses
 import math
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,25 @@ def test_query_decodes(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = QUERIES["op1_sentencepiece_decode"](spark, DATA).collect()
     assert {r["doc_id"] for r in rows} == set(docs) and all(r["decoded"] == docs[r["doc_id"]] for r in rows)
+
+
+def test_one_lattice_at_a_time(monkeypatch):
+    """That of a slice of texts is gone before the next one is built, and slices change no answer."""
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(G.Lattice):
+        def __init__(self, *args):
+            alive.add(self)
+            most.append(len(alive))
+            super().__init__(*args)
+
+    texts = ["some words to cut", "and others", "", "a third one with more words", "the end"] * 3
+    seeds = np.arange(len(texts)).astype(np.uint64)
+
+    def drawn(chunk):
+        rows = G.sample_texts(texts, seeds, G.SegmentParams(chunk=chunk))
+        return [(i, rank, facts["ids"].tolist(), facts["log_p"], facts["gumbel"]) for i, rank, facts in rows]
+
+    expected = drawn(1 << 20)
+    monkeypatch.setattr(G, "Lattice", Counted)
+    assert drawn(20) == expected and len(most) > 5 and max(most) == 1
