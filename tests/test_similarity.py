@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,57 @@ def test_products_of_blocks_give_the_neighbours_of_the_pairs(make_ratings, produ
     assert len(expected) > 50 and sorted(map(tuple, found.collect())) == expected
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_lists_of_one_strip_go_through_no_exchange(make_ratings, product_only, monkeypatch, compat):
+    """A task has all others beside its block, so its lists are whole; those of several strips are ranked again."""
+    latest = latest_ratings(make_ratings(skewed_rows(17, users=70)))
+    found = []
+    for per_strip, windows in ((10**6, False), (60, True)):
+        monkeypatch.setattr(block_product, "RATINGS_PER_STRIP", per_strip)
+        neighbours = block_search.similar_users(latest, NeighbourParams(3, 4), compat, latest_only=True)
+        assert ("Window" in neighbours._jdf.queryExecution().optimizedPlan().toString()) == windows
+        found.append(sorted(map(tuple, neighbours.collect())))
+    assert len(found[0]) > 50 and found[0] == found[1]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_sums_of_the_few_pairs_that_share_enough(make_ratings, product_only, monkeypatch, few, compat):
+    """The same neighbours from the sums of all pairs as from those of the pairs that share enough."""
+    monkeypatch.setattr(block_product, "FEW_PAIRS", few)
+    asked, real = [], block_product.sums_of_pairs
+    latest = latest_ratings(make_ratings(skewed_rows(29, users=70)))
+    params = NeighbourParams(min_common=4, top_n=6)
+    packed = block_product.packed_blocks(_gridded(latest, params))
+    monkeypatch.setattr(block_product, "sums_of_pairs", lambda *a: asked.append(len(a[4][0])) or real(*a))
+    blocks = [block_product.Block({c: pa.scalar(r[c], t) for c, t in packed_types(packed)}) for r in packed[0].collect()]
+    lists = []
+    for left in blocks:
+        best = block_product.Best(left.size, params.top_n)
+        for right in blocks:
+            met = block_product.Meeting(left, right)
+            met.leave_out(params.min_common, compat)
+            best.add(met.similarity(met.all_sums(), params.min_common, compat), right, met.pairs)
+        best.settle()
+        lists += zip(left.ids.take(pa.array(best.user)).to_pylist(), best.ids.to_pylist() if best.ids else [], best.value.tolist())
+    # few is the number of pairs of which one may share enough
+    assert bool(asked) == (few == 0)
+    monkeypatch.setattr(block_product, "LEAST_MEETINGS", 10**12)
+    pairs = similarity.pearson_pairs(latest, params, compat, latest_only=True)
+    expected = similarity.nearest_users(pairs, 6, compat).drop("rank").collect()
+    assert len(expected) > 50 and sorted(lists) == sorted(map(tuple, expected))
+
+
+def _gridded(latest, params):
+    rows = similarity._comparable_ratings(latest, params.min_common)
+    return similarity._on_grid(rows, similarity.rating_grid(rows, True), True)
+
+
+def packed_types(packed):
+    kinds = {"array<bigint>": pa.list_(pa.int64()), "int": pa.int32(), "binary": pa.binary()}
+    return [(f.name, kinds[f.dataType.simpleString()]) for f in packed[0].schema]
+
+
 @pytest.mark.parametrize("compat", [False, True])
 @pytest.mark.parametrize("ids", ["bigint", "string"])
 def test_products_of_blocks_give_all_pairs(make_ratings, product_only, monkeypatch, ids, compat):
