@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratingloom.operators import block_product, block_search, similarity, sums
 from ratingloom.operators.ratings import latest_ratings
 from ratingloom.params import NeighbourParams
+from ratingloom.session import write_shared
 
 
 def brute_force(rows, min_common, measure):
@@ -338,3 +339,72 @@ def test_large_products_of_sums_stay_whole():
     found = sums.pearson([block_search.np.array([float(v)]) for v in (n, sx, sy, sxx, syy, sxy)])[0]
     parts = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
     assert found == float(parts[0]) / math.sqrt(float(parts[1]) * float(parts[2]))
+
+
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("some", [0, 10**9])
+def test_correlations_of_the_pairs_that_share_enough_only(make_ratings, product_only, monkeypatch, some, compat):
+    """The same neighbours from products of which some pairs are taken as from all; the others get no correlation."""
+    monkeypatch.setattr(block_product, "FEW_PAIRS", 10**9)
+    monkeypatch.setattr(block_product, "SOME_PAIRS", some)
+    latest, params = latest_ratings(make_ratings(skewed_rows(31, users=70))), NeighbourParams(min_common=4, top_n=6)
+    packed = block_product.packed_blocks(_gridded(latest, params))
+    blocks = [block_product.Block({c: pa.scalar(r[c], t) for c, t in packed_types(packed)}) for r in packed[0].collect()]
+    lists, correlations = [], 0
+    for left in blocks:
+        best = block_product.Best(left.size, params.top_n)
+        for right in blocks:
+            met = block_product.Meeting(left, right)
+            met.leave_out(params.min_common, compat)
+            assert (met.pairs is not None) == (some == 0)
+            shared = met.all_sums()[0]
+            correlations += shared.size
+            assert some or (shared >= params.min_common).all()
+            best.add(met.similarity(met.all_sums(), params.min_common, compat), right, met.pairs)
+        best.settle()
+        lists += zip(left.ids.take(pa.array(best.user)).to_pylist(), best.ids.to_pylist() if best.ids else [], best.value.tolist())
+    users = sum(b.size for b in blocks)
+    assert (correlations == users**2) == (some > 0)
+    monkeypatch.setattr(block_product, "LEAST_MEETINGS", 10**12)
+    pairs = similarity.pearson_pairs(latest, params, compat, latest_only=True)
+    expected = similarity.nearest_users(pairs, 6, compat).drop("rank").collect()
+    assert len(expected) > 50 and sorted(lists) == sorted(map(tuple, expected))
+
+
+def test_products_in_single_floats_are_exact():
+    """Up to the largest whole number that they hold; beyond, doubles."""
+    np = block_search.np
+    for largest, kind in ((2**24 - 1, np.float32), (2**24, np.float64), (2**40 + 1, np.float64)):
+        left, right = np.array([[largest - 5.0, 5.0], [-3.0, 0.0]]), np.array([[1.0, 1.0], [-1.0, 1.0]])
+        found = sums._product(left, right)
+        assert found.dtype == kind
+        assert found.astype(float).tolist() == [[float(largest), 10.0 - largest], [-3.0, 3.0]]
+
+
+def test_events_are_read_once(spark, make_ratings, monkeypatch, tmp_path):
+    """Users, items and ratings are counted from the stored latest ratings."""
+    make_ratings(skewed_rows(13)).write.parquet(str(tmp_path / "ratings"))
+    reads = []
+
+    def stored(df, name, *by):
+        reads.append((name, any("/ratings/" in f for f in df.inputFiles())))
+        return write_shared(df, name, *by)
+
+    for module in (block_search, similarity):
+        monkeypatch.setattr(module, "write_shared", stored)
+    for find in (block_search.similar_users, similarity.pearson_pairs, similarity.cosine_pairs):
+        reads.clear()
+        find(spark.read.parquet(str(tmp_path / "ratings")), NeighbourParams(min_common=2)).collect()
+        assert [name for name, of_events in reads if of_events] == ["latest"]
+
+
+@pytest.mark.parametrize("min_common", [1, 2, 4])
+def test_bound_of_the_meetings_set_apart(make_ratings, min_common):
+    """No more meetings are lost by setting items apart than the bound says."""
+    rows = similarity._comparable_ratings(latest_ratings(make_ratings(skewed_rows(37))), min_common)
+    users, every = rows.select("user").distinct().count(), sum((r.raters - 1) / 2 for r in rows.collect())
+    plain = rows.select("user", "item", F.lit(0).alias("x"), "raters")
+    tails = similarity._tails(plain, min_common - 1) if min_common > 1 else None
+    left = similarity._number_of_meetings(similarity._placed_ratings(plain, tails, 2048))
+    bound = similarity._most_set_apart(rows, users * (min_common - 1))
+    assert every - bound <= left <= every and (bound == 0) == (min_common == 1)
